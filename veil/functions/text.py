@@ -176,6 +176,5 @@ def rewrite(text: Column, spans: Column, replacement) -> Column:
 
 
 def bounded_digits(text: Column, digits: Column) -> Column:
-    """Whether a digit string occurs in the text with no digit on either side."""
-    return F.coalesce(F.concat(F.lit(" "), text, F.lit(" ")).rlike(
-        F.concat(F.lit("(?<![0-9])"), digits, F.lit("(?![0-9])"))), F.lit(False))
+    """Whether a digit string occurs in the text with no digit on either side, i.e. is one of its digit runs."""
+    return F.array_contains(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), digits)

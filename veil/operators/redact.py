@@ -8,6 +8,7 @@ from veil import rules
 from veil.functions.detect import find_spans, leak_spans, values_only
 from veil.functions.text import digits_of, has, jvm, rewrite, trimmed
 from veil.plans.ordered import each, numbered, seq_bucket
+from veil.operators.known import textual_hits
 from veil.session import settled
 
 PLACED = "array<struct<start:int,size:int,type:string,value:string,pass:int>>"
@@ -178,33 +179,14 @@ def _number_keys(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(runs, windows)))
 
 
-def _grams(text: Column, size: int) -> Column:
-    low = F.lower(text)
-    positions = F.when(F.length(low) >= size, F.sequence(F.lit(1), F.length(low) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(positions, lambda i: F.substring(low, i, F.lit(size))))
-
-
-GRAM_SIZES = [3, 6, 12]
-
-
 def _present_in_large_scopes(texts: DataFrame, vault: DataFrame, text: str, row_keys: list[str]) -> DataFrame:
     """(row keys, value, mark) for values of big vaults that may occur in a text: equi-joins on digit strings and
     on the value's leading characters, so neither a whole vault nor a whole scope meets in one task."""
     numeric = vault.filter(is_numeric_value(F.col("value"))).withColumn("__key", canonical(F.col("value")))
     by_number = each(texts, ["scope", *row_keys], _number_keys(F.col(text)), "__key").join(
         numeric, ["scope", "__key"]).drop("__key")
-    parts = [by_number]
-    textual = vault.filter(~is_numeric_value(F.col("value"))).withColumn("__low", F.lower(trimmed(F.col("value"))))
-    for size, above in zip(GRAM_SIZES, [6, 12, 1 << 30]):
-        sized = textual.filter((F.length("__low") >= size) & (F.length("__low") < above)).withColumn(
-            "__key", F.left(F.col("__low"), F.lit(size)))
-        grams = each(texts, ["scope", *row_keys, text], _grams(F.col(text), size), "__key")
-        parts.append(grams.join(sized, ["scope", "__key"]).filter(F.contains(F.lower(F.col(text)), F.col("__low")))
-                     .drop("__key", "__low", text))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    textual = vault.filter(~is_numeric_value(F.col("value")))
+    return by_number.unionByName(textual_hits(texts, textual, ["scope"], row_keys, text))
 
 
 def replace_known(texts: DataFrame, vault: DataFrame, row_keys: list[str], text: str = "text",
