@@ -38,21 +38,27 @@ def _with_carry(df: DataFrame, carry: DataFrame, names: list[str], columns: list
 
 
 def running_totals(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
-                   totals: dict[str, Column], inclusive: bool = True) -> DataFrame:
-    """Adds, per key in order, the running sum of each (integer) column, up to or before the row."""
+                   totals: dict[str, Column], inclusive: bool = True, largest: bool = False) -> DataFrame:
+    """Adds, per key in order, the running sum of each (integer) column, up to or before the row; the running
+    maximum instead when ``largest``."""
+    agg = F.max if largest else F.sum
     names = [*keys, "__bucket"]
     rows = df.withColumn("__bucket", bucket)
     for name, value in totals.items():
-        rows = rows.withColumn(f"__v_{name}", value.cast("long"))
+        rows = rows.withColumn(f"__v_{name}", value if largest else value.cast("long"))
     end = W.currentRow if inclusive else -1
     local = W.partitionBy(*names).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
-    rows = rows.select("*", *[F.sum(f"__v_{n}").over(local).alias(f"__l_{n}") for n in totals])
-    summary = rows.groupBy(*names).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in totals])
+    rows = rows.select("*", *[agg(f"__v_{n}").over(local).alias(f"__l_{n}") for n in totals])
+    summary = rows.groupBy(*names).agg(*[agg(f"__v_{n}").alias(f"__s_{n}") for n in totals])
     before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    carry = summary.select(*names, *[F.sum(f"__s_{n}").over(before).alias(f"__c_{n}") for n in totals])
+    carry = summary.select(*names, *[agg(f"__s_{n}").over(before).alias(f"__c_{n}") for n in totals])
     joined = _with_carry(rows, carry, names, [f"__c_{n}" for n in totals])
-    result = joined.select("*", *[
-        (F.coalesce(F.col(f"__l_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n) for n in totals])
+    def merged(n: str) -> Column:
+        if largest:
+            return F.greatest(f"__l_{n}", f"__c_{n}")
+        return F.coalesce(F.col(f"__l_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))
+
+    result = joined.select("*", *[merged(n).alias(n) for n in totals])
     return result.drop("__bucket", *[f"__{p}_{n}" for n in totals for p in "vlc"])
 
 
