@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from veil import rules
 from veil.functions.detect import leak_spans
-from veil.functions.text import bounded_digits, digits_of, has, jvm, trimmed
+from veil.functions.text import bounded_digits, digits_of, has, jvm, let, trimmed
 
 
 def _kind(v: Column) -> Column:
@@ -69,7 +69,10 @@ def _first_reason(items: Column, reason) -> Column:
 
 
 def _element_reason(v: Column) -> Column:
-    m = _object(v)
+    return let(_object(v), _element_reason_of)
+
+
+def _element_reason_of(m: Column) -> Column:
     options = _list(_at(m, "options"))
     good_options = F.coalesce((F.size(options) <= rules.MAX_OPTIONS) & F.forall(
         options, lambda o: _text_within(o, rules.MAX_OPTION)), F.lit(False))
@@ -82,7 +85,10 @@ def _element_reason(v: Column) -> Column:
 
 
 def _history_entry_reason(v: Column) -> Column:
-    m = _object(v)
+    return let(_object(v), _history_entry_reason_of)
+
+
+def _history_entry_reason_of(m: Column) -> Column:
     target, value = _at(m, "target"), _at(m, "value")
     return F.coalesce(
         _fail(~_has_keys(m, rules.HISTORY_KEYS, rules.HISTORY_OPTIONAL), "history entry has unexpected shape"),
@@ -95,7 +101,10 @@ def _history_entry_reason(v: Column) -> Column:
 
 
 def check_history(v: Column) -> Column:
-    entries = _list(v)
+    return let(_list(v), _check_history_of)
+
+
+def _check_history_of(entries: Column) -> Column:
     return F.coalesce(
         _fail(entries.isNull(), "history is not a list"),
         _fail(F.size(entries) > rules.MAX_HISTORY, "history is too long"),
@@ -104,7 +113,10 @@ def check_history(v: Column) -> Column:
 
 
 def _observation_reason(v: Column) -> Column:
-    m = _object(v)
+    return let(_object(v), _observation_reason_of)
+
+
+def _observation_reason_of(m: Column) -> Column:
     box, target = _object(_at(m, "bbox")), _at(m, "target")
     numbers = F.lit(True)
     for key in rules.BBOX_KEYS:
@@ -122,7 +134,10 @@ def _observation_reason(v: Column) -> Column:
 
 
 def check_visual(v: Column) -> Column:
-    m = _object(v)
+    return let(_object(v), _check_visual_of)
+
+
+def _check_visual_of(m: Column) -> Column:
     conflicts, observations = _list(_at(m, "conflicts")), _list(_at(m, "observations"))
     return F.coalesce(
         _fail(~_has_keys(m, rules.VISUAL_KEYS), "visual block has unexpected shape"),
@@ -135,28 +150,40 @@ def check_visual(v: Column) -> Column:
 
 def check_structure(body: Column) -> Column:
     """First way a body departs from the request contract."""
-    v = F.try_parse_json(body)
-    m = _object(v)
-    page = _object(_at(m, "page"))
-    elements, placeholders = _list(_at(page, "elements")), _list(_at(m, "placeholders"))
-    page_texts = _is_text(_at(page, "url")) & _is_text(_at(page, "title")) & _is_text(_at(page, "text"))
+    return let(F.try_parse_json(body), lambda v: F.coalesce(
+        _fail(v.isNull(), "verification error (fail closed)"), let(_object(v), _check_request)))
+
+
+def _check_request(m: Column) -> Column:
     return F.coalesce(
-        _fail(v.isNull(), "verification error (fail closed)"),
         _fail(m.isNull(), "payload is not an object"),
         _fail(~_has_keys(m, rules.REQUEST_KEYS, rules.REQUEST_OPTIONAL), "payload has unexpected fields"),
         _fail(~_is_text(_at(m, "task")), "task is not a string"),
-        _fail(~_has_keys(page, rules.PAGE_KEYS), "page has unexpected shape"),
-        _fail(~page_texts, "page fields are not strings"),
-        _fail(elements.isNull(), "elements is not a list"),
-        _first_reason(elements, _element_reason),
-        _fail(placeholders.isNull(), "placeholders is not a list"),
-        _fail(~F.forall(placeholders, lambda p: _is_text(p) & has(_text(p), rules.PLACEHOLDER_KNOWN)), "malformed placeholder name"),
+        let(_object(_at(m, "page")), _check_page),
+        let(_list(_at(m, "placeholders")), _check_placeholders),
         F.when(_has(m, "history"), check_history(_at(m, "history"))),
         _fail(_has(m, "guidance") & ~_text_within(_at(m, "guidance"), rules.MAX_GUIDANCE), "guidance invalid"),
         F.when(_has(m, "visual"), check_visual(_at(m, "visual"))),
     )
 
 
+def _check_placeholders(placeholders: Column) -> Column:
+    return F.coalesce(
+        _fail(placeholders.isNull(), "placeholders is not a list"),
+        _fail(~F.forall(placeholders, lambda p: _is_text(p) & has(_text(p), rules.PLACEHOLDER_KNOWN)), "malformed placeholder name"),
+    )
+
+
+def _check_page(page: Column) -> Column:
+    page_texts = _is_text(_at(page, "url")) & _is_text(_at(page, "title")) & _is_text(_at(page, "text"))
+    return F.coalesce(
+        _fail(~_has_keys(page, rules.PAGE_KEYS), "page has unexpected shape"),
+        _fail(~page_texts, "page fields are not strings"),
+        let(_list(_at(page, "elements")), lambda elements: F.coalesce(
+            _fail(elements.isNull(), "elements is not a list"), _first_reason(elements, _element_reason))),
+    )
+
+
 def longest_string(body: Column) -> Column:
     """Length of the longest JSON string in a body; an escape counts as one character."""
     literals = F.regexp_extract_all(body, F.lit(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'), F.lit(1))
@@ -174,20 +201,20 @@ def check_image(body: Column) -> Column:
 
 def check_known(body: Column, known: Column) -> Column:
     """Type of the first known value (array of struct<type,value>) found in the body in an obvious variant."""
-    tight = F.regexp_replace(body, jvm(r"[\s-]"), "")
-    low = F.lower(body)
+    forms = F.struct(F.lower(body).alias("low"), F.regexp_replace(body, jvm(r"[\s-]"), "").alias("tight"))
 
-    def leaks(e: Column) -> Column:
+    def leaks(form: Column, e: Column) -> Column:
         raw = trimmed(e["value"])
         digits = digits_of(raw)
-        numeric = (F.length(digits) >= rules.MIN_KNOWN_DIGITS) & bounded_digits(tight, digits)
-        return (F.length(raw) >= rules.MIN_KNOWN) & F.when(has(raw, r"^[\d\s-]+$"), numeric).otherwise(F.contains(low, F.lower(raw)))
+        numeric = (F.length(digits) >= rules.MIN_KNOWN_DIGITS) & bounded_digits(form["tight"], digits)
+        return (F.length(raw) >= rules.MIN_KNOWN) & F.when(has(raw, r"^[\d\s-]+$"), numeric).otherwise(F.contains(form["low"], F.lower(raw)))
 
-    return F.get(F.filter(known, leaks), 0)["type"]
+    first = let(forms, lambda form: F.get(F.filter(known, lambda e: leaks(form, e)), 0)["type"])
+    return F.when(F.size(known) > 0, first)
 
 
 def check_patterns(body: Column) -> Column:
     """Type still present by the verifier's own patterns, in the order e-mail, card, mobile."""
     email = F.when(F.contains(body, F.lit("@")) & has(body, rules.EMAIL), F.lit("EMAIL"))
-    left = leak_spans(body)
-    return F.coalesce(email, *[F.when(F.exists(left, lambda s: s["type"] == kind), F.lit(kind)) for kind in ("CARD", "PHONE")])
+    return F.coalesce(email, let(leak_spans(body), lambda left: F.coalesce(
+        *[F.when(F.exists(left, lambda s: s["type"] == kind), F.lit(kind)) for kind in ("CARD", "PHONE")])))

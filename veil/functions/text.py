@@ -43,6 +43,11 @@ def jvm(pattern: str) -> str:
     return "".join(out)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def has(text: Column, pattern: str) -> Column:
     return text.rlike(jvm(pattern))
 

@@ -8,7 +8,7 @@ from veil import rules
 from veil.functions.detect import find_spans, label_type, matches_shape
 from veil.functions.geometry import area, bottom, box, coverage, iou, overlap_x, overlap_y, pad, right, union_box
 from veil.functions.text import sub, trimmed
-from veil.plans.ordered import previous_rows, running_totals, seq_bucket
+from veil.plans.ordered import previous_rows, running_totals, seq_bucket, where
 from veil.session import settled
 
 CELL = 256.0
@@ -109,8 +109,8 @@ SMALL_PAGE = 5000
 def layout_candidates(lines: DataFrame, page: list[str]) -> DataFrame:
     """(page, label, value_line, distance, type, value): every admissible label-value pair."""
     kinds = lines.withColumn("__kind", label_type_of_line(F.col("text")))
-    labels = kinds.filter(F.col("__kind").isNotNull()).select(*page, F.col("line").alias("label"), F.col("__kind").alias("type"), F.col("bbox").alias("__a"))
-    values = kinds.filter(F.col("__kind").isNull()).select(*page, F.col("line").alias("value_line"), clean_value(F.col("text")).alias("value"), F.col("bbox").alias("__b"))
+    labels = where(kinds, F.col("__kind").isNotNull()).select(*page, F.col("line").alias("label"), F.col("__kind").alias("type"), F.col("bbox").alias("__a"))
+    values = where(kinds, F.col("__kind").isNull()).select(*page, F.col("line").alias("value_line"), clean_value(F.col("text")).alias("value"), F.col("bbox").alias("__b"))
     a = F.col("__a")
     reach = box(a["x"], a["y"], a["width"] + rules.MAX_ROW_GAP, a["height"] + rules.MAX_STACK_GAP)
     pairs = touching(labels, values, page, reach, F.col("__b"))

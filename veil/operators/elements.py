@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
 from veil.functions.detect import find_spans
-from veil.functions.text import one_space, same_name, slugify, strip_volatile
+from veil.functions.text import let, one_space, same_name, slugify, strip_volatile
 from veil.plans.ordered import running_totals, seq_bucket, top_per_key
 from veil.sources.html import attr, card_context, is_editable
 
@@ -138,6 +138,10 @@ def site_label(url: Column) -> Column:
     """Name of a site: host without www, port, top-level part and second-level suffix; empty when there is no host."""
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
     parts = F.filter(F.split(F.regexp_replace(F.split_part(host, F.lit(":"), F.lit(1)), r"^www\.", ""), r"\."), lambda p: p != "")
-    n = F.size(parts)
-    second = F.get(parts, n - 2).isin(rules.SECOND_LEVEL_SUFFIXES) & (n >= 3) & (F.length(F.get(parts, n - 1)) <= 3)
-    return F.when(n == 0, "").when(n == 1, F.get(parts, 0)).when(second, F.get(parts, n - 3)).otherwise(F.get(parts, n - 2))
+
+    def pick(labels: Column) -> Column:
+        n = F.size(labels)
+        second = F.get(labels, n - 2).isin(rules.SECOND_LEVEL_SUFFIXES) & (n >= 3) & (F.length(F.get(labels, n - 1)) <= 3)
+        return F.when(n == 0, "").when(n == 1, F.get(labels, 0)).when(second, F.get(labels, n - 3)).otherwise(F.get(labels, n - 2))
+
+    return let(parts, pick)

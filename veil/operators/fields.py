@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
 from veil.functions.detect import keyword_types, value_shape
+from veil.functions.text import let
+from veil.plans.ordered import where
 
 VOTES = "array<struct<type:string,weight:int,signal:string>>"
 ATTRIBUTES = [("name", "name"), ("id", "id"), ("class", "class"), ("placeholder", "placeholder"), ("aria_label", "aria-label"), ("field_label", "label")]
@@ -46,25 +48,24 @@ def classify_fields(fields: DataFrame) -> DataFrame:
 
     Highest score wins, then strong evidence, then the fixed type order.
     """
-    rows = fields.withColumn("__votes", F.concat(strong_votes(), keyword_votes(), shape_votes()).cast(VOTES))
-
-    def entry(kind: str, rank: int) -> Column:
-        mine = F.filter("__votes", lambda v: v["type"] == kind)
+    def entry(votes: Column, kind: str, rank: int) -> Column:
+        mine = F.filter(votes, lambda v: v["type"] == kind)
         score = F.aggregate(mine, F.lit(0), lambda acc, v: acc + v["weight"])
         strong = F.exists(mine, lambda v: v["weight"] >= rules.STRONG).cast("int")
         return F.struct(score.alias("score"), strong.alias("strong"), F.lit(-rank).alias("rank"), F.lit(kind).alias("type"),
                         F.transform(mine, lambda v: v["signal"]).alias("signals"))
 
-    best = F.array_max(F.array(*[entry(kind, rank) for rank, kind in enumerate(rules.PII_TYPES)]))
-    rows = rows.withColumn("__best", best)
+    votes = F.concat(strong_votes(), keyword_votes(), shape_votes()).cast(VOTES)
+    rows = fields.withColumn("__best", let(votes, lambda all_votes: F.array_max(F.array(
+        *[entry(all_votes, kind, rank) for rank, kind in enumerate(rules.PII_TYPES)]))))
     counts = F.col("__best.score") >= rules.FIELD_THRESHOLD
     return (rows.withColumn("type", F.when(counts, F.col("__best.type"))).withColumn("score", F.when(counts, F.col("__best.score")))
-            .withColumn("signals", F.when(counts, F.col("__best.signals"))).drop("__votes", "__best"))
+            .withColumn("signals", F.when(counts, F.col("__best.signals"))).drop("__best"))
 
 
 def field_seeds(classified: DataFrame, scope: str, seq: int = 0) -> DataFrame:
     """Values of sensitive fields, as the first entries of their scope's vault."""
-    kept = classified.filter(F.col("type").isNotNull() & (F.trim("value") != ""))
+    kept = where(classified, F.col("type").isNotNull() & (F.trim("value") != ""))
     return kept.select(F.col(scope).alias("scope"), F.lit(seq).cast("long").alias("seq"), "type", F.trim("value").alias("value"))
 
 

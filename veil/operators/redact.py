@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
 from veil.functions.detect import find_spans, leak_spans, values_only
-from veil.functions.text import digits_of, has, jvm, rewrite, trimmed
+from veil.functions.text import digits_of, has, jvm, let, trimmed
 from veil.plans.ordered import each, numbered, seq_bucket
 from veil.operators.known import textual_hits
 from veil.session import settled
@@ -97,7 +97,11 @@ def registration_order(placed: Column) -> Column:
 
 def row_vault(placed: Column) -> Column:
     """Vault of a single text: ``[TYPE_n]`` by order of first registration, first type of a value wins."""
-    ordered = registration_order(placed)
+    entries = let(registration_order(placed), _numbered_by_type)
+    return F.when(F.size(placed) == 0, F.array().cast(VAULT)).otherwise(entries)
+
+
+def _numbered_by_type(ordered: Column) -> Column:
     by_type = [F.struct(F.lit(kind).alias("type"), F.array_distinct(F.transform(
         F.filter(ordered, lambda s: s["type"] == kind), lambda s: s["value"])).alias("values")) for kind in rules.PII_TYPES]
 
@@ -105,11 +109,10 @@ def row_vault(placed: Column) -> Column:
         # A value seen under two types belongs to the type that registered it first.
         return F.filter(t["values"], lambda v: F.get(F.filter(ordered, lambda s: s["value"] == v), 0)["type"] == t["type"])
 
-    entries = F.flatten(F.transform(F.array(*by_type), lambda t: F.transform(
+    return F.flatten(F.transform(F.array(*by_type), lambda t: F.transform(
         owned(t), lambda v, i: F.struct(
             F.concat(F.lit("["), t["type"], F.lit("_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"),
             t["type"].alias("type"), (i + 1).cast("int").alias("n"), v.alias("value")))))
-    return F.when(F.size(placed) == 0, F.array().cast(VAULT)).otherwise(entries)
 
 
 def _from_vault(vault: Column):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
 from veil.functions.payload import check_image, check_known, check_patterns, check_structure
+from veil.session import settled
 
 KNOWN = "array<struct<type:string,value:string>>"
 
@@ -78,11 +79,10 @@ def gate(df: DataFrame, body: str = "body", known: str | None = None) -> DataFra
 
 def write_gated(gated: DataFrame, keys: list[str], allowed_path: str, quarantine_path: str, body: str = "body",
                 mode: str = "append") -> None:
-    """Allowed bodies to one place, value-free reasons to the other; nothing else is written.
-
-    One partitioned write decides each row once; both folders are filled from it."""
-    allowed = gated.filter(F.col("gate") == "allowed").select(*keys, body)
-    held = gated.filter(F.col("gate") == "blocked").select(*keys, "gate_reason")
+    """Allowed bodies to one place, value-free reasons to the other; nothing else is written. Each row is decided once."""
+    decided = settled(gated.select(*keys, "gate", "gate_reason", F.when(F.col("gate") == "allowed", F.col(body)).alias(body)))
+    allowed = decided.filter(F.col("gate") == "allowed").select(*keys, body)
+    held = decided.filter(F.col("gate") == "blocked").select(*keys, "gate_reason")
     allowed.write.mode(mode).parquet(allowed_path)
     held.write.mode(mode).parquet(quarantine_path)
 

@@ -29,6 +29,11 @@ def each(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
 
 
+def where(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that is not pushed below the (costly) columns it tests, which would copy and evaluate them again."""
+    return df.withColumn("__keep", F.explode_outer(F.array(condition))).filter("__keep").drop("__keep")
+
+
 def _with_carry(df: DataFrame, carry: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
     renamed = carry.select(*[F.col(n).alias(f"__{n}") for n in names], *columns)
     cond = F.lit(True)

@@ -9,7 +9,7 @@ from veil.functions import detect as D, text as X
 from veil.functions.payload import check_image, check_patterns, check_structure
 from veil.operators import fields as FL, known as K, redact as R, verify as V
 from veil.plans import check_sql as C, derived as G
-from veil.plans.ordered import each
+from veil.plans.ordered import each, where
 from veil.plans.registry import query
 
 DOCS = "SELECT doc_id AS k, text AS t FROM documents"
@@ -322,7 +322,7 @@ def l07(spark, sf):
 @query("a10_closed_contract", f"SELECT reason, count(*) AS n FROM (SELECT {_HISTORY_REASON} AS reason FROM events) WHERE reason IS NOT NULL GROUP BY 1")
 def a10(spark, sf):
     rows = G.derive(spark, sf, _HISTORY, "events").select(check_structure(F.col("body")).alias("reason"))
-    return rows.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
+    return where(rows, F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("s08_request_payload", """SELECT id, '{"task":"read order ' || CAST(id AS VARCHAR) || '","page":{"url":"https://example.com/' || CAST(id AS VARCHAR) || '","title":"order","elements":[{"id":"el_a","tag":"a","text":"Go","role":"link"}],"text":"'
@@ -341,8 +341,8 @@ def s08(spark, sf):
 @query("s12_gate_routes", f"SELECT CASE WHEN reason IS NULL THEN 'allowed' ELSE 'quarantine' END AS route, reason IS NULL AS has_body, count(*) AS n FROM (SELECT {_VERDICT} AS reason FROM documents) GROUP BY 1, 2")
 def s12(spark, sf):
     gated = V.gate(_known(_payloads(spark, sf)), "body", "known")
-    kept = gated.filter("gate = 'allowed'").select(F.lit("allowed").alias("route"), F.col("body").isNotNull().alias("has_body"))
-    held = gated.filter("gate = 'blocked'").select(F.lit("quarantine").alias("route"), F.lit(False).alias("has_body"))
+    kept = where(gated, F.col("gate") == "allowed").select(F.lit("allowed").alias("route"), F.col("body").isNotNull().alias("has_body"))
+    held = where(gated, F.col("gate") == "blocked").select(F.lit("quarantine").alias("route"), F.lit(False).alias("has_body"))
     return kept.unionByName(held).groupBy("route", "has_body").agg(F.count("*").alias("n"))
 
 
