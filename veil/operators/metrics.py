@@ -61,6 +61,13 @@ def recall_by(rows: DataFrame, by: list[str], found: str = "found") -> DataFrame
         "recall", ratio(F.col("found"), F.col("expected")))
 
 
+def best_boxes(truth: DataFrame, found: DataFrame, page: list[str], key: list[str]) -> DataFrame:
+    """Per truth box its best IoU and coverage, ``matched`` (IoU >= 0.5) and ``covered`` (coverage >= 0.9)."""
+    from veil.operators.boxes import best_match
+    best = best_match(truth, found, page, key)
+    return best.withColumn("matched", F.col("iou") >= rules.IOU_MATCH).withColumn("covered", F.col("coverage") >= rules.COVER_MATCH)
+
+
 def value_key(value: Column) -> Column:
     """Equal for the same value: by digits when it has four or more and nothing but number signs, else in any case."""
     digits = digits_of(value)
@@ -165,5 +172,3 @@ def report(rows: DataFrame) -> DataFrame:
     """Table lines rendered from stored results only."""
     return rows.select("area", F.concat(F.lit("| "), F.concat_ws(" | ", "area", "metric", F.col("value").cast("string")), F.lit(" |")).alias("line"))
 
-
-THRESHOLDS = {"iou": rules.IOU_MATCH, "coverage": rules.COVER_MATCH}

@@ -10,7 +10,7 @@ from veil.functions.text import one_space
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 ENGINE = (
     "struct<blocks:array<struct<paragraphs:array<struct<lines:array<struct<text:string,confidence:double,bbox:" + _BOX
-    + ",words:array<struct<text:string,confidence:double,bbox:" + _BOX + ">>>>>>>>"
+    + ",words:array<struct<text:string,confidence:double,bbox:" + _BOX + ">>>>>>>>>"
 )
 
 
