@@ -360,16 +360,21 @@ def r10(spark, sf):
     return _masks(spark, sf).withColumn("p", padded).select("page", "line", F.col("p")[0]["x"].alias("x"), F.col("p")[0]["width"].alias("width"))
 
 
-@query("m05_box_match", f"""WITH w AS ({BOXES}) SELECT a.page, a.line, round(coalesce(max({_IOU}), 0), 6) AS iou, coalesce(max({_IOU}), 0) >= 0.5 AS matched, coalesce(max({_COVER}), 0) >= 0.9 AS covered
-  FROM w a LEFT JOIN w b ON a.page = b.page AND b.line % 2 = 1 WHERE a.line % 2 = 0 GROUP BY 1, 2""")
-def m05(spark, sf):
+_BEST = f"""SELECT a.page, a.line, a.partkey, a.suppkey, max(CASE WHEN b.page IS NULL THEN 0 ELSE {_IOU} END) AS iou, max(CASE WHEN b.page IS NULL THEN 0 ELSE {_COVER} END) AS cover
+  FROM w a LEFT JOIN w b ON a.page = b.page AND b.line % 2 = 1 WHERE a.line % 2 = 0 GROUP BY 1, 2, 3, 4"""
+
+
+def _best(spark, sf):
     rows = _boxes(spark, sf)
-    best = M.best_boxes(rows.filter("line % 2 = 0").select("page", "line", "bbox"), rows.filter("line % 2 = 1"), ["page"], ["line"])
-    return best.select("page", "line", F.round("iou", 6).alias("iou"), "matched", "covered")
+    truth = rows.filter("line % 2 = 0").select("page", "line", "partkey", "suppkey", "bbox")
+    return M.best_boxes(truth, rows.filter("line % 2 = 1"), ["page"], ["line"])
 
 
-@query("m06_mask_coverage", f"""WITH w AS ({BOXES}) SELECT count(*) AS boxes, count(*) FILTER (c >= 0.9) AS masked FROM (SELECT a.page, a.line, coalesce(max({_COVER}), 0) AS c FROM w a LEFT JOIN w b ON a.page = b.page AND b.line % 2 = 1 WHERE a.line % 2 = 0 GROUP BY 1, 2)""")
+@query("m05_box_match", f"WITH w AS ({BOXES}) SELECT page, line, partkey, suppkey, round(iou, 6) AS iou, iou >= 0.5 AS matched, cover >= 0.9 AS covered FROM ({_BEST})")
+def m05(spark, sf):
+    return _best(spark, sf).select("page", "line", "partkey", "suppkey", F.round("iou", 6).alias("iou"), "matched", "covered")
+
+
+@query("m06_mask_coverage", f"WITH w AS ({BOXES}) SELECT count(*) AS boxes, count(*) FILTER (cover >= 0.9) AS masked FROM ({_BEST})")
 def m06(spark, sf):
-    rows = _boxes(spark, sf)
-    best = M.best_boxes(rows.filter("line % 2 = 0").select("page", "line", "bbox"), rows.filter("line % 2 = 1"), ["page"], ["line"])
-    return best.agg(F.count("*").alias("boxes"), F.count_if("covered").alias("masked"))
+    return _best(spark, sf).agg(F.count("*").alias("boxes"), F.count_if("covered").alias("masked"))
