@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from veil import rules
 
 _SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_WORD_START = r"(?<![A-Za-z0-9_])"
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 SPAN = "array<struct<start:int,type:string,value:string>>"
@@ -25,7 +26,9 @@ def jvm(pattern: str) -> str:
         elif pair == r"\S" and not in_class:
             out.append(f"[^{_SPACES}]")
         elif pair == r"\b" and not in_class:
-            out.append(_BOUNDARY)
+            # At the head of a rule (or of a top-level alternative) a word character always follows.
+            leading = "".join(out) in ("", "(?i)") or out[-1] == "|"
+            out.append(_WORD_START if leading else _BOUNDARY)
         elif pattern[i] == "\\":
             out.append(pair)
         else:
@@ -140,19 +143,21 @@ def match_spans(text: Column, pattern: str, kind: str, guard: Column) -> Column:
     ``guard`` is a cheap necessary condition; the pattern itself runs only on rows that pass it.
     """
     java = jvm(pattern)
-    found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, java, -1), 1, F.size(found)), found,
-                       lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
-    state = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    spans = F.aggregate(
-        pairs, state,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-            F.array_append(acc["out"], span(acc["at"] + p["gap"], kind, p["value"])).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(guard & text.rlike(java), spans).otherwise(no_spans())
+
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(F.slice(F.split(text, java, -1), 1, F.size(found)), found,
+                           lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+        return F.aggregate(
+            pairs, F.struct(F.lit(0).alias("at"), no_spans().alias("out")),
+            lambda acc, p: F.struct(
+                (acc["at"] + p["gap"] + F.length(p["value"])).alias("at"),
+                F.array_append(acc["out"], span(acc["at"] + p["gap"], kind, p["value"])).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    every = let(F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)))
+    return F.coalesce(F.when(guard, every), no_spans())
 
 
 def claim(lists: list[Column]) -> Column:

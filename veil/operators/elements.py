@@ -78,56 +78,54 @@ def page_signature(elements: DataFrame, page: list[str], pos: str = "pos", key:
     return counts.join(hashed, page)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], name: str = "name") -> DataFrame:
-    """Rows of two tables whose names denote one control, joined on what similar names must share.
+def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str = "name") -> DataFrame:
+    """(on, name, name_2): distinct names of two tables that denote one control, joined on what similar names must share.
 
-    Equal names meet on the name; a long prefix meets on its first 8 characters; Jaccard >= 0.6 implies the pair shares a
-    token among the rarest ``n - ceil(0.6 n) + 1`` of each side (prefix filter), so common words never pair everything.
+    Equal names meet on the name; a long prefix meets on its first 8 characters; Jaccard >= 0.6 implies that a pair shares
+    one of the rarest ``n - ceil(0.6 n) + 1`` tokens of each side (prefix filter), so common words never pair everything and
+    copies of a name are compared once.
     """
-    cols = [c for c in right.columns if c not in on]
-    r = right.select(*on, *[F.col(c).alias(f"{c}_2") for c in cols])
-    words = F.array_distinct(F.filter(F.split(name, " "), lambda t: t != ""))
-    counts = (left.select(*on, words.alias("w")).unionByName(right.select(*on, words.alias("w")))
-              .select(*on, F.explode("w").alias("__t")).groupBy(*on, "__t").agg(F.count("*").alias("__f")))
-
-    def prefixes(df: DataFrame, column: str) -> DataFrame:
-        """Distinct names with their rare tokens: copies of a name are compared once."""
-        names = df.select(*on, F.col(column).alias("__name")).distinct()
-        w = F.array_distinct(F.filter(F.split("__name", " "), lambda t: t != ""))
-        tokens = names.select(*on, "__name", F.size(w).alias("__n"), F.explode(w).alias("__t")).join(counts, [*on, "__t"])
+    a = left.select(*on, F.col(name).alias("__name")).distinct()
+    b = right.select(*on, F.col(name).alias("__name")).distinct()
+
+    def words() -> Column:
+        return F.array_distinct(F.filter(F.split("__name", " "), lambda t: t != ""))
+
+    counts = a.unionByName(b).select(*on, F.explode(words()).alias("__t")).groupBy(*on, "__t").agg(F.count("*").alias("__f"))
+
+    def keys(names: DataFrame) -> DataFrame:
+        tokens = names.select(*on, "__name", F.size(words()).alias("__n"), F.explode(words()).alias("__t")).join(counts, [*on, "__t"])
         ranked = tokens.groupBy(*on, "__name", "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "__t"))).alias("__ts"))
         keep = F.col("__n") - F.ceil(F.col("__n") * F.lit(rules.SIMILARITY_MIN) - F.lit(1e-9)) + 1
-        return ranked.select(*on, "__name", F.explode(F.slice("__ts", F.lit(1), keep.cast("int"))).alias("t")).select(
+        rare = ranked.select(*on, "__name", F.explode(F.slice("__ts", F.lit(1), keep.cast("int"))).alias("t")).select(
             *on, "__name", F.concat(F.lit("t:"), F.col("t.__t")).alias("__k"))
+        long = F.length("__name") >= rules.SIMILAR_PREFIX_MIN
+        lead = F.when(long, F.concat(F.lit("p:"), F.left("__name", F.lit(rules.SIMILAR_PREFIX_MIN)))).otherwise(F.concat(F.lit("e:"), F.col("__name")))
+        return rare.unionByName(names.select(*on, "__name", lead.alias("__k")))
 
-    def leading(df: DataFrame, column: str) -> DataFrame:
-        long = F.length(column) >= rules.SIMILAR_PREFIX_MIN
-        key = F.when(long, F.concat(F.lit("p:"), F.left(column, F.lit(rules.SIMILAR_PREFIX_MIN)))).otherwise(F.concat(F.lit("e:"), F.col(column)))
-        return df.select(*on, F.col(column).alias("__name"), key.alias("__k")).distinct()
-
-    a = prefixes(left, name).unionByName(leading(left, name))
-    b = prefixes(r, f"{name}_2").unionByName(leading(r, f"{name}_2")).withColumnRenamed("__name", "__name_2")
-    pairs = a.join(b, [*on, "__k"]).select(*on, "__name", "__name_2").distinct().filter(same_name(F.col("__name"), F.col("__name_2")))
-    met = left.withColumn("__name", F.col(name)).join(pairs, [*on, "__name"])
-    return met.join(r.withColumn("__name_2", F.col(f"{name}_2")), [*on, "__name_2"]).drop("__name", "__name_2")
+    pairs = keys(a).join(keys(b).withColumnRenamed("__name", "__name_2"), [*on, "__k"]).select(*on, "__name", "__name_2").distinct()
+    return pairs.filter(same_name(F.col("__name"), F.col("__name_2"))).select(*on, F.col("__name").alias(name), F.col("__name_2").alias(f"{name}_2"))
 
 
 def resolve(before: DataFrame, after: DataFrame, page: list[str]) -> DataFrame:
     """Finds every earlier control again: by id while its name is the same, else by fingerprint.
 
-    Both sides: page, element_id, name, tag, role, context. Adds method/code: ps-id, semantic, ambiguous_target, unknown_target.
+    Both sides: page, element_id, name, tag, role, context. Adds ``outcome`` (ps-id, semantic, ambiguous_target or
+    unknown_target) and ``resolved_id``. Fingerprints are counted before they meet, so many alike controls stay one row.
     """
+    finger = ["name", "tag", "role", "context"]
     same_id = after.select(*page, "element_id", F.col("name").alias("__live"))
-    tried = before.join(same_id, [*page, "element_id"], "left")
-    by_id = F.coalesce(same_name(F.col("__live"), F.col("name")), F.lit(False))
-    tried = tried.withColumn("__by_id", by_id)
-    lost = tried.filter(~F.col("__by_id") & (F.col("name") != "")).select(*page, "element_id", "name", "tag", "role", "context")
-    pairs = similar_pairs(lost, after.select(*page, "element_id", "name", "tag", "role", "context"), page)
+    tried = before.withColumn("context", F.coalesce("context", F.lit(""))).join(same_id, [*page, "element_id"], "left")
+    tried = tried.withColumn("__by_id", F.coalesce(same_name(F.col("__live"), F.col("name")), F.lit(False)))
+    lost = tried.filter(~F.col("__by_id") & (F.col("name") != "")).select(*page, *finger).distinct()
+    seen = after.withColumn("context", F.coalesce("context", F.lit(""))).groupBy(*page, *finger).agg(
+        F.count("*").alias("__c"), F.min("element_id").alias("__id")).select(
+        *page, *[F.col(c).alias(f"{c}_2") for c in finger], "__c", "__id")
+    pairs = lost.join(similar_names(lost, after, page), [*page, "name"]).join(seen, [*page, "name_2"])
     fits = ((F.col("role") == F.col("role_2")) | (F.col("tag") == F.col("tag_2"))) & (
-        (F.coalesce("context", F.lit("")) == "") | (F.coalesce("context_2", F.lit("")) == "") | (F.col("context") == F.col("context_2")))
-    matches = (pairs.filter(fits & (F.col("element_id") != F.col("element_id_2")))
-               .groupBy(*page, "element_id").agg(F.count("*").alias("__m"), F.min("element_id_2").alias("__to")))
-    done = tried.join(matches, [*page, "element_id"], "left")
+        (F.col("context") == "") | (F.col("context_2") == "") | (F.col("context") == F.col("context_2")))
+    matches = pairs.filter(fits).groupBy(*page, *finger).agg(F.sum("__c").alias("__m"), F.min("__id").alias("__to"))
+    done = tried.join(matches, [*page, *finger], "left")
     n = F.coalesce("__m", F.lit(0))
     outcome = F.when(F.col("__by_id"), "ps-id").when(n == 1, "semantic").when(n > 1, "ambiguous_target").otherwise("unknown_target")
     target = F.when(F.col("__by_id"), F.col("element_id")).when(n == 1, F.col("__to"))

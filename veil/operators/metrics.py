@@ -108,9 +108,9 @@ def redaction_scores(cases: DataFrame, by: list[str]) -> DataFrame:
 
 def line_scores(spans: DataFrame, expected: DataFrame, case: list[str]) -> DataFrame:
     """Older line-level form: a line with detections is a true positive if it holds an expected key of a matched type."""
-    hits = spans.join(expected.select(*case, "type", value_key(F.col("value")).alias("__v"), F.lit(True).alias("__ok")),
-                      [*case, "type"], "left")
-    ok = F.coalesce(F.col("__ok") & (value_key(F.col("value")) == F.col("__v")), F.lit(False))
+    truth = expected.select(*case, "type", value_key(F.col("value")).alias("__v")).distinct().withColumn("__ok", F.lit(True))
+    hits = spans.withColumn("__v", value_key(F.col("value"))).join(truth, [*case, "type", "__v"], "left")
+    ok = F.coalesce("__ok", F.lit(False))
     per_line = hits.groupBy(*case, "line").agg(F.bool_or(ok).alias("tp"))
     return per_line.groupBy(*case).agg(F.count_if("tp").alias("tp"), F.count_if(~F.col("tp")).alias("fp"))
 
@@ -139,7 +139,7 @@ def stage_share(runs: DataFrame, metrics: str = "metrics", total: str = "Total")
     """Mean time of each stage over the mean total, in percent with one decimal; a run without a stage counts as zero."""
     n = runs.agg(F.count("*").alias("n"), F.sum(F.try_element_at(F.col(metrics), F.lit(total))).alias("t"))
     stages = runs.select(F.explode(metrics).alias("stage", "ms")).filter(F.col("stage") != total).groupBy("stage").agg(F.sum("ms").alias("s"))
-    return stages.join(F.broadcast(n)).select("stage", F.round(F.try_divide(F.col("s") / F.col("n"), F.col("t") / F.col("n")) * 100, 1).alias("percent"))
+    return stages.withColumn("__one", F.lit(1)).join(n.withColumn("__one", F.lit(1)), "__one").select("stage", F.round(F.try_divide(F.col("s") / F.col("n"), F.col("t") / F.col("n")) * 100, 1).alias("percent"))
 
 
 def compare(before: DataFrame, after: DataFrame, metric: str = "metric") -> DataFrame:

@@ -19,15 +19,15 @@ def select_offers(offers: DataFrame, targets: DataFrame, width: float = 100.0) -
     maximum and minimum), never a band of pairs.
     """
     prices = offers.groupBy("price").agg(F.count("*").alias("n_offers"), F.min("offer_id").alias("first_offer"))
-    points = prices.select(F.col("price").alias("at"), "price", F.lit(None).cast("long").alias("target_id"), F.lit(0).alias("side")).unionByName(
-        targets.select(F.col("amount").alias("at"), F.lit(None).cast("double").alias("price"), F.col("target_id").cast("long").alias("target_id"), F.lit(1).alias("side")))
-    up = running_totals(points.withColumn("__all", F.lit(0)), ["__all"], _price_bucket(F.col("at"), width), [F.col("at"), F.col("side")],
-                        {"below": F.col("price")}, largest=True)
-    down = running_totals(points.withColumn("__all", F.lit(0)), ["__all"], -_price_bucket(F.col("at"), width), [-F.col("at"), F.col("side")],
-                          {"above": -F.col("price")}, largest=True)
-    near = up.filter(F.col("side") == 1).select("target_id", "below").join(
-        down.filter(F.col("side") == 1).select("target_id", (-F.col("above")).alias("above")), "target_id")
-    rows = targets.join(near, "target_id")
+    # Each distinct price and amount once, so a frequent amount is one point.
+    points = prices.select(F.col("price").alias("at"), "price", F.lit(0).alias("side")).unionByName(
+        targets.select(F.col("amount").alias("at"), F.lit(None).cast("double").alias("price"), F.lit(1).alias("side")).distinct())
+    points = points.withColumn("__all", F.lit(0))
+    up = running_totals(points, ["__all"], _price_bucket(F.col("at"), width), [F.col("at"), F.col("side")], {"below": F.col("price")}, largest=True)
+    down = running_totals(points, ["__all"], -_price_bucket(F.col("at"), width), [-F.col("at"), F.col("side")], {"above": -F.col("price")}, largest=True)
+    near = up.filter(F.col("side") == 1).select(F.col("at").alias("amount"), "below").join(
+        down.filter(F.col("side") == 1).select(F.col("at").alias("amount"), (-F.col("above")).alias("above")), "amount")
+    rows = targets.join(near, "amount")
     amount, below, above = F.col("amount"), F.col("below"), F.col("above")
     closest = F.filter(F.array_compact(F.array(below, above)), lambda p: F.abs(p - amount) == F.least(
         F.abs(F.coalesce(below, above) - amount), F.abs(F.coalesce(above, below) - amount)))

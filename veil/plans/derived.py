@@ -87,8 +87,18 @@ FROM {documents}
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer file splits than cores is dealt out before costly row work; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return {n: table(spark, sf_dir, n) for n in names}
 
 
 def derive(spark: SparkSession, sf_dir: str, recipe: str, *names: str) -> DataFrame:

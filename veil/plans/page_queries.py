@@ -15,7 +15,7 @@ BOXES = G.as_cte(G.BOXES)
 
 
 def _parsed(spark, sf):
-    return H.parse_pages(spark.read.parquet(f"{sf}/pages.parquet"), ["page_id"])
+    return H.parse_pages(G.spread(G.table(spark, sf, "pages")), ["page_id"])
 
 
 def _elements(spark, sf):
@@ -154,10 +154,10 @@ def _same(a: str, b: str) -> str:
 _NAMED = "SELECT p_partkey AS id, p_size AS page, lower(p_name || ' ' || p_type || ' ' || replace(p_brand, '#', ' ')) AS name FROM {part}"
 
 
-@query("e06_same_name_similarity", f"WITH n AS ({G.as_cte(_NAMED)}) SELECT a.page, a.id AS id, b.id AS id_2 FROM n a JOIN n b ON a.page = b.page AND a.id < b.id WHERE {_same('a.name', 'b.name')}")
+@query("e06_same_name_similarity", f"WITH n AS (SELECT DISTINCT page, name FROM ({G.as_cte(_NAMED)})) SELECT a.page, a.name, b.name AS name_2 FROM n a JOIN n b ON a.page = b.page AND a.name < b.name WHERE {_same('a.name', 'b.name')}")
 def e06(spark, sf):
     names = G.derive(spark, sf, _NAMED, "part")
-    return E.similar_pairs(names, names, ["page"]).filter("id < id_2").select("page", "id", "id_2")
+    return E.similar_names(names, names, ["page"]).filter("name < name_2")
 
 
 _BEFORE = "SELECT p_size AS page, 'el_' || CAST(p_partkey AS STRING) AS element_id, lower(p_name || ' ' || replace(p_brand, '#', ' ') || ' ' || p_type) AS name, 'a' AS tag, 'link' AS role, '' AS context FROM {part}"
@@ -200,12 +200,13 @@ _IOU = f"({_INTER}) / (a.width * a.height + b.width * b.height - ({_INTER}))"
 _COVER = f"({_INTER}) / (a.width * a.height)"
 
 
-@query("v01_iou_and_coverage", f"WITH w AS ({BOXES}) SELECT a.page, a.line, b.line AS line_2, round({_IOU}, 6) AS iou, round({_COVER}, 6) AS coverage FROM w a JOIN w b ON a.page = b.page AND a.line < b.line WHERE {_INTER} > 0")
+@query("v01_iou_and_coverage", f"""WITH w AS ({BOXES}), b AS (SELECT page, min(x) AS x, min(y) AS y, max(x + width) / 2 AS width, max(y + height) / 2 AS height FROM w GROUP BY 1)
+  SELECT a.page, a.line, a.partkey, a.suppkey, round({_IOU}, 6) AS iou, round({_COVER}, 6) AS coverage FROM w a JOIN b ON a.page = b.page""")
 def v01(spark, sf):
-    a = _boxes(spark, sf).select("page", "line", F.col("bbox").alias("a"))
-    b = a.select("page", F.col("line").alias("line_2"), F.col("a").alias("b"))
-    pairs = B.touching(a, b, ["page"], F.col("a"), F.col("b")).filter("line < line_2").filter(GE.intersection(F.col("a"), F.col("b")) > 0)
-    return pairs.select("page", "line", "line_2", F.round(GE.iou(F.col("a"), F.col("b")), 6).alias("iou"), F.round(GE.coverage(F.col("a"), F.col("b")), 6).alias("coverage"))
+    rows = _boxes(spark, sf)
+    frames = rows.groupBy("page").agg(F.min("x").alias("bx"), F.min("y").alias("by"), (F.max(F.col("x") + F.col("width")) / 2).alias("bw"), (F.max(F.col("y") + F.col("height")) / 2).alias("bh"))
+    both = rows.join(frames, "page").withColumn("frame", GE.box("bx", "by", "bw", "bh"))
+    return both.select("page", "line", "partkey", "suppkey", F.round(GE.iou(F.col("bbox"), F.col("frame")), 6).alias("iou"), F.round(GE.coverage(F.col("bbox"), F.col("frame")), 6).alias("coverage"))
 
 
 @query("v02_merge_passes", f"""WITH w AS ({BOXES}) SELECT page, line, 1 AS pass FROM w WHERE line % 2 = 0 UNION ALL SELECT page, line, 2 FROM w a WHERE line % 2 = 1 AND NOT EXISTS (
@@ -314,7 +315,7 @@ _LAYOUT_VALUES = """SELECT o_orderkey AS page, 1 AS line, 'OTP' AS type, CAST(10
 
 
 def _layout(spark, sf):
-    return G.derive(spark, sf, _LAYOUT, "orders").withColumn("bbox", GE.box("x", "y", "width", "height")).select("page", "line", "text", "bbox")
+    return G.spread(G.derive(spark, sf, _LAYOUT, "orders")).withColumn("bbox", GE.box("x", "y", "width", "height")).select("page", "line", "text", "bbox")
 
 
 @query("d13_layout_label_pairing", _LAYOUT_VALUES)

@@ -15,8 +15,11 @@ from veil.streaming import rules_in_time as S
 
 ACTIONS = G.as_cte(G.ACTIONS)
 TASKS = G.as_cte(G.TASKS)
-BUCKET = time_bucket(F.col("ts"), 24 * 3_600_000_000)
-ORDER = [F.col("ts"), F.col("event_id")]
+
+
+def _in_time():
+    """Bucket and order of an event log."""
+    return time_bucket(F.col("ts"), 24 * 3_600_000_000), [F.col("ts"), F.col("event_id")]
 
 
 def _actions(spark, sf):
@@ -66,7 +69,7 @@ def _validated(spark, sf):
     controls = G.derive(spark, sf, _CONTROLS, "events").withColumn("options", F.split("opts", "[|]")).withColumn("pii_type", F.nullif("pii", F.lit(""))).withColumn(
         "multiple", F.lit(False)).withColumn("editable", F.lit(False))
     vault = _events(spark, sf).select("user_id").distinct().withColumn("placeholder", F.lit("[EMAIL_1]")).withColumn("type", F.lit("EMAIL"))
-    return P.validate_actions(G.derive(spark, sf, _BODIES, "events"), controls, vault, ["user_id"])
+    return P.validate_actions(G.spread(G.derive(spark, sf, _BODIES, "events")), controls, vault, ["user_id"])
 
 
 @query("a01_validate_action", f"SELECT event_id, {_CODE} AS code FROM events")
@@ -108,7 +111,7 @@ _MANY = "task_id % 8 IN (0, 3, 6, 7)"
   SELECT event_id, prior_adds, is_add AND ((sure > 0 AND (NOT many OR alike > 0 OR vague > 0 OR context = '')) OR (prior_adds >= 2 AND NOT many)) AS repeated FROM (SELECT *, {_MANY} AS many FROM w)""")
 def a06(spark, sf):
     rows = _actions(spark, sf).join(_tasks(spark, sf), "task_id")
-    return P.cart_repeats(rows, ["task_id"], BUCKET, ORDER).select("event_id", "prior_adds", "repeated")
+    return P.cart_repeats(rows, ["task_id"], *_in_time()).select("event_id", "prior_adds", "repeated")
 
 
 
@@ -128,7 +131,7 @@ _DEEDS = """SELECT conv_id, turn, CASE (conv_id + turn) % 9 WHEN 0 THEN 'Buy a k
 
 @query("a08_task_safety_guard", """SELECT conv_id, turn, CASE (conv_id + turn) % 9 WHEN 0 THEN 'harm-to-person' WHEN 2 THEN 'means-for-harm' WHEN 3 THEN 'self-harm' WHEN 5 THEN 'dangerous-device' WHEN 6 THEN 'targeting-person' WHEN 7 THEN 'ambiguous-harm' END AS category FROM conversations""")
 def a08(spark, sf):
-    return G.derive(spark, sf, _DEEDS, "conversations").select("conv_id", "turn", TK.task_category(F.col("task")).alias("category"))
+    return G.spread(G.derive(spark, sf, _DEEDS, "conversations")).select("conv_id", "turn", TK.task_category(F.col("task")).alias("category"))
 
 
 @query("a09_outcome_code", f"""SELECT event_id, CASE WHEN code IS NULL THEN 'UNKNOWN_ERROR' WHEN code IN ('unknown_target', 'incompatible_target') THEN 'STALE_TARGET' WHEN code = 'ambiguous_target' THEN 'AMBIGUOUS_TARGET' WHEN code IN ('unsupported_action', 'unsupported_by_executor') THEN 'UNSUPPORTED_ACTION'
@@ -196,12 +199,12 @@ _W = "WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)"
   FROM ({ACTIONS}) {_W}""")
 def j01(spark, sf):
     rows = _actions(spark, sf).withColumn("controls", F.array_join("labels", "|")).withColumn("dialogs", F.lit(0)).withColumn("mutations", F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)).drop("effect")
-    return T.action_effects(rows, ["task_id"], BUCKET, ORDER).select("event_id", "effect")
+    return T.action_effects(rows, ["task_id"], *_in_time()).select("event_id", "effect")
 
 
 @query("j02_effect_reconciliation", f"""SELECT event_id, CASE WHEN effect IN ('no_change', 'unknown') THEN CASE WHEN lead(url) OVER w <> url THEN 'url_changed' WHEN lead(title) OVER w <> title OR lead(labels) OVER w <> labels THEN 'dom_changed' ELSE effect END ELSE effect END AS corrected FROM ({ACTIONS}) {_W}""")
 def j02(spark, sf):
-    return T.reconcile_effects(_actions(spark, sf), ["task_id"], BUCKET, ORDER).select("event_id", "corrected")
+    return T.reconcile_effects(_actions(spark, sf), ["task_id"], *_in_time()).select("event_id", "corrected")
 
 
 @query("j03_cart_count", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id % 50 WHEN 1 THEN event_id % 70 WHEN 2 THEN 3 WHEN 3 THEN NULL END AS n FROM events")
@@ -287,13 +290,13 @@ _SIG = "action || '|' || coalesce(target, '∅') || '|' || coalesce(value, '∅'
 @query("j10_repeat_and_cycle", f"""WITH s AS (SELECT event_id, task_id, ts, {_SIG} AS sig FROM ({ACTIONS})), l AS (SELECT *, lag(sig) OVER w AS prev, list(sig) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS seen FROM s {_W})
   SELECT event_id, coalesce(prev = sig, false) AS repeated, len(list_filter(seen, lambda v: v = sig)) >= 3 AS cycling FROM l""")
 def j10(spark, sf):
-    return T.loops(_actions(spark, sf), ["task_id"], BUCKET, ORDER).select("event_id", "repeated", "cycling")
+    return T.loops(_actions(spark, sf), ["task_id"], *_in_time()).select("event_id", "repeated", "cycling")
 
 
 @query("j11_no_effect_streak", f"""SELECT event_id, count(*) OVER p = 3 AND bool_and(effect = 'no_change') OVER p AS stuck FROM ({ACTIONS}) WINDOW p AS (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def j11(spark, sf):
     rows = _actions(spark, sf).withColumn("synthetic", F.lit(False))
-    return T.no_effect_streak(rows, ["task_id"], BUCKET, ORDER).select("event_id", "stuck")
+    return T.no_effect_streak(rows, ["task_id"], *_in_time()).select("event_id", "stuck")
 
 
 def _budget_rows(spark, sf):
@@ -307,7 +310,7 @@ def _budget_rows(spark, sf):
   h AS (SELECT *, CASE WHEN steps > 30 THEN 'steps' WHEN rounds > 3 THEN 'rounds' WHEN recovery > CASE WHEN event_id % 13 = 0 THEN 1 ELSE 3 END THEN 'recoveries' WHEN failed > 2 THEN 'failed_actions' WHEN warned > 1 THEN 'repeat_warnings' END AS breach FROM b)
   SELECT task_id, event_id, breach FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS r FROM h WHERE breach IS NOT NULL) WHERE r = 1""")
 def j12(spark, sf):
-    rows = T.budget_breaches(_budget_rows(spark, sf), ["task_id"], BUCKET, ORDER)
+    rows = T.budget_breaches(_budget_rows(spark, sf), ["task_id"], *_in_time())
     return rows.select("task_id", F.col("first_step.event_id").alias("event_id"), "breach")
 
 
@@ -472,7 +475,7 @@ def s10(spark, sf):
 @query("w01_settle_windows", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
   SELECT user_id, count(*) AS mutations, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM s GROUP BY user_id, n""")
 def w01(spark, sf):
-    rows = S.settle_sessions(_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "30 minutes")
+    rows = S.settle_islands(_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 1_800_000, 24 * 3_600_000)
     return rows.select("user_id", "mutations", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 

@@ -19,19 +19,19 @@ PAYLOADS = G.as_cte(G.PAYLOADS)
 
 
 def _docs(spark, sf, *columns):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", *columns)
+    return G.spread(G.table(spark, sf, "documents").select("doc_id", "text", *columns))
 
 
 def _labelled(spark, sf):
-    return G.derive(spark, sf, G.LABELLED_TEXT, "orders")
+    return G.spread(G.derive(spark, sf, G.LABELLED_TEXT, "orders"))
 
 
 def _fields(spark, sf):
-    return G.derive(spark, sf, G.FIELDS, "customer")
+    return G.spread(G.derive(spark, sf, G.FIELDS, "customer"))
 
 
 def _payloads(spark, sf):
-    return G.derive(spark, sf, G.PAYLOADS, "documents")
+    return G.spread(G.derive(spark, sf, G.PAYLOADS, "documents"))
 
 
 def _rows(df, key, spans):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
-from veil.plans.ordered import each, previous_rows
+from veil.plans.ordered import each, previous_rows, running_totals
 
 
 def settle_sessions(mutations: DataFrame, page: str, ts: str, gap: str = f"{rules.SETTLE_QUIET_MS} milliseconds", watermark: str | None = None) -> DataFrame:
@@ -16,6 +16,18 @@ def settle_sessions(mutations: DataFrame, page: str, ts: str, gap: str = f"{rule
     return grouped.select(page, "mutations", "first", "last")
 
 
+def settle_islands(mutations: DataFrame, page: str, ts: str, gap_ms: int = rules.SETTLE_QUIET_MS, width_ms: int = 3_600_000) -> DataFrame:
+    """The batch form of ``settle_sessions``: gaps and islands over time buckets, so one page with a third of all
+    mutations is spread over tasks."""
+    at = F.unix_micros(ts)
+    bucket = F.floor(at / (width_ms * 1000))
+    rows = previous_rows(mutations.withColumn("__us", at), [page], bucket, [F.col("__us")], [F.col("__us").alias("at")], 1, "__prev")
+    fresh = F.coalesce(F.col("__us") - F.get("__prev", 0)["at"] >= gap_ms * 1000, F.lit(True))
+    marked = rows.select(page, ts, "__us", fresh.cast("int").alias("__fresh"))
+    numbered = running_totals(marked, [page], bucket, [F.col("__us"), F.col("__fresh").desc()], {"__island": F.col("__fresh")})
+    return numbered.groupBy(page, "__island").agg(F.count("*").alias("mutations"), F.min(ts).alias("first"), F.max(ts).alias("last")).drop("__island")
+
+
 def settle_times(mutations: DataFrame, loads: DataFrame, page: str, ts: str, quiet_ms: int = rules.SETTLE_QUIET_MS,
                  grace_ms: int = rules.SETTLE_GRACE_MS, max_ms: int = rules.SETTLE_MAX_MS) -> DataFrame:
     """Per page load the moment it counts as settled, in milliseconds after the load, and whether it did before the cap.
@@ -70,4 +82,4 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str, watermark: str) -> Da
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-__all__ = ["settle_sessions", "settle_times", "within_batch", "effect_join", "evidence_join", "dedupe_stream"]
+__all__ = ["settle_sessions", "settle_islands", "settle_times", "within_batch", "effect_join", "evidence_join", "dedupe_stream"]
