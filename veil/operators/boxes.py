@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veil import rules
 from veil.functions.detect import find_spans, label_type, matches_shape
 from veil.functions.geometry import area, bottom, box, coverage, iou, overlap_x, overlap_y, pad, right, union_box
-from veil.functions.text import sub, trimmed
+from veil.functions.text import let, sub, trimmed
 from veil.plans.ordered import previous_rows, running_totals, seq_bucket, where
 from veil.session import settled
 
@@ -91,7 +91,9 @@ def label_type_of_line(text: Column) -> Column:
     name = sub(trimmed(text), r"[:\-–]+$", "")
     words = F.size(F.split(name, r"\s+"))
     short = (name != "") & (F.length(name) <= rules.MAX_LABEL_CHARS) & (words <= rules.MAX_LABEL_WORDS)
-    return F.when(short & ~name.rlike("[0-9]{3,}") & (F.size(find_spans(text)) == 0), label_type(name))
+    # The keyword rules are cheaper than the detector, so only lines that name a type are searched for values.
+    kind = let(label_type(name), lambda k: F.when(k.isNotNull() & (F.size(find_spans(text)) == 0), k))
+    return F.when(short & ~name.rlike("[0-9]{3,}"), kind)
 
 
 def neighbour_distance(a: Column, b: Column) -> Column:
