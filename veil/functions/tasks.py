@@ -40,7 +40,7 @@ def navigation_block(url: Column, task: Column, current: Column) -> Column:
     parsed = url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
     scheme = F.lower(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
     label, here = site_label(url), site_label(current)
-    spoken = F.concat(F.lit("(?i)(^|[^a-z0-9])"), F.regexp_replace(label, "([^a-z0-9])", r"\\\\$1"), F.lit(r"([^a-z0-9]|\z)"))
+    spoken = F.concat(F.lit("(?i)(^|[^a-z0-9])"), F.regexp_replace(label, "([^a-z0-9])", r"\\$1"), F.lit(r"([^a-z0-9]|\z)"))
     return (
         F.when(~F.coalesce(parsed, F.lit(False)), "invalid_url").when(~scheme.isin("http", "https"), "scheme")
         .when(label == "", "no_host").when(F.rlike(task, spoken), F.lit(None))
