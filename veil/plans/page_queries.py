@@ -42,14 +42,14 @@ def s01(spark, sf):
     return parsed.select("page_id", "url", "title", F.size(shown).cast("long").alias("n_elements"))
 
 
-@query("s02_page_text_main_first", "SELECT page_id, left(t, 200) AS head FROM (SELECT page_id, trim(regexp_replace(regexp_replace(" + _UNESCAPE.format(
+@query("s02_page_text_main_first", "SELECT page_id, t AS main FROM (SELECT page_id, trim(regexp_replace(regexp_replace(" + _UNESCAPE.format(
     "regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<!--.*?-->|<script>.*?</script>', '', 'g'), '</?(p|h1|h2|div|br|ul|li)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')")
     + ", '[ \\t\\r]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), chr(10) || ' ') AS t FROM pages) WHERE length(t) >= 200")
 def s02(spark, sf):
     parsed = _parsed(spark, sf)
     article = F.get(F.filter("nodes", lambda n: n["tag"] == "article"), 0)["text"]
     rows = parsed.select("page_id", H.page_text(parsed, ["article"]).alias("t"), F.length(article).alias("n"))
-    return rows.filter("n >= 200").select("page_id", F.left("t", F.lit(200)).alias("head"))
+    return rows.filter("n >= 200").select("page_id", F.left("t", F.col("n")).alias("main"))
 
 
 @query("s03_interactive_elements", f"SELECT page_id, pos, 'a' AS tag, 'link' AS role, label FROM ({_LINKS})")
@@ -225,7 +225,7 @@ def v03(spark, sf):
 
 _LINES = """SELECT page, line, confidence, x, y, width, height, CASE line % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Price: Rs ' || CAST(900 + (partkey % 100) AS STRING) WHEN 2 THEN 'Buy ' || p_name ELSE upper(replace(p_name, ' ', '')) END AS text
   FROM (""" + G.BOXES + ") b JOIN {part} p ON p.p_partkey = b.partkey"
-_BUTTONS = "SELECT p_name AS label, min(p_partkey) AS button_pos, min(p_partkey) AS button_id FROM {part} WHERE p_partkey % 2 = 0 GROUP BY p_name"
+_BUTTONS = "SELECT p_name AS label, min(p_partkey) AS button_pos, min(p_partkey) AS button_id FROM {part} GROUP BY p_name"
 _MATCH = """SELECT text, tier, pos FROM (SELECT text, tier, pos, row_number() OVER (PARTITION BY text ORDER BY tier, pos) AS r FROM (SELECT t.text, b.button_pos AS pos, CASE WHEN t.n = b.n THEN 1 WHEN length(replace(b.n, ' ', '')) >= 5 AND replace(t.n, ' ', '') = replace(b.n, ' ', '') THEN 2
     WHEN length(b.n) >= 5 AND (starts_with(t.n, b.n) OR suffix(t.n, b.n)) THEN 3 END AS tier FROM t JOIN b ON true) WHERE tier IS NOT NULL) WHERE r = 1"""
 _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -291,11 +291,12 @@ def v09(spark, sf):
     return FU.fuse(obs, pages, ["page"]).select("page", "line", "fate", "conflict")
 
 
-@query("v10_source_reconciliation", """WITH a AS (SELECT p_partkey AS key, p_retailprice AS v FROM part WHERE p_partkey % 10 <> 0), b AS (SELECT l_partkey AS key, min(l_extendedprice / l_quantity) AS v FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY 1)
+@query("v10_source_reconciliation", """WITH a AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN -1 - p_partkey ELSE p_partkey END AS key, p_retailprice AS v FROM part), b AS (SELECT CASE WHEN l_partkey % 7 = 0 THEN -1000000 - l_partkey ELSE l_partkey END AS key, min(l_extendedprice / l_quantity) AS v FROM lineitem GROUP BY 1)
   SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.v IS NULL THEN 'left_only' WHEN a.v IS NULL THEN 'right_only' WHEN abs(a.v - b.v) <= 50 THEN 'match' ELSE 'conflict' END AS state FROM a FULL JOIN b ON a.key = b.key""")
 def v10(spark, sf):
-    a = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("v"))
-    b = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_partkey % 7 <> 0").groupBy(F.col("l_partkey").alias("key")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+    k, m = F.col("p_partkey"), F.col("l_partkey")
+    a = spark.read.parquet(f"{sf}/part.parquet").select(F.when(k % 10 == 0, F.lit(-1) - k).otherwise(k).alias("key"), F.col("p_retailprice").alias("v"))
+    b = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.when(m % 7 == 0, F.lit(-1000000) - m).otherwise(m).alias("key")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
     return FU.reconcile(a, b, "key", "v", 50.0).select("key", "state")
 
 
@@ -328,9 +329,9 @@ def d14(spark, sf):
     return B.visual_pii(_layout(spark, sf), ["page"])
 
 
-@query("r05_register_ocr_values", f"SELECT page AS scope, type, value FROM ({_LAYOUT_VALUES}) WHERE line <> 3")
+@query("r05_register_ocr_values", f"SELECT page AS scope, type, value FROM ({_LAYOUT_VALUES})")
 def r05(spark, sf):
-    return FL.line_seeds(B.layout_values(_layout(spark, sf), ["page"]), "page").filter("type <> 'CARD'").select("scope", "type", "value")
+    return FL.line_seeds(B.layout_values(_layout(spark, sf), ["page"]), "page").select("scope", "type", "value")
 
 
 @query("r08_history_trim", "SELECT task_id, event_id, action, target, value FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY event_id DESC) AS r FROM (" + G.as_cte(G.ACTIONS) + ")) WHERE r <= 10")

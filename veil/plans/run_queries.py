@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from veil.functions import tasks as TK
 from veil.functions.text import normalize
 from veil.operators import metrics as M, offers as OF, policy as P, trajectory as T
-from veil.plans import derived as G
+from veil.operators.redact import detections
+from veil.plans import check_sql as C, derived as G
 from veil.plans.ordered import each, time_bucket
 from veil.plans.registry import query
 from veil.sources import logs as L
@@ -375,20 +376,25 @@ def m03(spark, sf):
 def m04(spark, sf):
     from veil.operators.fusion import match_buttons
     parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_type").alias("style"), F.concat("p_name", F.lit(" no "), "p_partkey").alias("label"))
-    buttons = parts.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("button_pos"), F.col("p_partkey").alias("button_id"), F.upper("label").alias("label"))
+    label = F.when(F.col("p_partkey") % 2 == 0, F.upper("label")).otherwise(F.concat(F.lit("other "), F.col("p_partkey")))
+    buttons = parts.select(F.col("p_partkey").alias("button_pos"), F.col("p_partkey").alias("button_id"), label.alias("label"))
     hit = match_buttons(parts.withColumnRenamed("label", "text"), buttons, [], ["p_partkey"]).withColumn("found", F.col("target") == F.col("p_partkey"))
     return M.recall_by(hit.withColumn("found", F.coalesce("found", F.lit(False))), ["style"])
 
 
-@query("m07_pii_precision_recall", """WITH truth AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]{16}')) AS v FROM documents), found AS (SELECT doc_id, v FROM truth WHERE doc_id % 3 <> 0 UNION SELECT doc_id, CAST(doc_id AS VARCHAR) || 'x' FROM documents WHERE doc_id % 50 = 0),
-  j AS (SELECT t.v AS tv, f.v AS fv FROM truth t FULL JOIN found f ON t.doc_id = f.doc_id AND t.v = f.v), c AS (SELECT count(*) FILTER (tv IS NOT NULL AND fv IS NOT NULL) AS tp, count(*) FILTER (tv IS NULL) AS fp, count(*) FILTER (fv IS NULL) AS fn FROM j)
-  SELECT 'text' AS channel, tp, fp, fn, round(CAST(tp AS DOUBLE) / (tp + fp), 3) AS precision, round(CAST(tp AS DOUBLE) / (tp + fn), 3) AS recall FROM c""")
+@query("m07_pii_precision_recall", f"""WITH src AS (SELECT doc_id AS k, text AS t FROM documents), {C.find('f', 'src')},
+  truth AS (SELECT DISTINCT doc_id, 'CARD' AS type, unnest(regexp_extract_all(text, '[0-9]{{16}}')) AS v FROM documents UNION SELECT DISTINCT doc_id, 'EMAIL', unnest(regexp_extract_all(text, '[a-z0-9.]+@mail[0-9]+\\.example\\.com')) FROM documents),
+  found AS (SELECT DISTINCT k AS doc_id, type, CASE type WHEN 'EMAIL' THEN lower(value) ELSE regexp_replace(value, '[^0-9]', '', 'g') END AS v FROM f),
+  c AS (SELECT coalesce(t.type, f.type) AS type, count(*) FILTER (t.v IS NOT NULL AND f.v IS NOT NULL) AS tp, count(*) FILTER (t.v IS NULL) AS fp, count(*) FILTER (f.v IS NULL) AS fn FROM truth t FULL JOIN found f ON t.doc_id = f.doc_id AND t.type = f.type AND t.v = f.v GROUP BY 1)
+  SELECT *, round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 3) AS precision, round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 3) AS recall FROM c""")
 def m07(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    truth = each(docs, ["doc_id"], F.regexp_extract_all("text", F.lit("[0-9]{16}"), F.lit(0)), "value").withColumn("channel", F.lit("text"))
-    spaced = F.concat(F.left("value", F.lit(4)), F.lit(" "), F.substring("value", 5, 12))
-    extra = docs.filter("doc_id % 50 = 0").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("X")).alias("value"), F.lit("text").alias("channel"))
-    return M.pii_scores(truth, truth.filter("doc_id % 3 <> 0").withColumn("value", spaced).unionByName(extra), ["doc_id"], ["channel"])
+
+    def seeded(kind, pattern):
+        return each(docs, ["doc_id"], F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "value").withColumn("type", F.lit(kind))
+
+    truth = seeded("CARD", "[0-9]{16}").unionByName(seeded("EMAIL", r"[a-z0-9.]+@mail[0-9]+\.example\.com"))
+    return M.pii_scores(truth, detections(docs, ["doc_id"]), ["doc_id"], ["type"])
 
 
 def _cases(spark, sf):
@@ -439,14 +445,14 @@ def m10(spark, sf):
     return M.stage_share(_runs(spark, sf).withColumn("metrics", F.map_filter("metrics", lambda k, _v: k != "Round"))).select("stage", "percent")
 
 
-@query("m12_before_after", """WITH b AS (SELECT event_type AS metric, count(*) FILTER (value > 50) AS p, count(*) AS w FROM events WHERE event_id % 2 = 0 AND event_type <> 'view' GROUP BY 1), a AS (SELECT event_type AS metric, count(*) FILTER (value > 50) AS p, count(*) AS w FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY 1)
+@query("m12_before_after", """WITH b AS (SELECT CASE event_type WHEN 'view' THEN 'old' ELSE event_type END AS metric, count(*) FILTER (value > 50) AS p, count(*) AS w FROM events WHERE event_id % 2 = 0 GROUP BY 1), a AS (SELECT CASE event_type WHEN 'click' THEN 'new' ELSE event_type END AS metric, count(*) FILTER (value > 50) AS p, count(*) AS w FROM events WHERE event_id % 2 = 1 GROUP BY 1)
   SELECT coalesce(b.metric, a.metric) AS metric, CAST(b.p AS VARCHAR) || '/' || CAST(b.w AS VARCHAR) AS before, printf('%.1f%%', b.p * 100.0 / b.w) AS before_pct, CAST(a.p AS VARCHAR) || '/' || CAST(a.w AS VARCHAR) AS after, printf('%.1f%%', a.p * 100.0 / a.w) AS after_pct FROM b FULL JOIN a ON a.metric = b.metric""")
 def m12(spark, sf):
-    def half(n, without):
-        rows = _events(spark, sf).filter((F.col("event_id") % 2 == n) & (F.col("event_type") != without))
-        return rows.groupBy(F.col("event_type").alias("metric")).agg(F.count_if(F.col("value") > 50).alias("part"), F.count("*").alias("whole"))
+    def half(n, kind, renamed):
+        rows = _events(spark, sf).filter(F.col("event_id") % 2 == n)
+        return rows.groupBy(F.when(F.col("event_type") == kind, renamed).otherwise(F.col("event_type")).alias("metric")).agg(F.count_if(F.col("value") > 50).alias("part"), F.count("*").alias("whole"))
 
-    return M.compare(half(0, "view"), half(1, "click"))
+    return M.compare(half(0, "view", "old"), half(1, "click", "new"))
 
 
 @query("m14_cold_warm_split", _stats_sql("SELECT event_type AS kind, unnest(['all', CASE WHEN event_id % 4 = 0 THEN 'cold' ELSE 'warm' END]) AS set, value FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 2", "kind, set", "value"))
