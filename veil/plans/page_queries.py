@@ -8,6 +8,7 @@ from veil.functions import geometry as GE, text as X
 from veil.operators import boxes as B, elements as E, fields as FL, fusion as FU, metrics as M, trajectory as T
 from veil.plans import derived as G
 from veil.plans.registry import query
+from veil.plans.text_queries import FIELDS, _CLASSES
 from veil.session import settled
 from veil.sources import html as H, ocr as O
 
@@ -78,9 +79,9 @@ def s06(spark, sf):
     return H.form_fields(_forms(spark, sf), ["field_id"]).select("field_id", "field_label", "nearby", "value", "context")
 
 
-@query("d10_classify_page_fields")
+@query("d10_classify_page_fields", f"SELECT f.field_id, c.type, CAST(c.score AS BIGINT) AS score FROM ({FIELDS}) f LEFT JOIN ({_CLASSES}) c ON c.field_id = f.field_id")
 def d10p(spark, sf):
-    return FL.classify_fields(H.form_fields(_forms(spark, sf), ["field_id"])).select("field_id", "type", "score", F.array_join("signals", ",").alias("signals"))
+    return FL.classify_fields(H.form_fields(_forms(spark, sf), ["field_id"])).select("field_id", "type", F.col("score").cast("long").alias("score"))
 
 
 _OCR = """SELECT page, line, '{{"blocks":[{{"paragraphs":[{{"lines":[{{"text":"' || CASE line % 3 WHEN 0 THEN '' ELSE ' line  ' || CAST(partkey AS STRING) END || '","confidence":' || CASE line % 2 WHEN 0 THEN '87.456' ELSE '0.5' END
