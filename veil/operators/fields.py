@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veil import rules
 from veil.functions.detect import keyword_types, value_shape
 from veil.functions.text import let
-from veil.plans.ordered import where
+from veil.plans.ordered import sealed, where
 
 VOTES = "array<struct<type:string,weight:int,signal:string>>"
 ATTRIBUTES = [("name", "name"), ("id", "id"), ("class", "class"), ("placeholder", "placeholder"), ("aria_label", "aria-label"), ("field_label", "label")]
@@ -59,8 +59,9 @@ def classify_fields(fields: DataFrame) -> DataFrame:
     rows = fields.withColumn("__best", let(votes, lambda all_votes: F.array_max(F.array(
         *[entry(all_votes, kind, rank) for rank, kind in enumerate(rules.PII_TYPES)]))))
     counts = F.col("__best.score") >= rules.FIELD_THRESHOLD
-    return (rows.withColumn("type", F.when(counts, F.col("__best.type"))).withColumn("score", F.when(counts, F.col("__best.score")))
+    out = (rows.withColumn("type", F.when(counts, F.col("__best.type"))).withColumn("score", F.when(counts, F.col("__best.score")))
             .withColumn("signals", F.when(counts, F.col("__best.signals"))).drop("__best"))
+    return sealed(out, ["type", "score", "signals"])
 
 
 def field_seeds(classified: DataFrame, scope: str, seq: int = 0) -> DataFrame:

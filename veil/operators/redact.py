@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veil import rules
 from veil.functions.detect import find_spans, leak_spans, values_only
 from veil.functions.text import digits_of, has, jvm, let, trimmed
-from veil.plans.ordered import each, numbered, seq_bucket
+from veil.plans.ordered import each, numbered, sealed, seq_bucket
 from veil.operators.known import textual_hits
 from veil.session import settled
 
@@ -124,7 +124,7 @@ def redact_rows(df: DataFrame, text: str = "text") -> DataFrame:
     rows = two_passes(df, text)
     rows = rows.withColumn("vault", row_vault(F.col("__placed")))
     rows = rows.withColumn("redacted", _fill(F.col("__text"), F.col("__placed"), _from_vault(F.col("vault"))))
-    return rows.drop("__text", "__placed")
+    return sealed(rows.drop("__text", "__placed"), ["vault", "redacted"])
 
 
 def rehydrate_rows(df: DataFrame, redacted: str = "redacted", vault: str = "vault", name: str = "restored") -> DataFrame:
@@ -134,7 +134,7 @@ def rehydrate_rows(df: DataFrame, redacted: str = "redacted", vault: str = "vaul
     gaps = F.split(text, rules.PLACEHOLDER_IN_TEXT, -1)
     back = F.transform(marks, lambda m: F.coalesce(F.get(F.filter(entries, lambda e: e["placeholder"] == m), 0)["value"], m))
     pieces = F.zip_with(gaps, back, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
-    return df.withColumn(name, F.array_join(pieces, ""))
+    return sealed(df.withColumn(name, F.array_join(pieces, "")), [name])
 
 
 # --- many texts share a scope ---------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
 from veil.functions.payload import check_image, check_known, check_patterns, check_structure
+from veil.plans.ordered import sealed
 from veil.session import settled
 
 KNOWN = "array<struct<type:string,value:string>>"
@@ -61,7 +62,7 @@ def verify(df: DataFrame, body: str = "body", known: str | None = None) -> DataF
     rows = (rows.withColumn("reason", reason).withColumn("checks", F.slice(ran, F.lit(1), count))
             .withColumn("verdict", F.when(F.col("reason").isNull(), "allowed").otherwise("blocked"))
             .withColumn("type", F.when(F.col("reason").isNotNull(), F.coalesce("__k", "__p", F.lit("UNKNOWN")))))
-    return rows.drop("__s", "__i", "__k", "__p")
+    return sealed(rows.drop("__s", "__i", "__k", "__p"), ["verdict", "reason", "type", "checks"])
 
 
 def gate(df: DataFrame, body: str = "body", known: str | None = None) -> DataFrame:

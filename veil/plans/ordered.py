@@ -34,6 +34,13 @@ def where(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__keep", F.explode_outer(F.array(condition))).filter("__keep").drop("__keep")
 
 
+def sealed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same rows; later filters on the named (costly) columns test their values instead of copying their expressions."""
+    others = [c for c in df.columns if c not in names]
+    packed = df.select(*others, F.explode_outer(F.array(F.struct(*names))).alias("__o"))
+    return packed.select(*others, *[F.col(f"__o.{n}").alias(n) for n in names])
+
+
 def _with_carry(df: DataFrame, carry: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
     renamed = carry.select(*[F.col(n).alias(f"__{n}") for n in names], *columns)
     cond = F.lit(True)
