@@ -167,7 +167,8 @@ def _replace_all(text: Column, entries: Column) -> Column:
     ordered = F.array_sort(entries, lambda a, b: F.coalesce(
         F.nullif((b["size"] - a["size"]).cast("int"), F.lit(0)),
         F.when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0)))
-    return F.aggregate(ordered, text, lambda acc, e: F.regexp_replace(acc, known_pattern(e["value"]), e["mark"]))
+    # A value too short to be replaced has no pattern and leaves the text as it is.
+    return F.aggregate(ordered, text, lambda acc, e: F.coalesce(F.regexp_replace(acc, known_pattern(e["value"]), e["mark"]), acc))
 
 
 def _number_keys(text: Column) -> Column:
