@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veil.llm.common import query, stored, table
+from veil.llm.common import held_out, query, stored, table
 
 GRAM = 4
 SLOTS = 1 << 20
@@ -165,11 +165,6 @@ def known_languages(docs: DataFrame, model: Model, min_score: float = 0.2) -> Da
     return rows.where((F.col(name)["lang"] != "und") & (F.col(name)["score"] >= min_score)).drop(name)
 
 
-def held_out(rest: int, of: int) -> Column:
-    """True where crc32 of doc_id as text leaves ``rest``; a null doc_id is not held out."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == rest, F.lit(False))
-
-
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from rows that are not held out."""
