@@ -18,7 +18,6 @@ from veil.llm.common import query, stored, table
 
 RANGES = 4096
 ROW = ["doc_id", "mark"]
-ID = F.struct("doc_id", "mark", "i")
 
 
 def _mark() -> Column:
@@ -128,17 +127,17 @@ def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 _SQL = """
-WITH pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents),
+WITH pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
 lines AS (SELECT *, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS words FROM pieces WHERE trim(line) <> ''),
 placed AS (SELECT *, row_number() OVER w AS i, coalesce(sum(words) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-           FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY at)),
-runs AS (SELECT doc_id, i, at, count(*) OVER r AS len, max(at) OVER r AS last, sum(words) OVER r AS words, string_agg(trim(line), chr(10)) OVER r AS run
+           FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+runs AS (SELECT doc_id, i, place, count(*) OVER r AS len, max(place) OVER r AS last, sum(words) OVER r AS words, string_agg(trim(line), chr(10)) OVER r AS run
          FROM placed WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
 heads AS (SELECT *, first(doc_id) OVER h AS head_doc, first(i) OVER h AS head_i FROM runs WHERE words >= 50
           WINDOW h AS (PARTITION BY run ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, last + 1)) AS at FROM heads WHERE doc_id <> head_doc OR i >= head_i + len),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS text FROM pieces p
-         WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.at = p.at) GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, unnest(range(place, last + 1)) AS place FROM heads WHERE doc_id <> head_doc OR i >= head_i + len),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM pieces p
+         WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.place = p.place) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
        coalesce((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id), 0) AS deleted_lines
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id

@@ -37,7 +37,7 @@ def fingerprint_of(raw: bytes | None, shingle: int) -> int:
         part = words[at:at + WORDS_AT_ONCE + shingle - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
         hashes = np.array([digest(g, SEED) for g in grams], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
