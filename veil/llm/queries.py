@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing it registers them."""
 
-from veil.llm import language, line_dedup, simhash  # noqa: F401
+from veil.llm import decontamination, language, line_dedup, packing, simhash  # noqa: F401
 from veil.llm.common import ORACLES, QUERIES  # noqa: F401
