@@ -183,7 +183,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1)
 
 
 def _packer(window: int, level: int, again: bool):
-    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop(columns="part").sort_values(["length", "ids_crc32", "start"], kind="stable").reset_index(drop=True)
         sequence, offset = windows_of(group["length"].to_numpy(np.int64), window)
         lost = np.array([padding(int(n), window) for n in np.bincount(sequence, weights=group["length"])])
