@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -174,7 +173,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECE}, sequence_id long, offset long, settled boolean"
     while True:
         dealt = rest.withColumn("part", F.floor(F.rand(level) * groups))
-        out = stored(dealt.groupBy("part").applyInPandas(_packer(window, level, groups > 1), schema), "packed")
+        out = stored(dealt.groupBy("part").applyInArrow(_packer(window, level, groups > 1), schema), "packed")
         done.append(out.where("settled").drop("settled"))
         if groups == 1:
             return _all(done)
@@ -183,13 +182,16 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1)
 
 
 def _packer(window: int, level: int, again: bool):
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop(columns="part").sort_values(["length", "ids_crc32", "start"], kind="stable").reset_index(drop=True)
-        sequence, offset = windows_of(group["length"].to_numpy(np.int64), window)
-        lost = np.array([padding(int(n), window) for n in np.bincount(sequence, weights=group["length"])])
-        open_ = np.argsort(-lost, kind="stable")[:2] if again else []
-        return group.assign(sequence_id=(level << 56) + (int(key[0]) << 24) + sequence, offset=offset,
-                            settled=~np.isin(sequence, [n for n in open_ if lost[n]]))
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.drop_columns(["part"]).sort_by([("length", "ascending"), ("ids_crc32", "ascending"), ("start", "ascending")])
+        lengths = group["length"].to_numpy()
+        sequence, offset = windows_of(lengths, window)
+        lost = np.array([padding(int(n), window) for n in np.bincount(sequence, weights=lengths)])
+        unsettled = [n for n in np.argsort(-lost, kind="stable")[:2] if lost[n]] if again else []
+        ids = (level << 56) + (key[0].as_py() << 24) + sequence
+        for name, column in (("sequence_id", ids), ("offset", offset), ("settled", ~np.isin(sequence, unsettled))):
+            group = group.append_column(name, pa.array(column))
+        return group
 
     return pack
 

@@ -95,6 +95,112 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+# --- near-duplicates by similarity: wider distances than equal coordinate groups can serve -------------------------------------------
+
+
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, fp, mark): th is the hash of the text, mark that of its lower-cased words."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("raw")]
+            marks = [_signed(xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 1)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([fingerprint_of(t, shingle) for t in texts], pa.int64()),
+                                              pa.array(marks, pa.int64())], names=["doc_id", "th", "fp", "mark"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw"))
+    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, mark long")
+
+
+def sorted_links(prints: DataFrame, max_bits: int, tables: int = 48, near: int = 3) -> DataFrame:
+    """(a, b, bits): pairs of distinct fingerprints within ``max_bits`` that stand within ``near`` rows in one of ``tables`` sorted tables.
+
+    A table lists the fingerprints by their coordinates to the one-bit references, in an order of its own, so rows that share many
+    leading coordinates are neighbours, and the number they must share grows by itself with the input. Wide references discard pairs by
+    the largest coordinate difference before the distance is taken. The work is linear: no group's pairs are listed.
+    """
+    orders = np.stack([np.random.default_rng(SEED + t).permutation(64) for t in range(tables)])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.asarray(batch.column("fp"))
+            for at in range(0, len(fp), 4096):
+                part = np.ascontiguousarray(fp[at:at + 4096])
+                bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                for t, order in enumerate(orders):
+                    key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
+                    key = (key ^ np.uint64(1 << 63)).view(np.int64)  # the same order as signed numbers
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t, np.int32)), pa.array(key), pa.array(part)], names=["t", "key", "fp"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = np.array(WIDE, np.int64)
+        held_t, held = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for batch in batches:
+            t, fp = np.concatenate([held_t, np.asarray(batch.column("t"))]), np.concatenate([held, np.asarray(batch.column("fp"))])
+            coords = np.bitwise_count((fp[:, None] ^ wide[None, :]).view(np.uint64)).astype(np.int8)
+            found = []
+            for step in range(1, near + 1):
+                ok = (t[step:] == t[:-step]) & (np.abs(coords[step:] - coords[:-step]).max(axis=1, initial=0) <= max_bits)
+                i = np.flatnonzero(ok)
+                bits = np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64))
+                i, bits = i[bits <= max_bits], bits[bits <= max_bits]
+                found.append((np.minimum(fp[i], fp[i + step]), np.maximum(fp[i], fp[i + step]), bits))
+            a, b, bits = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
+            held_t, held = t[-near:], fp[-near:]
+
+    rows = prints.select("fp").where("fp IS NOT NULL").distinct().mapInArrow(listed, "t int, key long, fp long")
+    ordered = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key")
+    return ordered.mapInArrow(compared, "a long, b long, bits int").where("a <> b").distinct()
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(mark, shingles): hashes of the distinct shingles of each text, one row for each mark."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for raw in batch.column("raw"):
+                words = (raw.as_py() or b"").lower().split()
+                grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else ([b" ".join(words)] if words else [])
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")).view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "shingles"])
+
+    return docs.select("mark", "raw").mapInArrow(of, "mark long, shingles array<long>")
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 14) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest doc_id (null last; ties by text hash).
+
+    Texts of equal lower-cased words are copies. Other texts are linked if their fingerprints are at most ``max_bits`` apart and the Jaccard
+    similarity of their shingle sets is ``similarity`` or more; for each text the candidate of the smallest mark and the nearest one are
+    verified, so the work stays linear in groups of any size. Null and blank texts are copies of each other. All columns are kept.
+    """
+    key = ["mark", "fp"]
+    rows = stored(_described(docs, shingle), "described")
+    texts = rows.groupBy(*key).agg(F.min("th").alias("th"))  # one text stands for its mark
+    head = texts.groupBy("fp").agg(F.min("mark").alias("head"))
+    same = texts.join(head, "fp").where("mark <> head").select(F.col("mark").alias("x"), F.col("head").alias("y"), F.lit(0).alias("bits"))
+    near = sorted_links(texts, max_bits)
+    by_a, by_b = (head.select(F.col("fp").alias(n), F.col("head").alias(m)) for n, m in (("a", "x"), ("b", "y")))
+    linked = near.join(by_a, "a").join(by_b, "b").select("x", "y", "bits")
+    both = stored(same.unionByName(linked), "candidates")
+    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "bits"))
+    chosen = both.groupBy("x").agg(F.min("y").alias("low"), F.min(F.struct("bits", "y")).alias("close"))
+    pairs = stored(chosen.select("x", F.explode(F.array("low", F.col("close")["y"])).alias("y")).select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    wanted = pairs.select(F.col("x").alias("mark")).union(pairs.select("y")).distinct()
+    raws = docs.select(F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw")).join(texts.join(wanted, "mark").select("mark", "th"), "th").dropDuplicates(["mark"])
+    sets = stored(_shingle_sets(raws, shingle), "shingles")
+    met = pairs.join(sets.select(F.col("mark").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("mark").alias("y"), F.col("shingles").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    alike = met.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tree = components(alike)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    grouped_rows = rows.join(tree, rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
+    first = grouped_rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")["none"].alias("__none"), F.coalesce(F.col("first")["doc_id"], F.lit(0)).alias("__doc"), F.col("first")["th"].alias("__th"))
+    marked = docs.withColumns({"__none": F.col("doc_id").isNull(), "__doc": F.coalesce("doc_id", F.lit(0)), "__th": F.xxhash64("text")})
+    return marked.join(first, ["__none", "__doc", "__th"], "left_semi").dropDuplicates(["__none", "__doc", "__th"]).drop("__none", "__doc", "__th")
+
+
 @query("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, two bits."""

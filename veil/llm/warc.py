@@ -163,7 +163,8 @@ def normalised(decisions: DataFrame, folder: str) -> DataFrame:
         done = pd.DataFrame(rows, columns=["archive", "offset", "length", "page_id", "record_type", "refers_to"])
         return done.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return stored(decisions.groupBy("archive").applyInPandas(rewrite, PLACES), "warc-places")
+    exact = decisions.withColumn("refers_to", F.col("refers_to").cast("string"))  # a long with nulls would become a double
+    return stored(exact.groupBy("archive").applyInPandas(rewrite, PLACES), "warc-places")
 
 
 def read_back(places: DataFrame, folder: str) -> DataFrame:
