@@ -8,6 +8,9 @@ the least padding wins.
 
 from __future__ import annotations
 
+import re
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
@@ -26,50 +30,75 @@ GROUP = 4096
 
 
 class Ids:
-    """Token ids of a text by a tokenizer that lower-cases, drops white space and ends the last token of each part with ``</w>``.
+    """Token ids of texts by a tokenizer that lower-cases, drops white space and ends the last token of each part with ``</w>``.
 
     Words between blanks and line ends are encoded once and kept. New words are taken apart as the tokenizer would (letters, one digit, other
     signs) and their parts encoded together; words where case, composition or a special form could matter are encoded whole.
     """
 
     PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
 
     def __init__(self, tokenizer: str, end_id: int):
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4"), {}
+        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4").tobytes(), {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
+    @classmethod
+    def kept(cls, tokenizer: str, end_id: int) -> Ids:
+        """The one of this Python worker, which serves many tasks; code that travels by value has no module of its own to keep it in."""
+        store = sys.modules.setdefault("_kept_token_ids", types.ModuleType("_kept_token_ids")).__dict__
+        name = f"{xxhash.xxh64_hexdigest(tokenizer)}:{end_id}"
+        if name not in store:
+            store[name] = cls(tokenizer, end_id)
+        return store[name]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = {w for w in words if w not in known}
+        new = {w for words in split for w in words if w not in known}
         if new:
             if len(known) > CACHE:
                 known.clear()
-                new = set(words)
+                new = {w for words in split for w in words}
             self.learn(new)
-        return np.concatenate((np.frombuffer(b"".join([known[w] for w in words]), "<u4"), self.end_id))
+        return [np.frombuffer(b"".join([*[known[w] for w in words], self.end_id]), "<u4") for words in split]
 
     def learn(self, words: set[str]) -> None:
-        known, plain, whole = self.known, {}, []
+        known, plain, whole, parts = self.known, [], [], {}
         for word in words:
             low = word.lower()
-            if "'" in word or "<" in word or "\u03a3" in word or not (word.isascii() or self.simple(word) and self.simple(low)):
+            if not word.isprintable() or "'" in word or "<" in word or "\u03a3" in word:
                 whole.append(word)
+                continue
+            if word.isascii():
+                if low.isalpha():
+                    split = (low,)
+                elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+                    split = (low[:-1], low[-1])
+                else:
+                    split = self.ASCII_PARTS.findall(low)
+            elif not (self.simple(word) and self.simple(low)):
+                whole.append(word)
+                continue
             else:
-                plain[word] = self.PARTS.findall(low)
-        parts = sorted({p for split in plain.values() for p in split if p not in known})
+                split = self.PARTS.findall(low)
+            plain.append((word, split))
+            for part in split:
+                if part not in known:
+                    parts[part] = None
         if parts:
             ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) == len(parts):
-                known.update(zip(parts, (x.tobytes() for x in np.split(ids, stops[:-1]))))
+                raw = ids.tobytes()
+                known.update(zip(parts, [raw[a:b] for a, b in zip([0, *stops], stops)]))
             else:
-                self.encode(parts)
+                self.encode(list(parts))
         self.encode(whole)
-        for word, split in plain.items():
-            known[word] = b"".join([known[p] for p in split])
+        for word, split in plain:
+            known[word] = known[split[0]] if len(split) == 1 else b"".join([known[p] for p in split])
 
     def encode(self, words: list[str]) -> None:
         for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
@@ -91,15 +120,15 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) -> Dat
     ``tokenizer`` is a tokenizer's JSON; it must drop white space, so that words can be encoded apart.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Ids(tokenizer, end_id)
+        encode = Ids.kept(tokenizer, end_id)
         for batch in batches:
             owner, rows = [], []
-            for n, text in enumerate(batch.column("text")):
-                ids = encode(text.as_py() or "")
-                for start in range(0, len(ids), window):
-                    part = ids[start:start + window]
-                    owner.append(n)
-                    rows.append((start, len(part), crc(part), len(ids)))
+            for at in range(0, batch.num_rows, 64):
+                for n, ids in enumerate(encode([t or "" for t in batch.column("text")[at:at + 64].to_pylist()]), at):
+                    for start in range(0, len(ids), window):
+                        part = ids[start:start + window]
+                        owner.append(n)
+                        rows.append((start, len(part), crc(part), len(ids)))
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(owner, pa.int64())), *[pa.array(c, pa.int64()) for c in columns]],
