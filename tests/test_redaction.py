@@ -72,3 +72,28 @@ def test_gate_writes_two_places_and_no_blocked_body(spark, tmp_path):
     assert [r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
     held = spark.read.parquet(str(tmp_path / "held"))
     assert held.columns == ["k", "gate_reason"] and held.count() == 1
+
+
+ALL_TYPES = [
+    ("a", 1, "password: hunter2"), ("a", 2, "pw hunter2 again"), ("a", 3, "HUNTER2@x.com and mail b@x.com"), ("a", 4, "B@X.com otp: 12345678"),
+    ("a", 5, "code 1234-5678 or 4111 1111 1111 1111"), ("a", 6, "card 4111-1111-1111-1111, call 98765 43210"), ("a", 7, "x 9876543210 y 12345678 z"),
+    ("b", 1, "otp: 1234567"), ("b", 2, "1234567 then 12 34 567"), ("b", 3, "no value here"), ("b", 4, ""), ("c", 1, "cvv: 123"), ("c", 2, "cvv: 123 and 123"),
+]
+ALL_TYPES_OUT = [
+    "password: [PASSWORD_1]", "pw [PASSWORD_1] again", "[PASSWORD_1]@x.com and mail [EMAIL_1]", "[EMAIL_1] otp: [OTP_1]", "code [OTP_1] or [CARD_1]",
+    "card [CARD_1], call [PHONE_1]", "x [PHONE_1] y [OTP_1] z", "otp: [OTP_1]", "[OTP_1] then [OTP_1]", "no value here", "",
+]
+
+
+def test_every_type_keeps_its_placeholder_in_later_records(spark):
+    rows, vault = R.redact(spark.createDataFrame(ALL_TYPES, "scope string, seq long, text string"), ["seq"])
+    got = [r.redacted for r in rows.orderBy("scope", "seq").collect()]
+    assert got[:11] == ALL_TYPES_OUT
+    assert not [t for t in got if "␂" in t]
+    assert not vault.filter(F.col("value").contains("@x.com") & F.col("value").startswith("H")).count()
+
+
+def test_seeds_enter_the_vault_first(spark):
+    seeds = spark.createDataFrame([("a", -1, "EMAIL", "b@x.com"), ("a", -1, "ADDRESS", "12 High Street")], "scope string, seq long, type string, value string")
+    rows, vault = R.redact(spark.createDataFrame([("a", 1, "to 12 high street or B@x.com, c@x.com")], "scope string, seq long, text string"), ["seq"], seeds=seeds)
+    assert rows.first().redacted == "to [ADDRESS_1] or [EMAIL_1], [EMAIL_2]" and vault.count() == 3

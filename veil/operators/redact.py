@@ -163,10 +163,11 @@ def known_pattern(value: Column) -> Column:
 
 
 def _replace_all(text: Column, entries: Column) -> Column:
-    """Known values in an array of (size, value, mark), longest first."""
+    """Known values in an array of (size, order, value, mark, since), longest first, equal lengths in order of registration."""
     ordered = F.array_sort(entries, lambda a, b: F.coalesce(
         F.nullif((b["size"] - a["size"]).cast("int"), F.lit(0)),
-        F.when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0)))
+        F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1)
+        .when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0)))
     # A value too short to be replaced has no pattern and leaves the text as it is.
     return F.aggregate(ordered, text, lambda acc, e: F.coalesce(F.regexp_replace(acc, known_pattern(e["value"]), e["mark"]), acc))
 
@@ -197,14 +198,16 @@ def replace_known(texts: DataFrame, vault: DataFrame, row_keys: list[str], text:
                   name: str = "replaced", small: int = SMALL_VAULT) -> DataFrame:
     """Replaces known values of the scope in every text.
 
-    ``texts(scope, seq, row_keys..., text)``; ``vault(scope, value, mark, since)``. A value is known to rows with
-    ``seq > since``. A scope with a small vault meets its texts by an array join; a bigger vault is matched by
+    ``texts(scope, seq, row_keys..., text)``; ``vault(scope, value, mark, since)``, and ``order`` where values of one row
+    must keep an order. A value is known to rows with ``seq > since``. A scope with a small vault meets its texts by an array join; a bigger vault is matched by
     equi-join on what the text holds, and only the values present reach the row.
     """
+    if "order" not in vault.columns:
+        vault = vault.withColumn("order", F.struct(F.col("since").cast("long").alias("seq"), F.lit(0).alias("pass"), F.lit(0).alias("back")))
     sized = vault.groupBy("scope").agg(F.count("*").alias("__n"))
     large = sized.filter(F.col("__n") > small)
-    none = F.array().cast("array<struct<size:int,value:string,mark:string,since:long>>")
-    entry = F.struct(F.length("value").alias("size"), "value", "mark", F.col("since").cast("long").alias("since"))
+    none = F.array().cast("array<struct<size:int,order:struct<seq:bigint,pass:int,back:int>,value:string,mark:string,since:long>>")
+    entry = F.struct(F.length("value").alias("size"), "order", "value", "mark", F.col("since").cast("long").alias("since"))
     if large.isEmpty():
         arrays = vault.groupBy("scope").agg(F.collect_list(entry).alias("__small"))
         rows = texts.join(arrays, "scope", "left").withColumn("__large", none)
@@ -246,11 +249,13 @@ def _placed_rows(rows: DataFrame) -> DataFrame:
                     F.col("s.type").alias("type"), F.col("s.value").alias("value")))
 
 
-def _superseded(firsts: DataFrame) -> DataFrame:
-    """Values that stay: a later variant of an earlier value is replaced as that value and never registered."""
-    keyed = firsts.withColumn("__canon", canonical(F.col("value")))
-    earliest = keyed.groupBy("scope", "__canon").agg(F.min("seq").alias("__since"))
-    return keyed.join(earliest, ["scope", "__canon"]).filter(F.col("seq") == F.col("__since")).drop("__canon", "__since")
+def _registered(step: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Vault of what a step found: seeds first, then values in order of registration, numbered per type."""
+    found = _placed_rows(step)
+    if seeds is not None:
+        found = found.unionByName(seeds.select("scope", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("pass"),
+                                               F.lit(0).alias("back"), "type", "value"))
+    return settled(assign_placeholders(settled(first_registrations(found))))
 
 
 def redact(df: DataFrame, row_keys: list[str], text: str = "text", scope: str = "scope", seq: str = "seq",
@@ -258,44 +263,34 @@ def redact(df: DataFrame, row_keys: list[str], text: str = "text", scope: str =
     """Redacts texts that share a scope, in ``seq`` order. Returns (rows with ``redacted``, vault).
 
     ``seeds(scope, seq, type, value)`` enter the vault before any text (form fields, values read from lines); their
-    ``seq`` must be below every text's. Known values are replaced in all their variants in later rows, then the
-    detector and the verifier's patterns run on what is left.
+    ``seq`` must be below every text's. In every row, values known from earlier rows are replaced first, in all their
+    variants and with their final placeholders; the detector and the verifier's patterns then run on what is left.
+
+    What a row registers depends on the values before it, so the vault is found as a fixed point: from the values of the
+    texts as they stand, each round replaces what the vault knows and registers what is still found. After round n the
+    first n rows of every scope are settled, and a round usually settles all but those where one value cuts another; the
+    loop ends when a round leaves the vault as it was.
     """
     texts = df.withColumn("scope", F.col(scope)).withColumn("seq", F.col(seq).cast("long"))
-    fresh = _placed_rows(two_passes(texts, text))
-    if seeds is not None:
-        seeded = seeds.select("scope", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("pass"),
-                              F.lit(0).alias("back"), "type", "value")
-        fresh = fresh.unionByName(seeded)
-    # The later steps read these tables several times: written once to the shared folder.
-    known = settled(_superseded(settled(first_registrations(fresh))))
-    marks = known.select("scope", "value", F.col("seq").alias("since"), F.concat(
-        F.lit("␂"), F.col("type"), F.lit(":"), F.hex("value"), F.lit("␃")).alias("mark"))
-    step = settled(two_passes(replace_known(texts, marks, row_keys, text, "__known"), "__known"))
-    used = _placed_rows(step)
-    vault = settled(assign_placeholders(settled(first_registrations(known.unionByName(used.join(
-        known.select("scope", "value"), ["scope", "value"], "left_anti"))))))
-    # Every mark and span of a row is one lookup in the vault, by (scope, value).
-    mark_pattern = "␂[A-Z]+:([0-9A-F]*)␃"
-    decoded = F.transform(F.regexp_extract_all(F.col("__text"), F.lit(mark_pattern), F.lit(1)),
-                          lambda h: F.decode(F.unhex(h), "UTF-8"))
-    wanted = F.array_distinct(F.concat(F.transform("__placed", lambda s: s["value"]), decoded))
-    lookups = (each(step, ["scope", *row_keys], wanted, "value")
+    vault = _registered(two_passes(texts, text), seeds)
+    entry = ["scope", "value", "type", "seq", "placeholder"]
+    while True:
+        order = F.struct("seq", "pass", "back")
+        marks = vault.select("scope", "value", F.col("seq").alias("since"), F.col("placeholder").alias("mark"), order.alias("order"))
+        step = settled(two_passes(replace_known(texts, marks, row_keys, text, "__known"), "__known"))
+        again = _registered(step, seeds)
+        moved = again.select(*entry).exceptAll(vault.select(*entry)).unionByName(vault.select(*entry).exceptAll(again.select(*entry)))
+        vault = again
+        if moved.isEmpty():
+            break
+    # A value found is one lookup in the vault, by (scope, value).
+    found = F.array_distinct(F.transform("__placed", lambda s: s["value"]))
+    lookups = (each(step, ["scope", *row_keys], found, "value")
                .join(vault.select("scope", "value", "placeholder"), ["scope", "value"])
                .groupBy("scope", *row_keys).agg(F.collect_list(F.struct("value", "placeholder")).alias("__own")))
     rows = step.join(lookups, ["scope", *row_keys], "left")
-    own = F.col("__own")
-
-    def of(value: Column) -> Column:
-        return F.get(F.filter(own, lambda e: e["value"] == value), 0)["placeholder"]
-
-    filled = _fill(F.col("__text"), F.col("__placed"), lambda s: of(s["value"]))
-    gaps = F.split("__filled", mark_pattern, -1)
-    back = F.transform(F.regexp_extract_all(F.col("__filled"), F.lit(mark_pattern), F.lit(1)),
-                       lambda h: of(F.decode(F.unhex(h), "UTF-8")))
-    rows = rows.withColumn("__filled", filled).withColumn("redacted", F.array_join(
-        F.zip_with(gaps, back, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), ""))
-    return rows.drop("__text", "__placed", "__known", "__own", "__filled"), vault
+    filled = _fill(F.col("__text"), F.col("__placed"), _from_vault(F.col("__own")))
+    return rows.withColumn("redacted", filled).drop("__text", "__placed", "__known", "__own"), vault
 
 
 def rehydrate(df: DataFrame, vault: DataFrame, row_keys: list[str], text: str = "redacted", name: str = "restored") -> DataFrame:

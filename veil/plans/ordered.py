@@ -45,7 +45,7 @@ def _with_carry(df: DataFrame, carry: DataFrame, names: list[str], columns: list
     renamed = carry.select(*[F.col(n).alias(f"__{n}") for n in names], *columns)
     cond = F.lit(True)
     for n in names:
-        cond = cond & (F.col(n) == F.col(f"__{n}"))
+        cond = cond & F.col(n).eqNullSafe(F.col(f"__{n}"))
     return df.join(renamed, cond, "left").drop(*[f"__{n}" for n in names])
 
 

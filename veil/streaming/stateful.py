@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -17,51 +18,81 @@ from veil.operators.redact import _fill, canonical, two_passes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def _known_pattern(value: str) -> re.Pattern | None:
+    """What a known value is replaced in: any spacing of the same digits, or any letter case; nothing for very short ones."""
+    raw = value.strip()
+    if re.fullmatch(r"\+?[0-9\s-]+", raw):
+        digits = re.sub("[^0-9]", "", raw)
+        return re.compile(r"(?<![0-9+])\+?" + r"[\s-]*".join(digits) + "(?![0-9])") if len(digits) >= 4 else None
+    return re.compile(re.escape(raw), re.IGNORECASE) if len(raw) >= 3 else None
+
+
 class Vault(StatefulProcessor):
-    """One scope's placeholders: value variant -> placeholder, and a counter per type."""
+    """One scope's placeholders: value -> placeholder and order of registration, and a counter per type."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "canon string", "placeholder string", self.ttl_ms)
+        self.known = handle.getMapState("known", "value string", "placeholder string, at long", self.ttl_ms)
         self.counters = handle.getMapState("counters", "type string", "n long", self.ttl_ms)
 
-    def _mark(self, canon: str, kind: str) -> str:
-        if self.known.containsKey((canon,)):
-            return self.known.getValue((canon,))[0]
-        n = (self.counters.getValue((kind,))[0] if self.counters.containsKey((kind,)) else 0) + 1
-        self.counters.updateValue((kind,), (n,))
-        mark = f"[{kind}_{n}]"
-        self.known.updateValue((canon,), (mark,))
-        return mark
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """Puts the scope's marks into the stand-ins of its records, in sequence order."""
+        """Known values first, longest first; then what was found and is still there, from the last to the first of each pass."""
+        held = {k[0]: (v[0], v[1]) for k, v in self.known.iterator()}
+        counts = {k[0]: v[0] for k, v in self.counters.iterator()}
+        old_held, old_counts = dict(held), dict(counts)
+        patterns = {v: _known_pattern(v) for v in held}
         for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            text = r.text
-            marks = [(p, self._mark(c, t)) for p, c, t in zip(r.places, r.canons, r.types)]
-            for place, mark in sorted(marks, key=lambda m: -m[0]["start"]):
-                text = text[:place["start"]] + mark + text[place["start"] + place["size"]:]
+            text, taken = r.text, []
+            for value in sorted(held, key=lambda v: (-len(v), held[v][1])):
+                if patterns[value] is not None:
+                    for m in patterns[value].finditer(text):
+                        if all(m.end() <= a or m.start() >= b for a, b, _ in taken):
+                            taken.append((m.start(), m.end(), held[value][0]))
+            for s in r.spans:  # in order of registration
+                start, stop = s["start"], s["start"] + len(s["value"])
+                if any(start < b and stop > a for a, b, _ in taken):
+                    continue
+                if s["value"] not in held:
+                    counts[s["type"]] = counts.get(s["type"], 0) + 1
+                    held[s["value"]] = (f"[{s['type']}_{counts[s['type']]}]", len(held))
+                    patterns[s["value"]] = _known_pattern(s["value"])
+                taken.append((start, stop, held[s["value"]][0]))
+            for a, b, mark in sorted(taken, reverse=True):
+                text = text[:a] + mark + text[b:]
             yield pd.DataFrame({"scope": [key[0]], "seq": [r.seq], "redacted": [text]})
+        for value, entry in held.items():
+            if old_held.get(value) != entry:
+                self.known.updateValue((value,), entry)
+        for kind, n in counts.items():
+            if old_counts.get(kind) != n:
+                self.counters.updateValue((kind,), (n,))
 
     def close(self) -> None:
         pass
 
 
+def _raw_spans(placed: Column) -> Column:
+    """Detected values in order of registration, with their places in the text as it came."""
+    by_place = F.array_sort(placed)
+    moved = F.transform(by_place, lambda s, i: F.struct(
+        s["pass"].alias("pass"),
+        (-(s["start"] + F.aggregate(F.slice(by_place, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p["value"]) - p["size"]))).alias("back"),
+        s["type"].alias("type"), s["value"].alias("value")))
+    return F.transform(F.array_sort(moved), lambda s: F.struct((-s["back"]).alias("start"), s["type"].alias("type"), s["value"].alias("value")))
+
+
 def redact_stream(df: DataFrame, scope: str, seq: str, text: str, ttl_ms: int | None = None) -> DataFrame:
-    """Redacts records so that a value keeps its placeholder for the whole scope, across batches.
+    """Redacts records so that a value keeps its placeholder for the whole scope, across batches, wherever it occurs again.
 
     Detection is column code; the scope's state holds one entry per distinct value, never texts. Records of one scope must
     arrive in order across batches. A scope too hot for one task takes ``redact_stream_stateless``.
     """
     rows = two_passes(df.withColumn("scope", F.col(scope).cast("string")).withColumn("seq", F.col(seq).cast("long")), text)
-    ordered = F.array_sort("__placed", lambda a, b: F.when(a["pass"] != b["pass"], a["pass"] - b["pass"]).otherwise(b["start"] - a["start"]))
-    found = rows.select("scope", "seq", F.transform(ordered, lambda s: canonical(s["value"])).alias("canons"), F.transform(ordered, lambda s: s["type"]).alias("types"),
-                        F.col("__text").alias("text"), F.transform(ordered, lambda s: F.struct(s["start"], s["size"])).alias("places"))
-    out = found.groupBy("scope").transformWithStateInPandas(
+    found = rows.select("scope", "seq", F.col(text).alias("text"), _raw_spans(F.col("__placed")).alias("spans"))
+    return found.groupBy("scope").transformWithStateInPandas(
         Vault(ttl_ms), "scope string, seq long, redacted string", "Append", "None")
-    return out
 
 
 def redact_stream_stateless(df: DataFrame, scope: Column, text: str) -> DataFrame:
