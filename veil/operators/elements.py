@@ -46,18 +46,41 @@ def naming_text(node: Column, label: Column) -> Column:
     return F.when(field, F.trim(given)).otherwise(label)
 
 
+#: A base that the page's counter could draw as well. Longer numbers are beyond any page.
+COUNTED = "^el_[1-9][0-9]{0,8}$"
+
+
 def assign_ids(elements: DataFrame, page: list[str], base: str = "base", pos: str = "pos") -> DataFrame:
-    """Adds ``element_id``: the first element with a base keeps it, the others draw from the page's counter.
+    """Adds ``element_id``: in order of ``pos``, an element takes its base if it is free, else the counter's next free number.
 
-    Equal to drawing in sequence as long as no slug of the page is a bare number.
+    Only bases that look like a drawn id tie the two together. A page's first occurrences of such bases are few; they are folded in order
+    in one row: number n is still free when fewer than n numbers outside the kept ones have been drawn. The m-th draw of the page is then
+    the m-th number that no base keeps, and m is a running count that a page with very many elements spreads over tasks.
     """
     first = elements.filter(F.col(base).isNotNull()).groupBy(*page, base).agg(F.min(pos).alias("__first"))
     rows = elements.join(first, [*page, base], "left")
-    keeps = F.coalesce(F.col("__first") == F.col(pos), F.lit(False))
-    rows = rows.withColumn("__draws", F.when(keeps, 0).otherwise(1))
-    rows = running_totals(rows, page, seq_bucket(F.col(pos)), [F.col(pos)], {"__n": F.col("__draws")})
-    return rows.withColumn("element_id", F.when(keeps, F.col(base)).otherwise(
-        F.concat(F.lit("el_"), F.col("__n").cast("string")))).drop("__first", "__draws", "__n")
+    leads = F.coalesce(F.col("__first") == F.col(pos), F.lit(False))
+    rows = rows.withColumn("__sure", F.when(leads, 0).otherwise(1))
+    rows = running_totals(rows, page, seq_bucket(F.col(pos)), [F.col(pos)], {"__s": F.col("__sure")})
+    counted = rows.filter((F.col("__sure") == 0) & F.col(base).rlike(COUNTED))
+    mark = F.struct(F.col(pos).cast("long").alias("pos"), F.substring(base, 4, 9).cast("long").alias("n"), F.col("__s").alias("s"))
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.array().cast("array<bigint>").alias("lost"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = x["n"] - F.size(F.filter(acc["kept"], lambda k: k <= x["n"]))
+        loses = free <= x["s"] + F.size(acc["lost"])
+        return F.struct(F.when(loses, acc["kept"]).otherwise(F.array_append(acc["kept"], x["n"])).alias("kept"),
+                        F.when(loses, F.array_append(acc["lost"], x["pos"])).otherwise(acc["lost"]).alias("lost"))
+
+    folded = counted.groupBy(*page).agg(F.sort_array(F.collect_list(mark)).alias("__marks"))
+    folded = folded.select(*page, F.aggregate("__marks", start, step, lambda acc: F.struct(F.array_sort(acc["kept"]).alias("kept"), acc["lost"].alias("lost"))).alias("__f"))
+    rows = rows.join(folded, page, "left")
+    kept, lost = (F.coalesce(F.col(f"__f.{n}"), F.array().cast("array<bigint>")) for n in ("kept", "lost"))
+    draws = (F.col("__sure") == 1) | F.array_contains(lost, F.col(pos).cast("long"))
+    m = F.col("__s") + F.size(F.filter(lost, lambda p: p <= F.col(pos)))
+    number = F.aggregate(kept, m, lambda x, k: F.when(k <= x, x + 1).otherwise(x))
+    drawn = F.concat(F.lit("el_"), number.cast("string"))
+    return rows.withColumn("element_id", F.when(draws, drawn).otherwise(F.col(base))).drop("__first", "__sure", "__s", "__f")
 
 
 def top_elements(elements: DataFrame, page: list[str], k: int = rules.MAX_ELEMENTS, pos: str = "pos",
@@ -110,7 +133,7 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str =
 def resolve(before: DataFrame, after: DataFrame, page: list[str]) -> DataFrame:
     """Finds every earlier control again: by id while its name is the same, else by fingerprint.
 
-    Both sides: page, element_id, name, tag, role, context. Adds ``outcome`` (ps-id, semantic, ambiguous_target or
+    Both sides: page, element_id, name, tag, role, context. Adds ``outcome`` (same_id, semantic, ambiguous_target or
     unknown_target) and ``resolved_id``. Fingerprints are counted before they meet, so many alike controls stay one row.
     """
     finger = ["name", "tag", "role", "context"]
@@ -127,7 +150,7 @@ def resolve(before: DataFrame, after: DataFrame, page: list[str]) -> DataFrame:
     matches = pairs.filter(fits).groupBy(*page, *finger).agg(F.sum("__c").alias("__m"), F.min("__id").alias("__to"))
     done = tried.join(matches, [*page, *finger], "left")
     n = F.coalesce("__m", F.lit(0))
-    outcome = F.when(F.col("__by_id"), "ps-id").when(n == 1, "semantic").when(n > 1, "ambiguous_target").otherwise("unknown_target")
+    outcome = F.when(F.col("__by_id"), "same_id").when(n == 1, "semantic").when(n > 1, "ambiguous_target").otherwise("unknown_target")
     target = F.when(F.col("__by_id"), F.col("element_id")).when(n == 1, F.col("__to"))
     return done.withColumn("outcome", outcome).withColumn("resolved_id", target).drop("__live", "__by_id", "__m", "__to")
 

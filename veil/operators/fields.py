@@ -64,10 +64,10 @@ def classify_fields(fields: DataFrame) -> DataFrame:
     return sealed(out, ["type", "score", "signals"])
 
 
-def field_seeds(classified: DataFrame, scope: str, seq: int = 0) -> DataFrame:
-    """Values of sensitive fields, as the first entries of their scope's vault."""
+def field_seeds(classified: DataFrame, scope: str, seq: Column | int = 0) -> DataFrame:
+    """Values of sensitive fields, as the first entries of their scope's vault; ``seq`` orders the fields, and the first type of a value wins."""
     kept = where(classified, F.col("type").isNotNull() & (F.trim("value") != ""))
-    return kept.select(F.col(scope).alias("scope"), F.lit(seq).cast("long").alias("seq"), "type", F.trim("value").alias("value"))
+    return kept.select(F.col(scope).alias("scope"), (F.lit(seq) if isinstance(seq, int) else seq).cast("long").alias("seq"), "type", F.trim("value").alias("value"))
 
 
 def line_seeds(found: DataFrame, scope: str, seq: int = 1) -> DataFrame:

@@ -99,11 +99,15 @@ def validate_actions(actions: DataFrame, elements: DataFrame, vault: DataFrame,
                        extra.alias("__extra"), kind("final").isin("BOOLEAN", "ABSENT").alias("__final_ok"),
                        (kind("target").isin("STRING", "VOID", "ABSENT") & kind("value").isin("STRING", "VOID", "ABSENT")
                         & kind("reason").isin("STRING", "ABSENT")).alias("__typed"))
-    facts = elements.select(*on, F.col("element_id").alias("target"), F.col("tag").alias("e_tag"), F.col("input_type").alias("e_type"),
+    # Several controls of one id are one ambiguous control, and never several rows of the action.
+    names = ("tag", "input_type", "disabled", "multiple", "editable", "options", "pii_type", "label")
+    one = elements.groupBy(*on, "element_id").agg(F.min(F.struct(*names)).alias("__e"), F.greatest(F.max("matches"), F.count("*")).alias("matches"))
+    one = one.select(*on, "element_id", *[F.col(f"__e.{n}").alias(n) for n in names], "matches")
+    facts = one.select(*on, F.col("element_id").alias("target"), F.col("tag").alias("e_tag"), F.col("input_type").alias("e_type"),
                             F.col("disabled").alias("e_disabled"), F.col("multiple").alias("e_multiple"), F.col("editable").alias("e_editable"),
                             F.col("options").alias("e_options"), F.col("pii_type").alias("e_pii"), F.col("label").alias("e_label"),
                             F.col("matches").alias("e_matches"))
-    marks = vault.select(*on, F.col("placeholder").alias("value"), F.col("type").alias("p_type"))
+    marks = vault.groupBy(*on, F.col("placeholder").alias("value")).agg(F.min("type").alias("p_type"))
     rows = rows.join(facts, [*on, "target"], "left").join(marks, [*on, "value"], "left")
     action, target, value = F.col("action"), F.coalesce("target", F.lit("")), F.col("value")
     needs = action.isin(rules.TARGET_ACTIONS)

@@ -77,12 +77,22 @@ def budget_breaches(actions: DataFrame, task: list[str], bucket: Column, order:
     return hit.groupBy(*task).agg(F.min(step).alias("first_step"), F.min_by("breach", step).alias("breach"))
 
 
-def history_for_wire(actions: DataFrame, task: list[str], step: str = "step", kept: int = rules.HISTORY_KEPT) -> DataFrame:
-    """The last actions of a task as they may leave: local fields dropped, value and note cut."""
+def history_for_wire(actions: DataFrame, task: list[str], step: str = "step", kept: int = rules.HISTORY_KEPT, seeds: DataFrame | None = None) -> DataFrame:
+    """The last actions of a task as they may leave: local fields dropped, value and note redacted through the task's vault, then cut.
+
+    ``seeds(scope, seq, type, value)`` are values known before, scope being the task's columns as JSON and seq negative.
+    """
+    from veil.operators.redact import redact
     from veil.plans.ordered import top_per_key
-    rows = top_per_key(actions, task, [F.col(step).desc()], kept)
-    return rows.select(*task, step, "action", "target", F.left("value", F.lit(rules.MAX_HISTORY_VALUE)).alias("value"), "effect",
-                       F.left("note", F.lit(rules.MAX_NOTE)).alias("note"))
+    rows = top_per_key(actions, task, [F.col(step).desc()], kept).withColumn("__scope", F.to_json(F.struct(*task), {"ignoreNullFields": "false"}))
+    parts = F.explode(F.array(*[F.struct((F.col(step).cast("long") * 2 + i).alias("seq"), F.col(c).alias("text")) for i, c in enumerate(("value", "note"))]))
+    texts = rows.select(F.col("__scope").alias("scope"), parts.alias("p")).select("scope", "p.seq", "p.text").filter(F.col("text").isNotNull())
+    clean, _vault = redact(texts, ["seq"], seeds=seeds)
+    clean = clean.select(F.col("scope").alias("__scope"), F.col("seq"), F.col("redacted"))
+    for i, (c, limit) in enumerate((("value", rules.MAX_HISTORY_VALUE), ("note", rules.MAX_NOTE))):
+        own = clean.select("__scope", F.col("seq").alias("__seq"), F.left("redacted", F.lit(limit)).alias(f"__{c}"))
+        rows = rows.withColumn("__seq", F.col(step).cast("long") * 2 + i).join(own, ["__scope", "__seq"], "left").drop("__seq")
+    return rows.select(*task, step, "action", "target", F.col("__value").alias("value"), "effect", F.col("__note").alias("note"))
 
 
 # --- goals ---------------------------------------------------------------------------------------

@@ -129,6 +129,20 @@ def e03(spark, sf):
     return E.assign_ids(_elements(spark, sf), ["page_id"]).select("page_id", "pos", "element_id")
 
 
+_COUNTED = """SELECT p_size AS page, p_partkey AS pos, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'el_' || CAST(p_partkey % 23 + 1 AS STRING)
+  WHEN 3 THEN 'el_' || CAST(p_partkey % 5 + 1 AS STRING) WHEN 4 THEN 'el_go' WHEN 5 THEN 'el_0' || CAST(p_partkey % 3 AS STRING) ELSE 'el_' || CAST(p_partkey AS STRING) END AS base FROM {part}"""
+
+
+@query("e03_ids_with_numeric_labels", f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS rn FROM ({G.as_cte(_COUNTED)})),
+  s AS (SELECT page, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS counter, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS id FROM (SELECT DISTINCT page FROM e)
+    UNION ALL SELECT page, rn, pos, CASE WHEN own THEN counter ELSE nxt + 1 END, list_append(taken, CASE WHEN own THEN base ELSE 'el_' || nxt END), CASE WHEN own THEN base ELSE 'el_' || nxt END
+    FROM (SELECT e.page, e.rn, e.pos, e.base, s.counter, s.taken, coalesce(NOT list_contains(s.taken, e.base), false) AS own,
+          list_min([x for x in range(s.counter, s.counter + len(s.taken) + 1) if NOT list_contains(s.taken, 'el_' || x)]) AS nxt FROM s JOIN e ON e.page = s.page AND e.rn = s.rn + 1))
+  SELECT page, pos, id AS element_id FROM s WHERE rn > 0""")
+def e03_numeric(spark, sf):
+    return E.assign_ids(G.derive(spark, sf, _COUNTED, "part"), ["page"]).select("page", "pos", "element_id")
+
+
 @query("e04_priority_top_k", "SELECT page, line FROM (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS line, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_linestatus = 'O' THEN 1 ELSE 2 END, l_orderkey * 10 + l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem) WHERE r <= 20")
 def e04(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
@@ -168,7 +182,7 @@ _AFTER = """SELECT p_size AS page, 'el_' || CASE p_partkey % 3 WHEN 0 THEN 'n' E
 
 @query("e07_resolve_target", f"""WITH b AS ({G.as_cte(_BEFORE)}), a AS ({G.as_cte(_AFTER)}), i AS (SELECT b.*, coalesce({_same('a.name', 'b.name')}, false) AS by_id FROM b LEFT JOIN a ON a.page = b.page AND a.element_id = b.element_id),
   m AS (SELECT i.page, i.element_id, count(*) AS n, min(a.element_id) AS hit FROM i JOIN a ON a.page = i.page AND a.element_id <> i.element_id AND {_same('i.name', 'a.name')} WHERE NOT by_id GROUP BY 1, 2)
-  SELECT i.page, i.element_id, CASE WHEN by_id THEN 'ps-id' WHEN n = 1 THEN 'semantic' WHEN n > 1 THEN 'ambiguous_target' ELSE 'unknown_target' END AS outcome, CASE WHEN by_id THEN i.element_id WHEN n = 1 THEN hit END AS resolved_id
+  SELECT i.page, i.element_id, CASE WHEN by_id THEN 'same_id' WHEN n = 1 THEN 'semantic' WHEN n > 1 THEN 'ambiguous_target' ELSE 'unknown_target' END AS outcome, CASE WHEN by_id THEN i.element_id WHEN n = 1 THEN hit END AS resolved_id
   FROM i LEFT JOIN m ON m.page = i.page AND m.element_id = i.element_id""")
 def e07(spark, sf):
     rows = E.resolve(G.derive(spark, sf, _BEFORE, "part"), G.derive(spark, sf, _AFTER, "part"), ["page"])
@@ -335,10 +349,10 @@ def r05(spark, sf):
     return FL.line_seeds(B.layout_values(_layout(spark, sf), ["page"]), "page").select("scope", "type", "value")
 
 
-@query("r08_history_trim", "SELECT task_id, event_id, action, target, value FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY event_id DESC) AS r FROM (" + G.as_cte(G.ACTIONS) + ")) WHERE r <= 10")
+@query("r08_history_trim", "SELECT task_id, event_id, action, target, value, 'sent to [EMAIL_1]' AS note FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY event_id DESC) AS r FROM (" + G.as_cte(G.ACTIONS) + ")) WHERE r <= 10")
 def r08(spark, sf):
-    rows = G.derive(spark, sf, G.ACTIONS, "events").withColumn("note", F.lit(None).cast("string"))
-    return T.history_for_wire(rows, ["task_id"], "event_id").select("task_id", "event_id", "action", "target", "value")
+    rows = G.derive(spark, sf, G.ACTIONS, "events").withColumn("note", F.concat(F.lit("sent to u"), F.col("task_id").cast("string"), F.lit("@mail.example.com")))
+    return T.history_for_wire(rows, ["task_id"], "event_id").select("task_id", "event_id", "action", "target", "value", "note")
 
 
 @query("r09_mask_regions", f"SELECT page, line, CAST(1 AS BIGINT) AS n, CASE line % 2 WHEN 0 THEN x + 30 ELSE x END AS x, CASE line % 2 WHEN 0 THEN 60.0 ELSE width END AS width FROM ({BOXES})")

@@ -204,12 +204,12 @@ def r03b(spark, sf):
 
 
 @query("r04_register_field_values", f"""WITH seeds AS (SELECT f.field_id, f.field_id % 100 AS scope, c.type, trim(f.value) AS value FROM ({FIELDS}) f JOIN ({_CLASSES}) c ON c.field_id = f.field_id WHERE trim(f.value) <> ''),
-  firsts AS (SELECT scope, value, min(type) AS type FROM seeds GROUP BY scope, value HAVING count(DISTINCT type) = 1) SELECT scope, type, value FROM firsts""")
+  firsts AS (SELECT scope, value, min_by(type, field_id) AS type FROM seeds GROUP BY scope, value) SELECT scope, type, value FROM firsts""")
 def r04(spark, sf):
     scoped = FL.classify_fields(_fields(spark, sf)).withColumn("scope", F.col("field_id") % 100)
-    seeds = FL.field_seeds(scoped, "scope")
-    one = seeds.groupBy("scope", "value").agg(F.count_distinct("type").alias("kinds"), F.min("type").alias("type"))
-    return one.filter("kinds = 1").select("scope", "type", "value")
+    seeds = FL.field_seeds(scoped, "scope", F.col("field_id"))
+    vault = R.first_registrations(seeds.select("*", F.lit(0).alias("pass"), F.lit(0).alias("back")))
+    return vault.select("scope", "type", "value")
 
 
 @query("r06_redact_with_context", f"SELECT field_id, CASE WHEN field_id % 10 = 0 AND field_id % 3 <> 0 THEN '9876512345' ELSE '[PHONE_1]' END AS redacted FROM ({FIELDS})")

@@ -25,9 +25,12 @@ def local_session(cores: str = "8", name: str = "veil") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a temporary one only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, for cut lineage. Unset, it is a temporary one on a single machine, and an error on a
+    cluster, whose executors and driver share no local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-veil-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():

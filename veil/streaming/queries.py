@@ -35,14 +35,33 @@ def _timed(spark, sf):
     return _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("w01_settle_stream")
+def _closed(spark, sf):
+    """The events, and one far-future record of each type under users of their own: they only move the watermark past the end of the
+    input, so that every session, timer and wait of the input is decided. They never become results themselves."""
+    events = _timed(spark, sf)
+    place = f"{shared_dir(spark)}/end-{uuid.uuid4().hex}"
+    end = spark.createDataFrame([(-1, "click"), (-2, "purchase")], "user_id long, event_type string").select(
+        *[F.col(f.name).cast(f.dataType) if f.name in ("user_id", "event_type") else F.lit("2200-01-01").cast("timestamp").alias("ts") if f.name == "ts"
+          else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    end.write.parquet(place)
+    return events.unionByName(spark.readStream.schema(end.schema).parquet(place))
+
+
+@query("w01_settle_stream", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+  SELECT user_id, count(*) AS mutations, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us FROM s GROUP BY user_id, n""")
 def w01(spark, sf):
-    return drain(S.settle_sessions(_timed(spark, sf), "user_id", "ts", "30 minutes", "1 minute"))
+    found = drain(S.settle_sessions(_closed(spark, sf), "user_id", "ts", "30 minutes", "1 minute"))
+    return found.select("user_id", "mutations", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
-@query("w01_settle_timer_stream")
+@query("w01_settle_timer_stream", """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+  s AS (SELECT user_id, rn, ms AS f, ms + 1800000 AS due, CAST(NULL AS BIGINT) AS pf, CAST(NULL AS BIGINT) AS pdue FROM e WHERE rn = 1
+    UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.ms > s.due THEN e.ms ELSE s.f END, CASE WHEN e.ms > s.due THEN e.ms + 1800000 ELSE least(greatest(e.ms, s.f + 1200000) + 600000, s.f + 3600000) END,
+      CASE WHEN e.ms > s.due THEN s.f END, CASE WHEN e.ms > s.due THEN s.due END FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1),
+  r AS (SELECT user_id, pf AS f, pdue AS due FROM s WHERE pf IS NOT NULL UNION ALL SELECT user_id, f, due FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)
+  SELECT CAST(user_id AS VARCHAR) AS page, f AS first_ms, due - f < 3600000 AS settled, due - f AS waited_ms FROM r""")
 def w01t(spark, sf):
-    return drain(ST.settle_stream(_timed(spark, sf), "user_id", "ts", "1 minute", 600_000, 1_200_000, 3_600_000))
+    return drain(ST.settle_stream(_closed(spark, sf), "user_id", "ts", "1 minute", 600_000, 1_200_000, 3_600_000))
 
 
 @query("w02_effect_stream", "SELECT a.event_id AS action_id, m.event_id AS mutation_id FROM events a JOIN events m ON a.user_id = m.user_id AND a.event_type = 'click' AND m.event_type <> 'click' AND m.ts >= a.ts AND m.ts <= a.ts + INTERVAL 1 HOUR")
@@ -52,11 +71,11 @@ def w02(spark, sf):
     return drain(S.effect_join(actions, mutations, "user_id", "action_ts", "mutation_ts", "1 HOUR").select("action_id", "mutation_id"))
 
 
-@query("w03_evidence_stream")
+@query("w03_evidence_stream", "SELECT a.event_id AS action_id, coalesce(m.event_id, -1) AS signal_id FROM events a LEFT JOIN events m ON a.user_id = m.user_id AND m.event_type = 'purchase' AND m.ts >= a.ts AND m.ts <= a.ts + INTERVAL 3 HOUR WHERE a.event_type = 'click'")
 def w03(spark, sf):
-    clicks = _timed(spark, sf).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("action_id"), F.col("ts").alias("action_ts"))
-    signals = _timed(spark, sf).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("signal_id"), F.col("ts").alias("signal_ts"))
-    return drain(S.evidence_join(clicks, signals, "user_id", "action_ts", "signal_ts", "3 HOURS").select("action_id", "signal_id"))
+    clicks = _closed(spark, sf).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("action_id"), F.col("ts").alias("action_ts"))
+    signals = _closed(spark, sf).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("signal_id"), F.col("ts").alias("signal_ts"))
+    return drain(S.evidence_join(clicks, signals, "user_id", "action_ts", "signal_ts", "3 HOURS").select("action_id", F.coalesce("signal_id", F.lit(-1)).alias("signal_id")))
 
 
 @query("w04_redact_stream", "SELECT CAST(conv_id AS VARCHAR) AS scope, turn AS seq, text || ' mail [EMAIL_2] or [EMAIL_' || CAST(CASE WHEN turn = lo THEN 1 ELSE 1 + r END AS VARCHAR) || ']' AS redacted FROM "
