@@ -97,3 +97,15 @@ def test_seeds_enter_the_vault_first(spark):
     seeds = spark.createDataFrame([("a", -1, "EMAIL", "b@x.com"), ("a", -1, "ADDRESS", "12 High Street")], "scope string, seq long, type string, value string")
     rows, vault = R.redact(spark.createDataFrame([("a", 1, "to 12 high street or B@x.com, c@x.com")], "scope string, seq long, text string"), ["seq"], seeds=seeds)
     assert rows.first().redacted == "to [ADDRESS_1] or [EMAIL_1], [EMAIL_2]" and vault.count() == 3
+
+
+def test_long_texts_and_tables_of_numbers_meet_big_vaults(spark):
+    rng = __import__("random").Random(1)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(100_000)) + " Secret-Word end"
+    numbers = " ".join(str(rng.randrange(10, 99)) for _ in range(5000)) + " 98-76-54-32"
+    texts = spark.createDataFrame([("s", 2, long), ("s", 3, numbers)], "scope string, seq long, text string")
+    vault = spark.createDataFrame([("s", "secret-word", "[PASSWORD_1]", 1), ("s", "98765432", "[OTP_1]", 1), ("s", "absent12", "[PASSWORD_2]", 1)], "scope string, value string, mark string, since long")
+    out = [r.replaced for r in R.replace_known(texts, vault, ["seq"], small=0).orderBy("seq").collect()]
+    assert out[0].endswith("[PASSWORD_1] end") and out[1].endswith(" [OTP_1]") and "[PASSWORD_2]" not in out[0]
+    hits = K.known_value_hits(texts.selectExpr("seq AS k", "text AS body"), vault.selectExpr("'X' AS type", "value"), ["k"])
+    assert sorted((r.k, r.value) for r in hits.collect()) == [(2, "secret-word")]

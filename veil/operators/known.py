@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
-from veil.functions.text import digits_of, has, jvm, trimmed
+from veil.functions.text import digits_of, has, jvm, let, trimmed
 from veil.plans.ordered import each
 
 LOCAL_CHARS = 6
@@ -21,34 +21,39 @@ def _at_keys(low: Column) -> Column:
 
 
 def _grams(low: Column, size: int) -> Column:
-    positions = F.when(F.length(low) >= size, F.sequence(F.lit(1), F.length(low) - size + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(positions, lambda i: F.substring(low, i, F.lit(size))))
+    """Hashes of the distinct runs of ``size`` characters; the text is cut into characters once, so the cost is linear in its length."""
+    def of(chars: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(chars) - size + 1), lambda i: _key(F.array_join(F.slice(chars, i, size), ""))))
+
+    return F.when(F.length(low) >= size, let(F.split(low, ""), of)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _key(chars: Column) -> Column:
+    return F.xxhash64(chars)
 
 
 def textual_hits(texts: DataFrame, values: DataFrame, on: list[str], row_keys: list[str], text: str) -> DataFrame:
     """(row keys, value columns) for every value contained in a text, any letter case.
 
-    Values with '@' meet texts on the characters before an '@'; others on their leading 3, 6 or 12 characters.
-    The second way explodes a text by position, so it is planned only when such values exist.
+    Values with '@' meet texts on the characters before an '@'; others on their leading 3, 6 or 12 characters. Only row keys and hashes
+    are shuffled; a text is read again for its few candidates. The second way makes a key for every place of a text, so it is
+    planned only for lengths that occur among the values; leaving out a length without values cannot change the result.
     """
     low = F.lower(F.col(text))
     lowered = values.withColumn("__low", F.lower(trimmed(F.col("value"))))
     at = lowered.filter(F.contains("__low", F.lit("@"))).withColumn(
-        "__key", F.right(F.substring_index("__low", "@", 1), F.lit(LOCAL_CHARS)))
-    candidates = [each(texts.filter(F.contains(F.col(text), F.lit("@"))), [*on, *row_keys, text], _at_keys(low), "__key").join(
-        at, [*on, "__key"])]
+        "__key", _key(F.right(F.substring_index("__low", "@", 1), F.lit(LOCAL_CHARS))))
+    heads = F.transform(_at_keys(low), _key)
+    candidates = each(texts.filter(F.contains(F.col(text), F.lit("@"))), [*on, *row_keys], heads, "__key").join(at, [*on, "__key"])
     other = lowered.filter(~F.contains("__low", F.lit("@")))
-    if not other.isEmpty():
-        for size, above in GRAM_SIZES:
-            sized = other.filter((F.length("__low") >= size) & (F.length("__low") < above)).withColumn(
-                "__key", F.left("__low", F.lit(size)))
-            candidates.append(each(texts, [*on, *row_keys, text], _grams(low, size), "__key").join(sized, [*on, "__key"]))
-    hits = None
-    for c in candidates:
-        c = c.filter(F.contains(low, F.col("__low"))).drop("__key", "__low", text).distinct()
-        hits = c if hits is None else hits.unionByName(c)
-    return hits
+    for size, above in GRAM_SIZES:
+        sized = other.filter((F.length("__low") >= size) & (F.length("__low") < above)).withColumn(
+            "__key", _key(F.left("__low", F.lit(size))))
+        if not sized.isEmpty():
+            candidates = candidates.unionByName(each(texts, [*on, *row_keys], _grams(low, size), "__key").join(sized, [*on, "__key"]))
+    candidates = candidates.drop("__key").distinct()
+    met = candidates.join(texts.select(*on, *row_keys, text), [*on, *row_keys])
+    return met.filter(F.contains(low, F.col("__low"))).drop("__low", text).distinct()
 
 
 def known_value_hits(bodies: DataFrame, vault: DataFrame, row_keys: list[str], body: str = "body",

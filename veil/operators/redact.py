@@ -172,23 +172,26 @@ def _replace_all(text: Column, entries: Column) -> Column:
     return F.aggregate(ordered, text, lambda acc, e: F.coalesce(F.regexp_replace(acc, known_pattern(e["value"]), e["mark"]), acc))
 
 
-def _number_keys(text: Column) -> Column:
-    """Digit strings of all sequences of neighbouring digit groups (blanks and dashes between), up to 40 groups' digits."""
-    runs = F.regexp_extract_all(text, F.lit(jvm(r"\d+(?:[\s-]+\d+)*")), F.lit(0))
+def _number_keys(text: Column, longest: Column) -> Column:
+    """Digit strings of at most ``longest`` digits of all sequences of neighbouring digit groups (blanks and dashes between).
+
+    A group has a digit at least, so a group starts at most ``longest`` sequences: the cost is linear in the length of a table of numbers.
+    """
+    runs = F.regexp_extract_all(text, F.lit(jvm(r"\d[\d\s-]*")), F.lit(0))
 
     def windows(run: Column) -> Column:
-        groups = F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0))
-        return F.flatten(F.transform(groups, lambda _g, i: F.transform(
-            F.sequence(F.lit(1), F.size(groups) - i), lambda n: F.array_join(F.slice(groups, i + 1, n), ""))))
+        return let(F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0)), lambda groups: F.flatten(F.transform(groups, lambda _g, i: F.transform(
+            F.sequence(F.lit(1), F.least(F.size(groups) - i, longest)), lambda n: F.array_join(F.slice(groups, i + 1, n), "")))))
 
-    return F.array_distinct(F.flatten(F.transform(runs, windows)))
+    return F.array_distinct(F.filter(F.flatten(F.transform(runs, windows)), lambda d: F.length(d) <= longest))
 
 
 def _present_in_large_scopes(texts: DataFrame, vault: DataFrame, text: str, row_keys: list[str]) -> DataFrame:
     """(row keys, value, mark) for values of big vaults that may occur in a text: equi-joins on digit strings and
     on the value's leading characters, so neither a whole vault nor a whole scope meets in one task."""
     numeric = vault.filter(is_numeric_value(F.col("value"))).withColumn("__key", canonical(F.col("value")))
-    by_number = each(texts, ["scope", *row_keys], _number_keys(F.col(text)), "__key").join(
+    longest = numeric.groupBy("scope").agg(F.max(F.length("__key")).alias("__longest"))
+    by_number = each(texts.join(longest, "scope"), ["scope", *row_keys], _number_keys(F.col(text), F.col("__longest")), "__key").join(
         numeric, ["scope", "__key"]).drop("__key")
     textual = vault.filter(~is_numeric_value(F.col("value")))
     return by_number.unionByName(textual_hits(texts, textual, ["scope"], row_keys, text))

@@ -260,17 +260,19 @@ def l02(spark, sf):
 
 
 @query("l03_known_value_check", """WITH vault AS (SELECT 'CARD' AS type, regexp_replace(v, '[^0-9]', '', 'g') AS value FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]{16}')) AS v FROM documents)
-    UNION ALL SELECT 'EMAIL', v FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z0-9.]+@mail[0-9]+\\.example\\.com')) AS v FROM documents)),
+    UNION ALL SELECT 'EMAIL', v FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z0-9.]+@mail[0-9]+\\.example\\.com')) AS v FROM documents)
+    UNION ALL SELECT 'PASSWORD', v FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{40}')) AS v FROM documents)),
   runs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[\\s-]', '', 'g'), '[0-9]{6,}')) AS run FROM documents)
   SELECT DISTINCT doc_id, type, value FROM runs JOIN vault ON run = value WHERE type = 'CARD'
-  UNION ALL SELECT doc_id, type, value FROM documents JOIN vault ON contains(lower(text), lower(value)) WHERE type = 'EMAIL'""")
+  UNION ALL SELECT doc_id, type, value FROM documents JOIN vault ON contains(lower(text), lower(value)) WHERE type IN ('EMAIL', 'PASSWORD')""")
 def l03(spark, sf):
     docs = _docs(spark, sf)
 
     def values(kind, pattern):
         return each(docs, [], F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), "value").distinct().withColumn("type", F.lit(kind))
 
-    vault = values("CARD", "[0-9]{16}").unionByName(values("EMAIL", r"[a-z0-9.]+@mail[0-9]+\.example\.com"))
+    vault = values("CARD", "[0-9]{16}").unionByName(values("EMAIL", r"[a-z0-9.]+@mail[0-9]+\.example\.com")).unionByName(
+        values("PASSWORD", "[0-9a-f]{40}"))
     return K.known_value_hits(docs, vault, ["doc_id"], "text")
 
 
