@@ -26,10 +26,17 @@ def line_precision(lines: DataFrame, corpus: DataFrame, case: list[str], by: lis
 
 
 def word_precision(lines: DataFrame, words: DataFrame, line_keys: list[str]) -> DataFrame:
-    """Per line whether all its words are corpus words: an equi-join on distinct words, for a corpus shared by all cases."""
+    """Per line whether each of its words lies within a word of the corpus, for a corpus shared by all cases.
+
+    A word holds no blank, so it occurs in the corpus text exactly if it is part of one of its words: an equi-join of distinct words with the
+    distinct parts (three characters or more) of distinct corpus words.
+    """
     own = F.filter(F.array_distinct(F.split(normalize(F.col("text")), " ")), lambda w: (F.length(w) >= 3) & w.rlike("[a-z]"))
     each_word = lines.select(*line_keys, F.explode_outer(own).alias("word"))
-    vocabulary = words.select("word").distinct().withColumn("__known", F.lit(True))
+    size = F.length("word")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.transform(
+        F.sequence(F.lit(3), size - i + 1), lambda n: F.substring(F.col("word"), i, n))))
+    vocabulary = words.select("word").filter(size >= 3).distinct().select(F.explode(parts).alias("word")).distinct().withColumn("__known", F.lit(True))
     return each_word.join(vocabulary, "word", "left").groupBy(*line_keys).agg(
         (F.count_if(F.col("word").isNotNull() & F.col("__known").isNull()) == 0).alias("correct"))
 
@@ -118,13 +125,13 @@ def line_scores(spans: DataFrame, expected: DataFrame, case: list[str]) -> DataF
 def latency_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, min, mean, upper median, 95th percentile by nearest rank (null under 5 values), max.
 
-    The order statistics come from a frequency table of distinct values and its running total per group, cut into value
-    buckets, so one large group never meets in one task.
+    The order statistics come from a frequency table of distinct values and its running total per group, cut into buckets
+    whose bounds are quantiles of the values, so one large group never meets in one task.
     """
-    from veil.plans.ordered import running_totals
+    from veil.plans.ordered import running_totals, value_buckets
     freq = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("f"))
     basic = freq.groupBy(*by).agg(F.sum("f").alias("n"), F.min("v").alias("min"), F.sum(F.col("v") * F.col("f")).alias("__s"), F.max("v").alias("max"))
-    cum = running_totals(freq, by, F.floor(F.col("v") / 64), [F.col("v")], {"upto": F.col("f")})
+    cum = running_totals(freq, by, value_buckets(freq, F.col("v"))(F.col("v")), [F.col("v")], {"upto": F.col("f")})
     rows = cum.join(basic.select(*by, "n"), by)
     at_median = F.floor(F.col("n") / 2) + 1
     at_p95 = F.ceil(F.col("n") * 0.95 - 1e-9)

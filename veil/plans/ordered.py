@@ -23,6 +23,15 @@ def seq_bucket(seq: Column, width: int = 100_000) -> Column:
     return F.floor(seq / width)
 
 
+def value_buckets(df: DataFrame, value: Column, n: int = 64):
+    """A function from a value to its bucket, of ``n`` about equally filled ones: the bounds are quantiles of the data, one aggregate.
+
+    Raise ``n`` so that a bucket of the largest table fits a task; a value that holds many rows is one bucket, so count equal values first.
+    """
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
+    return lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda b: b < c)) if cuts else F.lit(0)
+
+
 def each(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFrame:
     """One row per array item. The outer form keeps the optimizer from copying the (costly) array
     expression into a pre-filter, which would evaluate it twice."""

@@ -183,6 +183,15 @@ def t04(spark, sf):
     return OF.pick_extreme(spark.read.parquet(f"{sf}/part.parquet"), ["p_brand"], "p_size", "p_partkey", False)
 
 
+@query("t04_named_tie_breaker", """SELECT p_brand, v AS p_size, n AS n_best, CASE WHEN n = 1 OR (named AND t = 1) THEN k END AS p_partkey, CASE WHEN n = 1 OR (named AND t = 1) THEN 'OK' ELSE 'AMBIGUOUS_TARGET' END AS code FROM (
+  SELECT p_brand, p_size AS v, count(*) AS n, min_by(p_partkey, p_retailprice) AS k, len(list_filter(list(p_retailprice), lambda x: x = list_min(list(p_retailprice)))) AS t, p_brand < 'Brand#3' AS named,
+    row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part GROUP BY p_brand, p_size) WHERE r = 1""")
+def t04_tie(spark, sf):
+    task = F.when(F.col("p_brand") < "Brand#3", "Add the cheapest; if several are equal prefer the lowest price").otherwise("Add the cheapest")
+    parts = spark.read.parquet(f"{sf}/part.parquet").withColumn("named", TK.names_tie_breaker(task))
+    return OF.pick_extreme(parts, ["p_brand"], "p_size", "p_partkey", False, "p_retailprice", "named")
+
+
 _GOAL = "CASE user_id % 8 WHEN 0 THEN 'cart' WHEN 1 THEN 'cart' WHEN 2 THEN 'search' WHEN 3 THEN 'purchase' WHEN 4 THEN 'purchase' WHEN 5 THEN 'other' WHEN 6 THEN 'search' ELSE 'open' END"
 
 
@@ -333,9 +342,10 @@ def s14(spark, sf):
 # --- scores ------------------------------------------------------------------------------------------
 
 
-@query("m01_line_precision", """WITH w AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM benchmark)
-  SELECT d.doc_id, bool_and(w.word IS NOT NULL OR d.word IS NULL) AS correct FROM (SELECT doc_id, word FROM (SELECT doc_id, unnest(list_concat([NULL], list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda v: length(v) >= 3 AND regexp_matches(v, '[a-z]')))) AS word FROM documents)) d
-  LEFT JOIN w ON w.word = d.word GROUP BY 1""")
+@query("m01_line_precision", """WITH w AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM benchmark),
+  d AS (SELECT doc_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda v: length(v) >= 3 AND regexp_matches(v, '[a-z]')) AS words FROM documents),
+  u AS (SELECT DISTINCT unnest(words) AS word FROM d), missing AS (SELECT word FROM u WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(w.word, u.word)))
+  SELECT doc_id, NOT list_has_any(words, (SELECT list(word) FROM missing)) AS correct FROM d""")
 def m01(spark, sf):
     words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split(normalize(F.col("text")), " ")).alias("word"))
     return M.word_precision(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), words, ["doc_id"])
@@ -498,6 +508,4 @@ def w03(spark, sf):
     e = _events(spark, sf).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     actions = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("action_id"), F.col("ts").alias("action_ts"))
     signals = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("mutation_id"), F.col("ts").alias("mutation_ts"))
-    joined = S.within_batch(actions, signals, "user_id", "action_ts", "mutation_ts", 3 * 3600 * 1000)
-    counts = joined.groupBy("action_id").agg(F.count("*").alias("signals"))
-    return actions.select("action_id").join(counts, "action_id", "left").select("action_id", F.coalesce("signals", F.lit(0)).alias("signals"))
+    return S.evidence_counts(actions, signals, "user_id", "action_id", "action_ts", "mutation_ts", 3 * 3600 * 1000)

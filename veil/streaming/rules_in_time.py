@@ -62,6 +62,20 @@ def within_batch(actions: DataFrame, followers: DataFrame, key: str, action_ts:
     return left.join(right, [key, "__slice"]).filter(wait.between(0, millis * 1000)).drop("__slice")
 
 
+def evidence_counts(clicks: DataFrame, signals: DataFrame, key: str, click: str, click_ts: str, signal_ts: str, millis: int, width_ms: int = 86_400_000) -> DataFrame:
+    """Signals up to ``millis`` after each click, both ends included: (click, signals). Two running counts, one before the click and one
+    at the end of its wait, so no pair is ever made and a hot key is spread over time buckets."""
+    at, wait = F.unix_micros(click_ts), millis * 1000
+    # At one instant, waits begin before signals, and end after them.
+    begin = clicks.select(key, click, at.alias("us"), F.lit(0).alias("turn"), F.lit(0).alias("one"))
+    end = clicks.select(key, click, (at + wait).alias("us"), F.lit(2).alias("turn"), F.lit(0).alias("one"))
+    mid = signals.select(key, F.lit(None).cast(clicks.schema[click].dataType).alias(click), F.unix_micros(signal_ts).alias("us"), F.lit(1).alias("turn"), F.lit(1).alias("one"))
+    rows = begin.unionByName(end).unionByName(mid)
+    seen = running_totals(rows, [key], F.floor(F.col("us") / (width_ms * 1000)), [F.col("us"), F.col("turn")], {"n": F.col("one")})
+    signed = F.when(F.col("turn") == 2, F.col("n")).otherwise(-F.col("n"))
+    return seen.filter(F.col("turn") != 1).groupBy(click).agg(F.sum(signed).alias("signals"))
+
+
 def effect_join(actions: DataFrame, mutations: DataFrame, key: str, action_ts: str, mutation_ts: str,
                 within: str = f"{rules.EFFECT_WATCH_MS} milliseconds", watermark: str = "10 seconds", how: str = "inner") -> DataFrame:
     """Stream-stream interval join: mutations that belong to an action. ``leftOuter`` keeps actions without any."""
@@ -82,4 +96,4 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str, watermark: str) -> Da
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-__all__ = ["settle_sessions", "settle_islands", "settle_times", "within_batch", "effect_join", "evidence_join", "dedupe_stream"]
+__all__ = ["settle_sessions", "settle_islands", "settle_times", "within_batch", "evidence_counts", "effect_join", "evidence_join", "dedupe_stream"]
