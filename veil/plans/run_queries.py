@@ -495,6 +495,18 @@ def w01(spark, sf):
     return rows.select("user_id", "mutations", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
+@query("w01_settle_times", """WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), l AS (SELECT DISTINCT user_id, ms AS load_ms FROM e WHERE event_type = 'signup'),
+  m AS (SELECT l.user_id, l.load_ms, e.ms - l.load_ms AS gap FROM l JOIN e ON e.user_id = l.user_id AND e.event_type <> 'signup' AND e.ms >= l.load_ms AND e.ms < l.load_ms + 7200000),
+  c AS (SELECT user_id, load_ms, greatest(gap, 1200000) + 600000 AS c FROM m UNION SELECT user_id, load_ms, 1800000 FROM l),
+  v AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.user_id = c.user_id AND m.load_ms = c.load_ms AND m.gap > c.c - 600000 AND m.gap <= c.c))
+  SELECT l.user_id, l.load_ms, coalesce(min(v.c) <= 7200000, false) AS settled, least(coalesce(min(v.c), 7200000), 7200000) AS waited_ms FROM l LEFT JOIN v ON v.user_id = l.user_id AND v.load_ms = l.load_ms GROUP BY 1, 2""")
+def w01_times(spark, sf):
+    """Settling with the grace and the cap."""
+    e = _events(spark, sf).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    loads = e.filter("event_type = 'signup'").select("user_id", F.col("ts").alias("loaded")).distinct()
+    return S.settle_times(e.filter("event_type <> 'signup'"), loads, "user_id", "ts", 600_000, 1_200_000, 7_200_000)
+
+
 @query("w02_action_effect_window", "SELECT a.event_id AS action_id, m.event_id AS mutation_id FROM events a JOIN events m ON a.user_id = m.user_id AND a.event_type = 'click' AND m.event_type <> 'click' AND m.ts >= a.ts AND m.ts <= a.ts + INTERVAL 6 HOUR")
 def w02(spark, sf):
     e = _events(spark, sf).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))

@@ -95,12 +95,16 @@ def redact_stream(df: DataFrame, scope: str, seq: str, text: str, ttl_ms: int |
         Vault(ttl_ms), "scope string, seq long, redacted string", "Append", "None")
 
 
-def redact_stream_stateless(df: DataFrame, scope: Column, text: str) -> DataFrame:
-    """The form for very hot scopes: a placeholder is a keyed digest of (scope, value variant), so no state and no shuffle."""
+def redact_stream_stateless(df: DataFrame, scope: Column, text: str, secret: str) -> DataFrame:
+    """The form for very hot scopes: a placeholder is a digest of (scope, value variant) under a secret key, so no state and no shuffle.
+
+    Without the key nobody can test a guessed value against a placeholder. Values are replaced where the detectors find them; what
+    only an earlier record gives away needs ``redact_stream``.
+    """
     rows = two_passes(df, text)
 
     def mark(s: Column) -> Column:
-        digest = F.left(F.sha2(F.concat_ws("|", scope.cast("string"), canonical(s["value"])), 256), F.lit(12))
+        digest = F.left(F.sha2(F.concat_ws("|", F.lit(secret), F.sha2(F.concat_ws("|", F.lit(secret), scope.cast("string"), canonical(s["value"])), 256)), 256), F.lit(12))
         return F.concat(F.lit("["), s["type"], F.lit("_"), F.conv(digest, 16, 10), F.lit("]"))
 
     return rows.withColumn("redacted", _fill(F.col("__text"), F.col("__placed"), mark)).drop("__text", "__placed")
