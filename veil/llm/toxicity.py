@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
             found = [terms(t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "slots"])
 
-    found = stored(rows.mapInArrow(slots, "label double, slots binary"), "terms").orderBy("label", "slots").toPandas()
+    found = stored(rows.mapInArrow(slots, "label double, slots binary"), "terms").toPandas().sort_values(["label", "slots"], kind="stable")
     return train([np.frombuffer(b, np.int32).astype(np.int64) for b in found["slots"]], found["label"].to_numpy(np.float64))
 
 
