@@ -172,19 +172,6 @@ def claim(lists: list[Column]) -> Column:
     return F.array_sort(merged)
 
 
-def rewrite(text: Column, spans: Column, replacement) -> Column:
-    """Text with every span (sorted, disjoint) replaced by ``replacement(span)``."""
-    state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans, state,
-        lambda acc, s: F.struct(
-            (span_end(s) + 1).alias("at"),
-            F.concat(acc["out"], F.substring(text, acc["at"], s["start"] + 1 - acc["at"]), replacement(s)).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"], F.length(text))),
-    )
-
-
 def bounded_digits(text: Column, digits: Column) -> Column:
     """Whether a digit string occurs in the text with no digit on either side, i.e. is one of its digit runs."""
     return F.array_contains(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)), digits)

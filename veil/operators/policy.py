@@ -78,7 +78,8 @@ def validate_actions(actions: DataFrame, elements: DataFrame, vault: DataFrame,
     """Adds ``code``: null for a valid action, else the first rule it breaks, in the fixed order of the rules.
 
     ``actions(on, body JSON, task, current_url, repeated)``; ``elements(on, element_id, tag, input_type, disabled, multiple,
-    editable, options array<string>, pii_type, label, matches)`` where matches > 1 marks an ambiguous control;
+    editable, options array<string>, pii_type, label, matches)``, and ``option_values array<string>`` where options have values of their
+    own; matches > 1 marks an ambiguous control;
     ``vault(on, placeholder, type)``. Facts arrive by left joins, the rules are one column.
     """
     v = F.try_parse_json(F.col("body"))
@@ -101,6 +102,9 @@ def validate_actions(actions: DataFrame, elements: DataFrame, vault: DataFrame,
                         & kind("reason").isin("STRING", "ABSENT")).alias("__typed"))
     # Several controls of one id are one ambiguous control, and never several rows of the action.
     names = ("tag", "input_type", "disabled", "multiple", "editable", "options", "pii_type", "label")
+    chosen = F.array().cast("array<string>")
+    both = F.concat(F.coalesce("options", chosen), F.coalesce("option_values", chosen) if "option_values" in elements.columns else chosen)
+    elements = elements.withColumn("options", both)
     one = elements.groupBy(*on, "element_id").agg(F.min(F.struct(*names)).alias("__e"), F.greatest(F.max("matches"), F.count("*")).alias("matches"))
     one = one.select(*on, "element_id", *[F.col(f"__e.{n}").alias(n) for n in names], "matches")
     facts = one.select(*on, F.col("element_id").alias("target"), F.col("tag").alias("e_tag"), F.col("input_type").alias("e_type"),

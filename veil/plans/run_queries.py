@@ -54,7 +54,7 @@ _BODIES = """SELECT event_id, user_id, '{{"action":"' || CASE event_id % 24 WHEN
     WHEN 9 THEN 'press' WHEN 10 THEN 'select' WHEN 11 THEN 'select' WHEN 12 THEN 'type' WHEN 20 THEN 'scroll' WHEN 22 THEN 'navigate' WHEN 23 THEN 'type' ELSE 'click' END || '","confidence":' || CASE event_id % 24 WHEN 13 THEN '2' ELSE '0.9' END
   || ',"target":' || CASE event_id % 24 WHEN 1 THEN 'null' WHEN 2 THEN 'null' WHEN 3 THEN 'null' WHEN 4 THEN 'null' WHEN 5 THEN 'null' WHEN 22 THEN 'null' WHEN 6 THEN '"el_mail"' WHEN 7 THEN '"el_mail"' WHEN 8 THEN '"el_name"' WHEN 9 THEN '"el_name"' WHEN 10 THEN '"el_size"' WHEN 11 THEN '"el_size"' WHEN 12 THEN '"el_buy"'
     WHEN 23 THEN '"el_name"' WHEN 14 THEN 'null' WHEN 15 THEN '"bad id"' WHEN 16 THEN '"el_gone"' WHEN 17 THEN '"el_twin"' WHEN 18 THEN '"el_off"' WHEN 20 THEN '"el_buy"' ELSE '"el_buy"' END
-  || ',"value":' || CASE event_id % 24 WHEN 1 THEN '"down"' WHEN 2 THEN '"left"' WHEN 3 THEN 'null' WHEN 4 THEN '"ftp://shop.example.com"' WHEN 5 THEN '"https://evil.test/x"' WHEN 22 THEN '"https://www.shop.example.com/x"' WHEN 6 THEN '"[EMAIL_1]"' WHEN 7 THEN '"me@x.org"' WHEN 8 THEN '"plain"' WHEN 9 THEN '"Tab"' WHEN 10 THEN '"large"'
+  || ',"value":' || CASE event_id % 24 WHEN 1 THEN '"down"' WHEN 2 THEN '"left"' WHEN 3 THEN 'null' WHEN 4 THEN '"ftp://shop.example.com"' WHEN 5 THEN '"https://evil.test/x"' WHEN 22 THEN '"https://www.shop.example.com/x"' WHEN 6 THEN '"[EMAIL_1]"' WHEN 7 THEN '"me@x.org"' WHEN 8 THEN '"plain"' WHEN 9 THEN '"Tab"' WHEN 10 THEN CASE event_id % 48 WHEN 10 THEN '"large"' ELSE '" x-1 "' END
     WHEN 11 THEN '"huge"' WHEN 12 THEN '"x"' WHEN 23 THEN '"[PHONE_9]"' ELSE 'null' END || ',"reason":' || CASE event_id % 24 WHEN 19 THEN '"javascript:x"' ELSE '"r"' END || CASE event_id % 24 WHEN 21 THEN ',"extra":1' ELSE '' END || '}}' AS body,
   'go to example and look' AS task, 'https://shop.example.com/' AS current_url, false AS repeated FROM {events}"""
 _CONTROLS = """SELECT DISTINCT user_id, 'el_buy' AS element_id, 'button' AS tag, '' AS input_type, false AS disabled, 'Buy now' AS label, 1 AS matches, '' AS opts, '' AS pii FROM {events}
@@ -67,7 +67,8 @@ _CODE = """CASE event_id % 24 WHEN 0 THEN 'unsupported_action' WHEN 2 THEN 'inva
 
 
 def _validated(spark, sf):
-    controls = G.derive(spark, sf, _CONTROLS, "events").withColumn("options", F.split("opts", "[|]")).withColumn("pii_type", F.nullif("pii", F.lit(""))).withColumn(
+    controls = G.derive(spark, sf, _CONTROLS, "events").withColumn("options", F.split("opts", "[|]")).withColumn(
+        "option_values", F.when(F.col("tag") == "select", F.array(F.lit("X-0"), F.lit("X-1")))).withColumn("pii_type", F.nullif("pii", F.lit(""))).withColumn(
         "multiple", F.lit(False)).withColumn("editable", F.lit(False))
     vault = _events(spark, sf).select("user_id").distinct().withColumn("placeholder", F.lit("[EMAIL_1]")).withColumn("type", F.lit("EMAIL"))
     return P.validate_actions(G.spread(G.derive(spark, sf, _BODIES, "events")), controls, vault, ["user_id"])
@@ -515,6 +516,18 @@ def w02(spark, sf):
     return S.within_batch(actions, mutations, "user_id", "action_ts", "mutation_ts", 6 * 3600 * 1000).select("action_id", "mutation_id")
 
 
+@query("w02_effect_watch", """WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), a AS (SELECT * FROM e WHERE event_type = 'click'),
+  p AS (SELECT a.event_id AS action_id, m.ms - a.ms AS gap FROM a JOIN e m ON m.user_id = a.user_id AND m.event_type <> 'click' AND m.ms >= a.ms AND m.ms < a.ms + 21600000),
+  g AS (SELECT *, CASE WHEN gap - lag(gap) OVER (PARTITION BY action_id ORDER BY gap) >= 3600000 THEN 1 ELSE 0 END AS quiet FROM p),
+  k AS (SELECT *, sum(quiet) OVER (PARTITION BY action_id ORDER BY gap ROWS UNBOUNDED PRECEDING) AS broken FROM g)
+  SELECT a.event_id AS action_id, count(k.gap) AS mutations, coalesce(least(max(k.gap) + 3600000, 21600000), 21600000) AS watched_ms FROM a LEFT JOIN k ON k.action_id = a.event_id AND k.broken = 0 GROUP BY 1""")
+def w02_watch(spark, sf):
+    """An action's watch ends after a quiet time behind its last mutation, at the latest at the timeout."""
+    e = _events(spark, sf).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    actions = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("action_id"), F.col("ts").alias("action_ts"))
+    return S.effect_watch(actions, e.filter("event_type <> 'click'").select("user_id", F.col("ts").alias("mutation_ts")), "user_id", "action_id", "action_ts", "mutation_ts", 21_600_000, 3_600_000)
+
+
 @query("w03_evidence_wait", "SELECT a.event_id AS action_id, count(m.event_id) AS signals FROM events a LEFT JOIN events m ON a.user_id = m.user_id AND m.event_type = 'purchase' AND m.ts >= a.ts AND m.ts <= a.ts + INTERVAL 3 HOUR WHERE a.event_type = 'click' GROUP BY 1")
 def w03(spark, sf):
     e = _events(spark, sf).select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))

@@ -165,14 +165,6 @@ SCROLL_VALUES = ["up", "down", "top", "bottom"]
 TARGET_ACTIONS = ["click", "type", "press", "select"]
 VALUE_ACTIONS = ["type", "press", "select", "navigate"]
 TYPEABLE_TYPES = ["text", "email", "tel", "password", "search", "url", "number", ""]
-VALIDATION_CODES = [
-    "malformed", "unexpected_field", "unsupported_action", "invalid_confidence", "executable_content",
-    "missing_target", "invalid_target", "unknown_target", "ambiguous_target", "target_not_clickable",
-    "target_occluded", "incompatible_target", "missing_value", "invalid_value", "dangerous_navigation",
-    "sensitive_policy", "consequential_action", "repeated_action", "navigation_not_authorised",
-    "unsupported_by_executor",
-]
-RETRYABLE_CODES = ["unknown_target", "incompatible_target", "ambiguous_target", "target_not_clickable", "target_occluded"]
 STOP_CODES = ["MISSING_REQUIRED_DATA", "AMBIGUOUS_TARGET", "INSUFFICIENT_EVIDENCE"]
 OUTCOME_BY_CODE = {
     "unknown_target": "STALE_TARGET", "incompatible_target": "STALE_TARGET", "target_not_clickable": "STALE_TARGET",
@@ -298,7 +290,6 @@ QUANTITY = (
     r"|\b(?:quantity|qty)\s*(?:of|to|=|:)?\s*(\d{1,6})\b|\badd\s+(\d{1,6})\s+(?:of\b|to\b)"
 )
 AROUND_TOLERANCE, EXACT_TOLERANCE = 0.2, 0.1
-SUPERLATIVE = r"(?i)\b(cheapest|lowest[- ]priced|least expensive|most expensive|highest[- ]rated|best[- ]rated|top[- ]rated|newest|latest)\b"
 TIE_BREAKER = r"(?i)\b(tie|tied|if (?:two|several|more than one|both)|same price|equal price|otherwise|prefer|in that case)\b"
 
 _CART = "(?:cart|bag|basket|trolley)"
@@ -330,7 +321,6 @@ STOPWORDS = [
     "the", "and", "for", "with", "from", "that", "this", "open", "page", "site", "website", "then", "please", "into",
     "onto", "about", "search", "find", "look", "show", "article", "click", "under", "over", "cheapest", "best",
 ]
-FACT_TEXT_MAX = 20000
 BLOCKERS = [
     "out of stock", "sold out", "currently unavailable", "not available", "unavailable", "no longer available",
     "no results", "no matching", "notify me", "coming soon", "discontinued", "cannot be delivered", "not deliverable",
@@ -342,7 +332,6 @@ BLOCKERS = [
 
 MAX_STEPS, MAX_ROUNDS, MAX_RECOVERIES, MAX_FAILED, MAX_REPEAT_WARNINGS, MAX_POLICY_RECOVERIES = 30, 3, 3, 2, 1, 1
 CYCLE_WINDOW, CYCLE_COUNT, NO_EFFECT_STREAK = 8, 3, 3
-RUN_LOG_KEPT = 400
 SETTLE_QUIET_MS, SETTLE_GRACE_MS, SETTLE_MAX_MS = 300, 2000, 3500
 EFFECT_WATCH_MS, EFFECT_QUIET_MS, EVIDENCE_MS = 1500, 250, 3000
 IOU_MATCH, COVER_MATCH = 0.5, 0.9

@@ -197,6 +197,12 @@ def select_options(node: Column, nodes: Column) -> Column:
     return F.when(node["tag"] == "select", F.slice(texts, 1, rules.MAX_OPTIONS))
 
 
+def select_values(node: Column, nodes: Column) -> Column:
+    """Values of the enabled options of a select, for those that have one of their own."""
+    options = F.filter(nodes, lambda n: _within(n, node) & (n["tag"] == "option") & ~_has_attr(n, "disabled") & (attr(n, "value") != ""))
+    return F.when(node["tag"] == "select", F.slice(F.transform(options, lambda o: attr(o, "value")), 1, rules.MAX_OPTIONS))
+
+
 def card_context(node: Column, nodes: Column, label: Column) -> Column:
     """Title (and first price) of the nearest ancestor that reads like a card; empty when there is none."""
     def titles(outer: Column) -> Column:

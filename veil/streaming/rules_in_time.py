@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veil import rules
 from veil.plans.ordered import each, previous_rows, running_totals
@@ -62,6 +62,22 @@ def within_batch(actions: DataFrame, followers: DataFrame, key: str, action_ts:
     return left.join(right, [key, "__slice"]).filter(wait.between(0, millis * 1000)).drop("__slice")
 
 
+def effect_watch(actions: DataFrame, mutations: DataFrame, key: str, action: str, action_ts: str, mutation_ts: str,
+                 millis: int = rules.EFFECT_WATCH_MS, quiet_ms: int = rules.EFFECT_QUIET_MS) -> DataFrame:
+    """(action, mutations, watched_ms): mutations from the action on until none follows for ``quiet_ms``, at the latest until ``millis``.
+
+    An action without mutations is watched to the end. Only one action's mutations within its own time meet in a window.
+    """
+    gap = (F.unix_millis(mutation_ts) - F.unix_millis(action_ts)).alias("gap")
+    pairs = within_batch(actions, mutations, key, action_ts, mutation_ts, millis).select(action, gap).filter(F.col("gap") < millis)
+    order = Window.partitionBy(action).orderBy("gap")
+    silent = F.when(F.col("gap") - F.lag("gap").over(order) >= quiet_ms, 1).otherwise(0)
+    kept = pairs.withColumn("silent", silent).withColumn("broken", F.sum("silent").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("broken = 0")
+    seen = kept.groupBy(action).agg(F.count("*").alias("mutations"), F.max("gap").alias("last"))
+    return actions.select(action).join(seen, action, "left").select(
+        action, F.coalesce("mutations", F.lit(0)).alias("mutations"), F.coalesce(F.least(F.col("last") + quiet_ms, F.lit(millis)), F.lit(millis)).alias("watched_ms"))
+
+
 def evidence_counts(clicks: DataFrame, signals: DataFrame, key: str, click: str, click_ts: str, signal_ts: str, millis: int, width_ms: int = 86_400_000) -> DataFrame:
     """Signals up to ``millis`` after each click, both ends included: (click, signals). Two running counts, one before the click and one
     at the end of its wait, so no pair is ever made and a hot key is spread over time buckets."""
@@ -96,4 +112,4 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str, watermark: str) -> Da
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-__all__ = ["settle_sessions", "settle_islands", "settle_times", "within_batch", "evidence_counts", "effect_join", "evidence_join", "dedupe_stream"]
+__all__ = ["settle_sessions", "settle_islands", "settle_times", "within_batch", "effect_watch", "evidence_counts", "effect_join", "evidence_join", "dedupe_stream"]
