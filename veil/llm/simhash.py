@@ -112,11 +112,12 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sorted_links(prints: DataFrame, max_bits: int, tables: int = 48, near: int = 3) -> DataFrame:
-    """(a, b, bits): pairs of distinct fingerprints within ``max_bits`` that stand within ``near`` rows in one of ``tables`` sorted tables.
+    """(a, b, bits): of every fingerprint and each of ``tables`` sorted tables, the nearest of the ``near`` rows on either side, if it is
+    within ``max_bits``.
 
     A table lists the fingerprints by their coordinates to the one-bit references, in an order of its own, so rows that share many
     leading coordinates are neighbours, and the number they must share grows by itself with the input. Wide references discard pairs by
-    the largest coordinate difference before the distance is taken. The work is linear: no group's pairs are listed.
+    the largest coordinate difference before the distance is taken. A row gives one pair a table at most, whatever group it is in.
     """
     orders = np.stack([np.random.default_rng(SEED + t).permutation(64) for t in range(tables)])
 
@@ -137,15 +138,21 @@ def sorted_links(prints: DataFrame, max_bits: int, tables: int = 48, near: int =
         for batch in batches:
             t, fp = np.concatenate([held_t, np.asarray(batch.column("t"))]), np.concatenate([held, np.asarray(batch.column("fp"))])
             coords = np.bitwise_count((fp[:, None] ^ wide[None, :]).view(np.uint64)).astype(np.int8)
-            found = []
+            one, two, apart = [], [], []
             for step in range(1, near + 1):
                 ok = (t[step:] == t[:-step]) & (np.abs(coords[step:] - coords[:-step]).max(axis=1, initial=0) <= max_bits)
                 i = np.flatnonzero(ok)
                 bits = np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64))
                 i, bits = i[bits <= max_bits], bits[bits <= max_bits]
-                found.append((np.minimum(fp[i], fp[i + step]), np.maximum(fp[i], fp[i + step]), bits))
-            a, b, bits = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
+                one += [i, i + step]
+                two += [i + step, i]
+                apart += [bits, bits]
+            i, j, bits = (np.concatenate(x) for x in (one, two, apart))
+            order = np.lexsort((bits, i))
+            _, best = np.unique(i[order], return_index=True)  # of every row the nearest of its neighbours
+            i, j, bits = i[order][best], j[order][best], bits[order][best]
+            pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), bits.astype(np.int64)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
             held_t, held = t[-near:], fp[-near:]
 
     rows = prints.select("fp").where("fp IS NOT NULL").distinct().mapInArrow(listed, "t int, key long, fp long")
