@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from veil.llm.common import query, stored, table
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHE = 1 << 20
+CACHE = 5 << 17
 GROUP = 4096
 
 
@@ -41,6 +41,7 @@ class Ids:
 
     def __init__(self, tokenizer: str, end_id: int):
         self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4").tobytes(), {}
+        self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -57,13 +58,20 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = {w for words in split for w in words}
+        if len(known) > CACHE:  # words in use move to the new generation, the others go with the old one
+            self.old, known = known, {}
+            self.known = known
+        codes = [list(map(known.get, words)) for words in split]
+        short = [n for n, found in enumerate(codes) if None in found]
+        if short:
+            new = {w for n in short for w, code in zip(split[n], codes[n]) if code is None}
+            if self.old:
+                known.update({w: self.old[w] for w in new if w in self.old})
+                new -= known.keys() & new
             self.learn(new)
-        return [np.frombuffer(b"".join([*[known[w] for w in words], self.end_id]), "<u4") for words in split]
+            for n in short:
+                codes[n] = map(known.__getitem__, split[n])
+        return [np.frombuffer(b"".join(found) + self.end_id, "<u4") for found in codes]
 
     def learn(self, words: set[str]) -> None:
         known, plain, whole, parts = self.known, [], [], {}
@@ -87,7 +95,10 @@ class Ids:
             plain.append((word, split))
             for part in split:
                 if part not in known:
-                    parts[part] = None
+                    if part in self.old:
+                        known[part] = self.old[part]
+                    else:
+                        parts[part] = None
         if parts:
             ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
