@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veil.functions.text import match_spans
 from veil.llm.common import query, stored, table
+from veil.plans.ordered import sealed
 
 #: Patterns of the base kinds, in the order of their listing, and the fewest characters of group 2 or of the match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,8 +77,10 @@ def tested(cands: DataFrame) -> DataFrame:
     value = F.col("value")
     encoding = F.coalesce(*[F.when(value.rlike(p), F.lit(n)) for n, p, _ in ENCODINGS])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == n, F.lit(a)) for n, _, a in ENCODINGS])
-    rows = cands.withColumn("encoding", encoding).withColumn("alphabet", alphabet).withColumn("chars", F.split("value", ""))
-    rows = rows.withColumn("at", F.transform("chars", lambda c: F.instr(F.col("alphabet"), c)))
+    # Each step's columns are computed once, however often the next ones use them.
+    rows = sealed(cands.withColumn("encoding", encoding), ["encoding"])
+    rows = sealed(rows.withColumn("alphabet", alphabet).withColumn("chars", F.split("value", "")), ["alphabet", "chars"])
+    rows = sealed(rows.withColumn("at", F.transform("chars", lambda c: F.instr(F.col("alphabet"), c))), ["at"])
     n, k = F.length(value).cast("double"), F.length("alphabet").cast("double")
     squares = F.aggregate(F.array_distinct("at"), F.lit(0.0), lambda acc, d: acc + F.pow(F.size(F.filter("at", lambda x: x == d)).cast("double"), F.lit(2.0)))
     chi = k / n * squares - n
@@ -91,7 +94,7 @@ def tested(cands: DataFrame) -> DataFrame:
     mean = F.aggregate("at", F.lit(0.0), lambda acc, x: acc + x) / n
     spread = F.aggregate("at", F.lit(0.0), lambda acc, x: acc + (x - F.col("mean")) * (x - F.col("mean")))
     along = F.aggregate(pairs(F.col("at")), F.lit(0.0), lambda acc, p: acc + (p["x"] - F.col("mean")) * (p["y"] - F.col("mean")))
-    rows = rows.withColumn("kinds", kinds).withColumn("mean", mean)
+    rows = sealed(rows.withColumn("kinds", kinds).withColumn("mean", mean), ["kinds", "mean"])
     serial = F.when(spread > 0, (along / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
     return rows.withColumn("p", upper_tail((z_chi + z_runs) / math.sqrt(2))).withColumn("serial", serial).drop("alphabet", "chars", "at", "kinds", "mean")
 
