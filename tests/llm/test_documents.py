@@ -266,3 +266,43 @@ def test_secret_digest(spark, sf):
         spans = _base(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[3] == k for s in spans) for k in ("assign", "access", "hex"))
+
+
+def _components_by_brute_force(texts, shingle=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i in range(len(texts))}
+
+
+def _edited(rng, words, places):
+    words = list(words)
+    for at in places:
+        words[at] = "new" + str(rng.integers(1 << 40))
+    return " ".join(words)
+
+
+def test_near_copies_of_one_original_all_meet_it(spark):
+    rng = np.random.default_rng(11)
+    base = _words(rng, 300).split(" ")
+    # Six spread edits: 0.82 to the original, 0.69 between copies. The original is neither first nor last.
+    texts = [_edited(rng, base, rng.permutation(49)[:6] * 6 + 3) for _ in range(300)]
+    texts.insert(150, " ".join(base))
+    texts += [_words(rng, 120) for _ in range(40)]
+    got = simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = _components_by_brute_force(texts)
+    assert {r.doc_id for r in got.collect()} == want and len(want) == 41

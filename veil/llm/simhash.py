@@ -9,6 +9,7 @@ throughout, so copies never form pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -22,6 +23,12 @@ from veil.llm.common import components, query, stored, table
 
 SEED = 42
 WORDS_AT_ONCE = 1 << 16
+#: The order of shingles is learned from about SAMPLED texts: those with OFTEN or more of a shingle make it common, up to COMMON shingles.
+SAMPLED, OFTEN, COMMON = 4_000, 3, 50_000
+#: Slots of the filter that keeps texts without a candidate from being taken apart again.
+SLOTS = 1 << 22
+#: Rounds of linear comparisons ahead of the complete one.
+ROUNDS = 2
 NARROW = tuple(0b11 << (2 * i) for i in range(32))
 WIDE = tuple(int(x) for x in np.random.default_rng(SEED).integers(0, 1 << 63, 16, dtype=np.int64))
 
@@ -95,20 +102,31 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near-duplicates by similarity: wider distances than equal coordinate groups can serve -------------------------------------------
+# --- near-duplicates by similarity: too far apart for fingerprints, so shingles meet instead -----------------------------------------
 
 
-def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, fp, mark): th is the hash of the text, mark that of its lower-cased words."""
+def _mark(raw: bytes | None) -> int:
+    return _signed(xxhash.xxh64_intdigest(b" ".join((raw or b"").lower().split()), 1))
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, mark): th is the hash of the text, mark that of its lower-cased words."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("raw")]
-            marks = [_signed(xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 1)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([fingerprint_of(t, shingle) for t in texts], pa.int64()),
-                                              pa.array(marks, pa.int64())], names=["doc_id", "th", "fp", "mark"])
+            marks = [_mark(t.as_py()) for t in batch.column("raw")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(marks, pa.int64())], names=["doc_id", "th", "mark"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw"))
-    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long, mark long")
+    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, mark long")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(mark, raw) of every row with words."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_mark(t.as_py()) for t in batch.column("raw")], pa.int64()), batch.column("raw")], names=["mark", "raw"])
+
+    return docs.where("text IS NOT NULL").select(F.encode("text", "utf-8").alias("raw")).mapInArrow(of, "mark long, raw binary")
 
 
 def sorted_links(prints: DataFrame, max_bits: int, tables: int = 48, near: int = 3) -> DataFrame:
@@ -160,47 +178,146 @@ def sorted_links(prints: DataFrame, max_bits: int, tables: int = 48, near: int =
     return ordered.mapInArrow(compared, "a long, b long, bits int").where("a <> b").distinct()
 
 
+def _shingles(raw: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, ascending."""
+    words = (raw or b"").lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else ([b" ".join(words)] if words else [])
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")).view("<i8")
+
+
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(mark, shingles): hashes of the distinct shingles of each text, one row for each mark."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for raw in batch.column("raw"):
-                words = (raw.as_py() or b"").lower().split()
-                grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else ([b" ".join(words)] if words else [])
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")).view("<i8"))
+            sets = [_shingles(raw.as_py(), shingle) for raw in batch.column("raw")]
             yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "shingles"])
 
     return docs.select("mark", "raw").mapInArrow(of, "mark long, shingles array<long>")
 
 
-def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 14) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one with the smallest doc_id (null last; ties by text hash).
+def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles seen ``OFTEN`` times or more in about ``SAMPLED`` texts, rarest first, at most ``COMMON``; ties by hash."""
+    step = max(1, texts.count() // SAMPLED)
+    some = texts.where(F.pmod(F.xxhash64("raw"), F.lit(step)) == 0).select(F.lit(0).cast("long").alias("mark"), "raw").distinct()
+    counts = _shingle_sets(some, shingle).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    top = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    return np.array([r.key for r in reversed(top)], np.int64)
+
 
-    Texts of equal lower-cased words are copies. Other texts are linked if their fingerprints are at most ``max_bits`` apart and the Jaccard
-    similarity of their shingle sets is ``similarity`` or more; for each text the candidate of the smallest mark and the nearest one are
-    verified, so the work stays linear in groups of any size. Null and blank texts are copies of each other. All columns are kept.
+def _prefixes(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(key, mark, n): the first shingles of each text in one order of all shingles, as many as must meet those of any text that
+    is similar enough; n is the size of the text's set.
+
+    The order lists shingles by hash, then the ``common`` ones. Any order is complete: two sets that share s of n have one of the first
+    n - s + 1 in common. It only decides how many candidates there are.
     """
-    key = ["mark", "fp"]
-    rows = stored(_described(docs, shingle), "described")
-    texts = rows.groupBy(*key).agg(F.min("th").alias("th"))  # one text stands for its mark
-    head = texts.groupBy("fp").agg(F.min("mark").alias("head"))
-    same = texts.join(head, "fp").where("mark <> head").select(F.col("mark").alias("x"), F.col("head").alias("y"), F.lit(0).alias("bits"))
-    near = sorted_links(texts, max_bits)
-    by_a, by_b = (head.select(F.col("fp").alias(n), F.col("head").alias(m)) for n, m in (("a", "x"), ("b", "y")))
-    linked = near.join(by_a, "a").join(by_b, "b").select("x", "y", "bits")
-    both = stored(same.unionByName(linked), "candidates")
-    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "bits"))
-    chosen = both.groupBy("x").agg(F.min("y").alias("low"), F.min(F.struct("bits", "y")).alias("close"))
-    pairs = stored(chosen.select("x", F.explode(F.array("low", F.col("close")["y"])).alias("y")).select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("mark")).union(pairs.select("y")).distinct()
-    raws = docs.select(F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw")).join(texts.join(wanted, "mark").select("mark", "th"), "th").dropDuplicates(["mark"])
-    sets = stored(_shingle_sets(raws, shingle), "shingles")
+    by_hash = np.argsort(common, kind="stable")
+    known = common[by_hash]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, marks, sizes = [], [], []
+            for raw, mark in zip(batch.column("raw"), batch.column("mark").to_numpy()):
+                found = _shingles(raw.as_py(), shingle)
+                n = len(found)
+                if not n:
+                    continue
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    is_common = known[at] == found
+                    found = np.concatenate([found[~is_common], common[np.sort(by_hash[at[is_common]])]])
+                first = found[:n - math.ceil(similarity * n - 1e-9) + 1]
+                keys.append(first)
+                marks.append(np.full(len(first), mark))
+                sizes.append(np.full(len(first), n, np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, marks, sizes)], names=["key", "mark", "n"])
+
+    return texts.select("mark", "raw").mapInArrow(of, "key long, mark long, n int")
+
+
+def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of ``texts`` (mark, raw) those in ``pairs`` and few others: a fixed number of slots goes to all tasks, however many pairs there are."""
+    slot = F.pmod("mark", F.lit(SLOTS))
+    used = pairs.select(F.explode(F.array("x", "y")).alias("mark")).select(slot.cast("int").alias("slot")).distinct().toArrow()
+    bits = np.zeros(SLOTS, bool)
+    bits[used.column("slot").to_numpy()] = True
+    packed = np.packbits(bits)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("mark").to_numpy() % SLOTS
+            yield batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return texts.mapInArrow(of, texts.schema)
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) of marks whose shingle sets have the Jaccard similarity, as links (a, b)."""
+    pairs = stored(pairs, "pairs")
+    sets = stored(_shingle_sets(_wanted(texts, pairs), shingle).dropDuplicates(["mark"]), "shingles")
     met = pairs.join(sets.select(F.col("mark").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("mark").alias("y"), F.col("shingles").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
-    alike = met.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    tree = components(alike)
+    return stored(met.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")), "alike")
+
+
+def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(x, y) of the candidates (x, y, n_x, n_y), one row for each shingle they meet at, that can still be similar.
+
+    All first shingles of the text whose part ends earlier in the order can only meet first shingles of the other, so two sets share no
+    more than what meets here and the later shingles of one of them.
+    """
+    later = F.ceil(F.greatest("n_x", "n_y") * F.lit(similarity) - 1e-9) - 1
+    sums = pairs.groupBy("x", "y").agg(F.count("*").alias("met"), F.max("n_x").alias("n_x"), F.max("n_y").alias("n_y"))
+    return sums.where(F.col("met") + later >= F.lit(similarity / (1 + similarity)) * (F.col("n_x") + F.col("n_y")) - 1e-9).select("x", "y")
+
+
+def _rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """``rows`` with the root of their mark, and only those whose key still has two roots."""
+    rooted = rows.join(tree, rows["mark"] == tree["node"], "left").select(*rows.columns, F.coalesce("root", "mark").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return stored(rooted.join(open_keys, "key"), "open")
+
+
+def similar_components(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): connected components of the marks in ``texts`` (mark, raw) over all pairs of the Jaccard similarity or more.
+
+    Complete by prefix filter: similar texts share a shingle among their first ones. Rounds first compare the texts of a shingle with one
+    of them only, so a group of copies becomes one component in linear work; then every pair that shares a first shingle, fits by sizes and by
+    the number of them and is not in one component yet is verified, however many a text has. A pair within a component adds nothing to it.
+    """
+    grams = stored(_prefixes(texts, shingle, similarity, _common_shingles(texts, shingle)), "prefixes")
+    met = grams.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("key")
+    rows = stored(grams.join(met, "key").distinct(), "shared")
+    # A text without edits of its own has the fewest first shingles that nobody shares, so it is the best centre.
+    alone = rows.groupBy("mark").agg((F.max("n") - F.ceil(F.max("n") * F.lit(similarity) - 1e-9) + 1 - F.count("*")).alias("alone"))
+    rows = stored(rows.join(alone, "mark"), "scored")
+    tree, found = None, []
+    for turn in range(ROUNDS):
+        rest = _rooted(rows, tree).drop("root") if tree is not None else rows
+        centre = F.col("alone") if turn == 0 else F.xxhash64("mark", F.lit(turn))
+        heads = rest.groupBy("key").agg(F.min(F.struct(centre.alias("by"), "mark", "n")).alias("head")).select("key", "head.mark", "head.n")
+        heads = heads.withColumnsRenamed({"mark": "y", "n": "n_y"})
+        pairs = rest.withColumnsRenamed({"mark": "x", "n": "n_x"}).join(heads, "key").where("x <> y").select("x", "y", "n_x", "n_y")
+        found.append(_alike(texts, _enough(pairs, similarity), shingle, similarity))
+        tree = components(reduce(DataFrame.unionByName, found))
+    rest = _rooted(rows, tree)
+    one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("mark", "n", "root")]) for n in "xy")
+    fits = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
+    pairs = one.join(two, "key").where((F.col("mark_x") < F.col("mark_y")) & (F.col("root_x") != F.col("root_y")) & fits)
+    pairs = pairs.withColumnsRenamed({"mark_x": "x", "mark_y": "y"}).select("x", "y", "n_x", "n_y")
+    found.append(_alike(texts, _enough(pairs, similarity), shingle, similarity))
+    return components(reduce(DataFrame.unionByName, found))
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest doc_id (null last; ties by text hash).
+
+    Texts of equal lower-cased words are copies. Other texts are linked if the Jaccard similarity of their shingle sets is ``similarity``
+    or more; no such pair of groups is missed. Null and blank texts are copies of each other. All columns are kept.
+    """
+    rows = stored(_described(docs), "described")
+    tree = similar_components(_marked(docs), shingle, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     grouped_rows = rows.join(tree, rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
     first = grouped_rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")["none"].alias("__none"), F.coalesce(F.col("first")["doc_id"], F.lit(0)).alias("__doc"), F.col("first")["th"].alias("__th"))
