@@ -306,3 +306,15 @@ def test_near_copies_of_one_original_all_meet_it(spark):
     got = simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     want = _components_by_brute_force(texts)
     assert {r.doc_id for r in got.collect()} == want and len(want) == 41
+
+
+def test_near_copies_among_many_alike(spark):
+    rng = np.random.default_rng(12)
+    common = _words(rng, 60).split(" ")
+    # All texts share half of their words, so fingerprints crowd; every sixth has a copy of similarity 0.80 to 0.85 somewhere else.
+    own = [_words(rng, 60).split(" ") for _ in range(900)]
+    texts = [" ".join(common + w) for w in own]
+    texts += [_edited(rng, common + w, (63, 75, 118)[:2 + i % 2]) for i, w in enumerate(own[::6])]
+    got = simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = _components_by_brute_force(texts)
+    assert {r.doc_id for r in got.collect()} == want and len(want) == 900

@@ -129,55 +129,6 @@ def _marked(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select(F.encode("text", "utf-8").alias("raw")).mapInArrow(of, "mark long, raw binary")
 
 
-def sorted_links(prints: DataFrame, max_bits: int, tables: int = 48, near: int = 3) -> DataFrame:
-    """(a, b, bits): of every fingerprint and each of ``tables`` sorted tables, the nearest of the ``near`` rows on either side, if it is
-    within ``max_bits``.
-
-    A table lists the fingerprints by their coordinates to the one-bit references, in an order of its own, so rows that share many
-    leading coordinates are neighbours, and the number they must share grows by itself with the input. Wide references discard pairs by
-    the largest coordinate difference before the distance is taken. A row gives one pair a table at most, whatever group it is in.
-    """
-    orders = np.stack([np.random.default_rng(SEED + t).permutation(64) for t in range(tables)])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.asarray(batch.column("fp"))
-            for at in range(0, len(fp), 4096):
-                part = np.ascontiguousarray(fp[at:at + 4096])
-                bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                for t, order in enumerate(orders):
-                    key = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
-                    key = (key ^ np.uint64(1 << 63)).view(np.int64)  # the same order as signed numbers
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), t, np.int32)), pa.array(key), pa.array(part)], names=["t", "key", "fp"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = np.array(WIDE, np.int64)
-        held_t, held = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in batches:
-            t, fp = np.concatenate([held_t, np.asarray(batch.column("t"))]), np.concatenate([held, np.asarray(batch.column("fp"))])
-            coords = np.bitwise_count((fp[:, None] ^ wide[None, :]).view(np.uint64)).astype(np.int8)
-            one, two, apart = [], [], []
-            for step in range(1, near + 1):
-                ok = (t[step:] == t[:-step]) & (np.abs(coords[step:] - coords[:-step]).max(axis=1, initial=0) <= max_bits)
-                i = np.flatnonzero(ok)
-                bits = np.bitwise_count((fp[i] ^ fp[i + step]).view(np.uint64))
-                i, bits = i[bits <= max_bits], bits[bits <= max_bits]
-                one += [i, i + step]
-                two += [i + step, i]
-                apart += [bits, bits]
-            i, j, bits = (np.concatenate(x) for x in (one, two, apart))
-            order = np.lexsort((bits, i))
-            _, best = np.unique(i[order], return_index=True)  # of every row the nearest of its neighbours
-            i, j, bits = i[order][best], j[order][best], bits[order][best]
-            pairs = np.unique(np.stack([np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), bits.astype(np.int64)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], names=["a", "b", "bits"])
-            held_t, held = t[-near:], fp[-near:]
-
-    rows = prints.select("fp").where("fp IS NOT NULL").distinct().mapInArrow(listed, "t int, key long, fp long")
-    ordered = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key")
-    return ordered.mapInArrow(compared, "a long, b long, bits int").where("a <> b").distinct()
-
-
 def _shingles(raw: bytes | None, shingle: int) -> np.ndarray:
     """Hashes of the distinct shingles of a text, ascending."""
     words = (raw or b"").lower().split()
@@ -254,11 +205,19 @@ def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _alike(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (x, y) of marks whose shingle sets have the Jaccard similarity, as links (a, b)."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("raw_x"), batch.column("raw_y")):
+                x, y = _shingles(one.as_py(), shingle), _shingles(two.as_py(), shingle)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = stored(pairs, "pairs")
-    sets = stored(_shingle_sets(_wanted(texts, pairs), shingle).dropDuplicates(["mark"]), "shingles")
-    met = pairs.join(sets.select(F.col("mark").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("mark").alias("y"), F.col("shingles").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    return stored(met.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")), "alike")
+    raws = _wanted(texts, pairs).dropDuplicates(["mark"])  # texts compress, hashes of shingles don't
+    one, two = (raws.select(F.col("mark").alias(n), F.col("raw").alias(f"raw_{n}")) for n in "xy")
+    return stored(pairs.join(one, "x").join(two, "y").select("x", "y", "raw_x", "raw_y").mapInArrow(of, "a long, b long"), "alike")
 
 
 def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
