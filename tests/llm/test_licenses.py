@@ -21,10 +21,7 @@ def brute(text, rules):
             for m in re.finditer(licenses.doubled(pattern), line):
                 start = line[:m.start()].count(" ") // 2
                 found.append((start, start + m[0].count(" ") // 2, level, rule, label))
-    kept = []
-    for level in range(len(licenses.LEVELS)):
-        clear = [d for d in found if d[2] == level and not any(k[0] < d[1] and k[1] > d[0] for k in kept)]
-        kept += [d for d in clear if not any(e != d and e[0] <= d[0] and e[1] >= d[1] and (e[1] - e[0] > d[1] - d[0] or e[3] < d[3]) for e in clear)]
+    kept = [d for d in found if not any(e[2] <= d[2] and e[0] <= d[0] and e[1] >= d[1] and (e[:2] != d[:2] or e[3] < d[3]) for e in found)]
     return len(own), base, sorted(kept)
 
 

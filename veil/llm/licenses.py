@@ -2,8 +2,7 @@
 
 A text is read as words with two blanks between them, so that matches end on whole words and never share a blank. Each rule is a pattern over
 words with a keyword phrase in front: rules run only on texts that hold their keyword, and texts are brought into words only if they hold a
-stem of any keyword. Detections are then resolved in the order of their priority: one that overlaps a detection of better priority is
-suppressed, and so is one that lies within another of its own priority.
+stem of any keyword. Overlapping detections are then resolved: one that lies within another of better or equal priority is suppressed.
 """
 
 from __future__ import annotations
@@ -164,6 +163,8 @@ unlicense | unlicense org
 wtfpl | wtfpl net
 zlib | opensource org licenses zlib
 """
+#: First words of identifiers that stand for the licence without more; others count only after the words of an SPDX tag.
+IDENTIFIERS = "agpl apache apsl artistic bsd busl cc cc0 cddl cecill eupl gfdl gpl lgpl lppl mpl odbl pddl sspl".split()
 #: What leads to a licence that is granted, not only named.
 GRANT = ("(?:licensed|released|distributed|available|published|provided|covered|governed) (?:by|under|with) (?:the )?"
          "(?:terms (?:and conditions )?of (?:the )?)?")
@@ -192,9 +193,9 @@ def rules() -> list[tuple[int, str, str, str]]:
         name = re.sub("[-.]", " ", label)
         if label not in seen:
             out.append((0, label, "spdx license", f"spdx license identifier {name}(?: only)?"))
-            if name[-1].isdigit() and name != "mit 0":  # "mit" is a word of its own
-                keyword_of = "cc by" if name.startswith("cc by") else name.split(" ")[0]
-                out += [(3, label, keyword_of, name), (1, label, keyword_of, f"{GRANT}{name}")]
+            first = name.split(" ")[0]
+            if first in IDENTIFIERS and name != first:
+                out += [(3, label, "cc by" if first == "cc" else first, name), (1, label, "cc by" if first == "cc" else first, f"{GRANT}{name}")]
         seen.add(label)
         out.append((1, label, keyword, f"{GRANT}{title}"))
         out.append((3 if re.search("[0-9]", label) else 4, label, keyword, title))
@@ -266,22 +267,14 @@ def detections(words: Column, signatures: list[tuple[int, str, str, str]]) -> Co
 
 
 def resolved(found: DataFrame, levels: int) -> DataFrame:
-    """Rows (id, start, stop, level, rule) of each text that stay: level by level, those clear of all better ones and within none of their own."""
-    forth = Window.partitionBy("id").orderBy("start", F.desc("stop"), "level", "rule").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy("id").orderBy(F.desc("start"), "stop", F.desc("level"), F.desc("rule")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = found.withColumn("kept", F.lit(False))
-    for level in range(levels):
-        own = F.col("level") == level
-        if level:
-            rows = rows.withColumn("before", F.max(F.when(F.col("kept"), F.col("stop"))).over(forth))
-            rows = rows.withColumn("after", F.min(F.when(F.col("kept"), F.col("start"))).over(back))
-            clear = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("stop")) >= F.col("stop"))
-        else:
-            clear = F.lit(True)
-        rows = rows.withColumn("clear", own & clear)
-        rows = rows.withColumn("within", F.max(F.when(F.col("clear"), F.col("stop"))).over(forth))
-        rows = rows.withColumn("kept", F.col("kept") | (F.col("clear") & (F.coalesce("within", F.lit(-1)) < F.col("stop")))).drop("before", "after", "clear", "within")
-    return rows.where("kept").drop("kept")
+    """Rows (id, start, stop, level, rule) of each text that stay: those that no detection of better or equal priority contains.
+
+    Of equal intervals the better priority stays, then the earlier rule. What contains a row comes before it in the order of the window, so one
+    running maximum a level decides; containment is transitive, so suppressed rows may suppress.
+    """
+    before = Window.partitionBy("id").orderBy("start", F.desc("stop"), "level", "rule").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.array(*[F.max(F.when(F.col("level") <= n, F.col("stop"))).over(before) for n in range(levels)])
+    return found.withColumn("within", F.element_at(ends, F.col("level") + 1)).where(F.coalesce("within", F.lit(-1)) < F.col("stop")).drop("within")
 
 
 def scan(docs: DataFrame, signatures: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
@@ -328,10 +321,6 @@ def _sql() -> str:
     base = " UNION ALL ".join(
         f"SELECT id, '{name}' AS label, i - 1 AS start FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM listed) WHERE "
         + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split(" "))) for p, name in PHRASES)
-    better = "".join(f"""
-c{n} AS (SELECT * FROM placed d WHERE level = {n}{'' if not n else ' AND NOT EXISTS (SELECT 1 FROM k' + str(n - 1) + ' e WHERE e.id = d.id AND e.start < d.stop AND e.stop > d.start)'}),
-k{n} AS ({f'SELECT * FROM k{n - 1} UNION ALL ' if n else ''}SELECT * FROM c{n} d WHERE NOT EXISTS (SELECT 1 FROM c{n} e WHERE e.id = d.id AND e.rule || ':' || e.k <> d.rule || ':' || d.k
-  AND e.start <= d.start AND e.stop >= d.stop AND (e.stop - e.start > d.stop - d.start OR e.rule < d.rule))),""" for n in range(len(LEVELS)))
     weights = "[" + ", ".join(map(str, WEIGHTS)) + "]"
     return f"""
 WITH rules(rule, level, label, phrase, pattern) AS (VALUES
@@ -344,8 +333,10 @@ hit AS (SELECT id, rule, level, label, regexp_extract_all(words, pattern) AS m,
   FROM listed JOIN rules ON contains(words, phrase) WHERE regexp_matches(words, pattern)),
 each AS (SELECT id, rule, level, label, m, gaps, unnest(range(1, len(m) + 1)) AS k FROM hit),
 placed AS (SELECT id, rule, level, label, k, sum({blanks('gaps[k]')} + {blanks('m[k]')}) OVER (PARTITION BY id, rule ORDER BY k) AS stop, {blanks('m[k]')} AS size,
-  stop - size AS start FROM each),{better}
-named AS (SELECT id, label, {BASE_WEIGHT} AS weight FROM base UNION ALL SELECT id, label, {weights}[level + 1] FROM k{len(LEVELS) - 1}),
+  stop - size AS start FROM each),
+kept AS (SELECT * FROM placed d WHERE NOT EXISTS (SELECT 1 FROM placed e WHERE e.id = d.id AND e.start <= d.start AND e.stop >= d.stop AND e.level <= d.level
+  AND (e.start < d.start OR e.stop > d.stop OR e.rule < d.rule))),
+named AS (SELECT id, label, {BASE_WEIGHT} AS weight FROM base UNION ALL SELECT id, label, {weights}[level + 1] FROM kept),
 best AS (SELECT id, label, max(weight) AS weight FROM named GROUP BY id, label),
 every AS (SELECT id, string_agg(label, ',' ORDER BY label) AS labels, round(1 - product(1 - weight), 6) AS score FROM best GROUP BY id),
 bases AS (SELECT id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS names FROM base GROUP BY id)
