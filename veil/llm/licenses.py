@@ -17,9 +17,9 @@ from veil.functions.text import let
 from veil.llm.common import query, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What a word is made of, in a text as it stands; and what lies between the words of a lower-cased one.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text as it stands, and the ASCII characters of which words are not made.
+ANY_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+BLANKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 #: Base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -215,15 +215,15 @@ def held(text: Column, signatures: list[tuple[int, str, str, str]]) -> Column:
     """Whether a text may hold a match: a stem of any rule or base phrase or, for very short ones, the keyword's words in a row."""
     pairs = [(k, p) for _, _, k, p in signatures] + [(p, p) for p, _ in PHRASES]
     some = sorted({stem(k, p) for k, p in pairs if len(stem(k, p)) > 2})
-    short = sorted({BETWEEN.join(k.split(" ")) for k, p in pairs if len(stem(k, p)) <= 2})
+    short = sorted({"[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+".join(k.split(" ")) for k, p in pairs if len(stem(k, p)) <= 2})
     found = let(F.lower(text), lambda low: F.exists(F.array(*[F.lit(s) for s in some]), lambda s: F.contains(low, s))) if some else F.lit(False)
     return found | text.rlike(f"(?i)(?:{'|'.join(short)})") if short else found
 
 
 def words_of(text: Column) -> Column:
     """The text as its words, two blanks between them and one at either end: A-Z lower-cased, all else kept."""
-    inner = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), BETWEEN, " "))
-    return F.concat(F.lit(" "), F.replace(inner, F.lit(" "), F.lit("  ")), F.lit(" "))
+    plain = F.trim(F.translate(text, UPPER + BLANKS, LOWER + " " * len(BLANKS)))
+    return F.concat(F.lit(" "), F.regexp_replace(plain, " +", "  "), F.lit(" "))
 
 
 def counted(part: Column) -> Column:
