@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from veil.functions.payload import check_patterns
@@ -34,12 +37,39 @@ def test_a_value_keeps_its_placeholder_in_its_scope(spark):
     assert vault.count() == 5
 
 
-def test_big_vaults_give_the_same_result_by_equi_join(spark):
-    texts = spark.createDataFrame([("s", 2, "a@X.COM wrote 44-55, pw HUNTER22x, 1234567"), ("s", 3, "nothing 14455")], "scope string, seq long, text string")
-    vault = spark.createDataFrame([("s", "a@x.com", "[EMAIL_1]", 1), ("s", "4455", "[OTP_1]", 1), ("s", "hunter22", "[PASSWORD_1]", 1), ("s", "123", "[CVV_1]", 1)], "scope string, value string, mark string, since long")
-    small = [r.replaced for r in R.replace_known(texts, vault, ["seq"]).orderBy("seq").collect()]
-    large = [r.replaced for r in R.replace_known(texts, vault, ["seq"], small=0).orderBy("seq").collect()]
-    assert small == large == ["[EMAIL_1] wrote [OTP_1], pw [PASSWORD_1]x, 1234567", "nothing 14455"]
+def brute_known(text, entries):
+    """Known values replaced by the definition: places in the text as it stands, the longest value first, marks put in at the end."""
+    taken = []
+    for value, mark in sorted(entries, key=lambda e: -len(e[0])):
+        raw = value.strip()
+        if re.fullmatch(r"\+?[0-9\s-]+", raw):
+            digits = re.sub("[^0-9]", "", raw)
+            pattern = r"(?<![0-9+])\+?" + r"[\s-]*".join(digits) + "(?![0-9])" if len(digits) >= 4 else None
+        else:
+            pattern = re.escape(raw) if len(raw) >= 3 else None
+        for m in re.finditer(pattern, text, re.I) if pattern else ():
+            if all(m.end() <= a or m.start() >= b for a, b, _ in taken):
+                taken.append((m.start(), m.end(), mark))
+    for a, b, mark in sorted(taken, reverse=True):
+        text = text[:a] + mark + text[b:]
+    return text
+
+
+KNOWN = [("a@x.com", "[EMAIL_1]"), ("email", "[PASSWORD_1]"), ("card", "[PASSWORD_2]"), ("4455", "[OTP_1]"), ("1234", "[OTP_2]"), ("hunter22", "[PASSWORD_3]"), ("hunter22 end", "[PASSWORD_4]"),
+         ("123", "[CVV_1]"), ("no", "[PASSWORD_5]"), ("4111 1111 1111 1111", "[CARD_1234]"), ("(02) 555", "[PHONE_1]"), ("é$1\\", "[PASSWORD_6]")]
+KNOWN_TEXTS = ["to a@x.com and b", "a@X.COM wrote 44-55, pw HUNTER22x, 1234567", "nothing 14455", "my Email card is 4111-1111 11111111 ok", "[EMAIL_1] stays? 1234", "hunter22 end hunter22 endhunter22",
+               "call (02) 555 or 123 or no", "x" * 254 + "hunter22" + "y" * 300 + " EMAIL", "É$1\\ é$1\\", "", "4455 +4455 4 4 5 5"]
+
+
+@pytest.mark.parametrize("more", [0, 3000])
+def test_known_values_are_replaced_in_the_text_as_it_stands(spark, more):
+    """Small and big vaults alike: no value is found inside a placeholder."""
+    vault = spark.createDataFrame([("s", v, m, 1) for v, m in KNOWN] + [("s", f"absent{i}", f"[PASSWORD_{i + 10}]", 1) for i in range(more)]
+                                  + [("t", "to", "[PASSWORD_1]", 1)], "scope string, value string, mark string, since long")
+    texts = spark.createDataFrame([("s", 2 + i, t) for i, t in enumerate(KNOWN_TEXTS)] + [("s", 1, "a@x.com early")], "scope string, seq long, text string")
+    got = {r.seq: r.replaced for r in R.replace_known(texts, vault, ["seq"]).collect()}
+    assert got == {1: "a@x.com early"} | {2 + i: brute_known(t, KNOWN) for i, t in enumerate(KNOWN_TEXTS)}
+    assert got[2] == "to [EMAIL_1] and b"
 
 
 def test_known_values_across_scopes(spark):
@@ -105,7 +135,7 @@ def test_long_texts_and_tables_of_numbers_meet_big_vaults(spark):
     numbers = " ".join(str(rng.randrange(10, 99)) for _ in range(5000)) + " 98-76-54-32"
     texts = spark.createDataFrame([("s", 2, long), ("s", 3, numbers)], "scope string, seq long, text string")
     vault = spark.createDataFrame([("s", "secret-word", "[PASSWORD_1]", 1), ("s", "98765432", "[OTP_1]", 1), ("s", "absent12", "[PASSWORD_2]", 1)], "scope string, value string, mark string, since long")
-    out = [r.replaced for r in R.replace_known(texts, vault, ["seq"], small=0).orderBy("seq").collect()]
+    out = [r.replaced for r in R.replace_known(texts, vault, ["seq"]).orderBy("seq").collect()]
     assert out[0].endswith("[PASSWORD_1] end") and out[1].endswith(" [OTP_1]") and "[PASSWORD_2]" not in out[0]
     hits = K.known_value_hits(texts.selectExpr("seq AS k", "text AS body"), vault.selectExpr("'X' AS type", "value"), ["k"])
     assert sorted((r.k, r.value) for r in hits.collect()) == [(2, "secret-word")]

@@ -13,9 +13,7 @@ from veil.session import settled
 
 PLACED = "array<struct<start:int,size:int,type:string,value:string,pass:int>>"
 VAULT = "array<struct<placeholder:string,type:string,n:int,value:string>>"
-
-#: Scopes with more known values than this are matched by an equi-join instead of an array in the row.
-SMALL_VAULT = 1000
+PLACES = "array<struct<start:int,stop:int,mark:string>>"
 
 
 def detect(df: DataFrame, text: str = "text", name: str = "spans") -> DataFrame:
@@ -159,17 +157,52 @@ def known_pattern(value: Column) -> Column:
     spaced = F.array_join(F.split(digits, ""), jvm(r"[\s-]*"))
     literal = F.regexp_replace(raw, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     return (F.when(is_numeric_value(raw) & (F.length(digits) >= 4), F.concat(F.lit(r"(?<![\d+])\+?"), spaced, F.lit(r"(?!\d)")))
-            .when(is_numeric_value(raw), F.lit(None)).when(F.length(raw) >= 3, F.concat(F.lit("(?i)"), literal)))
+            .when(is_numeric_value(raw), F.lit(None)).when(F.length(raw) >= 3, F.concat(F.lit("(?iu)"), literal)))
+
+
+def _occurrences(text: Column, entry: Column) -> Column:
+    """Places (start, stop, mark) of a known value in a text, from the left and clear of each other; none for a value too short to be replaced."""
+    none = F.array().cast(PLACES)
+
+    def placed(found: Column, pattern: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return F.aggregate(
+            F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))),
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, p: F.struct(
+                (acc["at"] + p["gap"] + p["size"]).alias("at"),
+                F.array_append(acc["out"], F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["size"]).alias("stop"),
+                                                    entry["mark"].alias("mark"))).alias("out")),
+            lambda acc: acc["out"])
+
+    def of(pattern: Column) -> Column:
+        return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found, pattern)))
+
+    return let(known_pattern(entry["value"]), lambda p: F.coalesce(F.when(p.isNotNull(), of(p)), none))
 
 
-def _replace_all(text: Column, entries: Column) -> Column:
-    """Known values in an array of (size, order, value, mark, since), longest first, equal lengths in order of registration."""
+def _spliced(text: Column, places: Column) -> Column:
+    """The text with its (sorted, disjoint) places replaced by their marks."""
+    def pieces(own: Column) -> Column:
+        ahead = lambda i: F.coalesce(F.get(own, i - 1)["stop"], F.lit(0))
+        return F.transform(own, lambda p, i: F.concat(F.substring(text, ahead(i) + 1, p["start"] - ahead(i)), p["mark"]))
+
+    return let(places, lambda own: F.concat(F.array_join(pieces(own), ""), F.substring(text, F.coalesce(F.element_at(own, -1)["stop"], F.lit(0)) + 1, F.length(text))))
+
+
+def replace_listed(text: Column, entries: Column) -> Column:
+    """A text with the known values of an array of (size, order, value, mark) replaced, all of them found in the text as it stands.
+
+    The longest value claims its places first, equal lengths in order of registration; a place that touches a claimed one is left. Marks are
+    put in once, at the end, so no value is ever looked for inside a placeholder.
+    """
     ordered = F.array_sort(entries, lambda a, b: F.coalesce(
         F.nullif((b["size"] - a["size"]).cast("int"), F.lit(0)),
         F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1)
         .when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0)))
-    # A value too short to be replaced has no pattern and leaves the text as it is.
-    return F.aggregate(ordered, text, lambda acc, e: F.coalesce(F.regexp_replace(acc, known_pattern(e["value"]), e["mark"]), acc))
+    claimed = F.aggregate(ordered, F.array().cast(PLACES), lambda taken, e: F.concat(taken, F.filter(
+        _occurrences(text, e), lambda p: ~F.exists(taken, lambda t: (p["start"] < t["stop"]) & (p["stop"] > t["start"])))))
+    return F.coalesce(F.when(F.size(entries) > 0, _spliced(text, F.array_sort(claimed))), text)
 
 
 def _number_keys(text: Column, longest: Column) -> Column:
@@ -186,9 +219,9 @@ def _number_keys(text: Column, longest: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(runs, windows)), lambda d: F.length(d) <= longest))
 
 
-def _present_in_large_scopes(texts: DataFrame, vault: DataFrame, text: str, row_keys: list[str]) -> DataFrame:
-    """(row keys, value, mark) for values of big vaults that may occur in a text: equi-joins on digit strings and
-    on the value's leading characters, so neither a whole vault nor a whole scope meets in one task."""
+def known_present(texts: DataFrame, vault: DataFrame, row_keys: list[str], text: str) -> DataFrame:
+    """(scope, row keys, vault columns) for values that may occur in a text of their scope: equi-joins on digit strings and on the values'
+    beginnings, so neither a whole vault nor a whole scope meets in one task."""
     numeric = vault.filter(is_numeric_value(F.col("value"))).withColumn("__key", canonical(F.col("value")))
     longest = numeric.groupBy("scope").agg(F.max(F.length("__key")).alias("__longest"))
     by_number = each(texts.join(longest, "scope"), ["scope", *row_keys], _number_keys(F.col(text), F.col("__longest")), "__key").join(
@@ -197,32 +230,23 @@ def _present_in_large_scopes(texts: DataFrame, vault: DataFrame, text: str, row_
     return by_number.unionByName(textual_hits(texts, textual, ["scope"], row_keys, text))
 
 
-def replace_known(texts: DataFrame, vault: DataFrame, row_keys: list[str], text: str = "text",
-                  name: str = "replaced", small: int = SMALL_VAULT) -> DataFrame:
-    """Replaces known values of the scope in every text.
+def replace_known(texts: DataFrame, vault: DataFrame, row_keys: list[str], text: str = "text", name: str = "replaced") -> DataFrame:
+    """Replaces known values of the scope in every text; one way for vaults of any size.
 
-    ``texts(scope, seq, row_keys..., text)``; ``vault(scope, value, mark, since)``, and ``order`` where values of one row
-    must keep an order. A value is known to rows with ``seq > since``. A scope with a small vault meets its texts by an array join; a bigger vault is matched by
-    equi-join on what the text holds, and only the values present reach the row.
+    ``texts(scope, seq, row_keys..., text)``; ``vault(scope, value, mark, since)``, and ``order`` where values of one row must keep an order. A
+    value is known to rows with ``seq > since``. Only values that occur in a text reach its row, where they claim their places
+    (``replace_listed``).
     """
     if "order" not in vault.columns:
         vault = vault.withColumn("order", F.struct(F.col("since").cast("long").alias("seq"), F.lit(0).alias("pass"), F.lit(0).alias("back")))
-    sized = vault.groupBy("scope").agg(F.count("*").alias("__n"))
-    large = sized.filter(F.col("__n") > small)
-    none = F.array().cast("array<struct<size:int,order:struct<seq:bigint,pass:int,back:int>,value:string,mark:string,since:long>>")
-    entry = F.struct(F.length("value").alias("size"), "order", "value", "mark", F.col("since").cast("long").alias("since"))
-    if large.isEmpty():
-        arrays = vault.groupBy("scope").agg(F.collect_list(entry).alias("__small"))
-        rows = texts.join(arrays, "scope", "left").withColumn("__large", none)
-    else:
-        arrays = (vault.join(large, "scope", "left_anti").groupBy("scope").agg(F.collect_list(entry).alias("__small")))
-        present = (_present_in_large_scopes(texts.join(large, "scope", "left_semi"), vault.join(large, "scope", "left_semi"),
-                                            text, row_keys)
-                   .groupBy("scope", *row_keys).agg(F.collect_set(entry).alias("__large")))
-        rows = texts.join(arrays, "scope", "left").join(present, ["scope", *row_keys], "left")
-    known = F.filter(F.concat(F.coalesce("__small", none), F.coalesce("__large", none)), lambda e: e["since"] < F.col("seq"))
-    out = F.when(F.size(known) == 0, F.col(text)).otherwise(_replace_all(F.col(text), known))
-    return rows.withColumn(name, out).drop("__small", "__large")
+    vault = settled(vault.select("scope", "value", "mark", F.col("since").cast("long").alias("since"), "order"))
+    keys = list(dict.fromkeys(["seq", *row_keys]))
+    present = known_present(texts.select("scope", *keys, text), vault, keys, text).filter(F.col("since") < F.col("seq"))
+    entry = F.struct(F.length("value").alias("size"), "order", "value", "mark")
+    listed = present.groupBy("scope", *keys).agg(F.collect_set(entry).alias("__listed"))
+    rows = texts.join(listed, ["scope", *keys], "left")
+    out = F.when(F.col("__listed").isNull(), F.col(text)).otherwise(replace_listed(F.col(text), F.col("__listed")))
+    return rows.withColumn(name, out).drop("__listed")
 
 
 def first_registrations(found: DataFrame) -> DataFrame:
