@@ -16,7 +16,7 @@ from veil.session import settled
 LOCAL_CHARS = 6
 GRAM_SIZES = [(3, 6), (6, 12), (12, 1 << 30)]
 #: Bits of the bitmap (128 KB, however many values there are), in words of 64; and the characters of a piece of text that is searched.
-BITS, WORD, PIECE = 1 << 20, 64, 256
+BITS, WORD, PIECE = 1 << 20, 64, 64
 
 
 def _at_keys(low: Column) -> Column:

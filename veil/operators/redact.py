@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
@@ -295,21 +297,27 @@ def redact(df: DataFrame, row_keys: list[str], text: str = "text", scope: str =
 
     What a row registers depends on the values before it, so the vault is found as a fixed point: from the values of the
     texts as they stand, each round replaces what the vault knows and registers what is still found. After round n the
-    first n rows of every scope are settled, and a round usually settles all but those where one value cuts another; the
-    loop ends when a round leaves the vault as it was.
+    first n rows of every scope are settled, and a round usually settles all but those where one value cuts another. A scope
+    whose vault a round left as it was is done: later rounds read only the texts and values of scopes that moved.
     """
     texts = df.withColumn("scope", F.col(scope)).withColumn("seq", F.col(seq).cast("long"))
     vault = _registered(two_passes(texts, text), seeds)
     entry = ["scope", "value", "type", "seq", "placeholder"]
+    order = F.struct("seq", "pass", "back")
+    steps, vaults = [], []
     while True:
-        order = F.struct("seq", "pass", "back")
         marks = vault.select("scope", "value", F.col("seq").alias("since"), F.col("placeholder").alias("mark"), order.alias("order"))
         step = settled(two_passes(replace_known(texts, marks, row_keys, text, "__known"), "__known"))
         again = _registered(step, seeds)
         moved = again.select(*entry).exceptAll(vault.select(*entry)).unionByName(vault.select(*entry).exceptAll(again.select(*entry)))
-        vault = again
+        moved = settled(moved.select("scope").distinct())
+        steps.append(step.join(moved, "scope", "left_anti"))
+        vaults.append(again.join(moved, "scope", "left_anti"))
         if moved.isEmpty():
             break
+        texts, vault = texts.join(moved, "scope", "left_semi"), again.join(moved, "scope", "left_semi")
+        seeds = None if seeds is None else seeds.join(moved, "scope", "left_semi")
+    step, vault = reduce(DataFrame.unionByName, steps), reduce(DataFrame.unionByName, vaults)
     # A value found is one lookup in the vault, by (scope, value).
     found = F.array_distinct(F.transform("__placed", lambda s: s["value"]))
     lookups = (each(step, ["scope", *row_keys], found, "value")

@@ -87,6 +87,18 @@ FROM {documents}
 """
 
 
+# A whole request per conversation: fields, lines, task, url, title, elements with options, page text, visual, history and guidance.
+REQUESTS = """
+SELECT conv_id AS request_id, first_text || ' mail task' || CAST(conv_id AS STRING) || '@mail.example.com' AS task,
+  'https://shop.example.com/list?q=Task' || CAST(conv_id AS STRING) || '@mail.example.com' AS url, 'Cart of user' || CAST(conv_id AS STRING) || '@mail.example.com' AS title,
+  all_text || ' code ' || otp || ' or 98765-4' || tail || ' for "user' || CAST(conv_id AS STRING) || '@MAIL.example.com"' AS text,
+  CASE WHEN conv_id % 4 = 0 THEN NULL ELSE repeat('g', 380) || ' ask guide' || CAST(conv_id AS STRING) || '@mail.example.com' END AS guidance,
+  'secret' || CAST(conv_id AS STRING) || 'x' AS secret, otp, '98765 4' || tail AS phone, n_turns
+FROM (SELECT conv_id, first_text, all_text, n_turns, CAST(100000 + (conv_id * 7919) % 900000 AS STRING) AS otp, lpad(CAST(conv_id % 10000 AS STRING), 4, '0') AS tail
+  FROM (SELECT conv_id, min_by(text, turn) AS first_text, max_by(text, turn) AS all_text, count(*) AS n_turns FROM {conversations} GROUP BY conv_id))
+"""
+
+
 def spread(df: DataFrame) -> DataFrame:
     """On one machine, deals the single file of a small test table out to all cores; on a cluster the table is left as it is."""
     context = df.sparkSession.sparkContext

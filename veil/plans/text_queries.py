@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veil import rules
 from veil.functions import detect as D, text as X
 from veil.functions.payload import check_image, check_patterns, check_structure
-from veil.operators import fields as FL, known as K, redact as R, verify as V
+from veil.operators import fields as FL, known as K, redact as R, request as Q, verify as V
 from veil.plans import check_sql as C, derived as G
 from veil.plans.ordered import each, where
 from veil.plans.registry import query
@@ -232,6 +232,47 @@ def r07(spark, sf):
     return rows.select("conv_id", "turn", "redacted")
 
 
+_REQUEST_BODY = f"""SELECT request_id, '{{"task":' || to_json(replace(task, 'task' || request_id || '@mail.example.com', '[EMAIL_1]'))
+  || ',"page":{{"url":"https://shop.example.com/list?q=[EMAIL_1]","title":"Cart of [EMAIL_2]","elements":[{{"id":"el_a","tag":"input","text":"[PHONE_1]","role":"textbox","context":"near [PASSWORD_1]","options":["ship to [EMAIL_2]","none"]}},'
+  || '{{"id":"el_b","tag":"b","text":"Order ID: 9876512345","role":"note"}},{{"id":"el_c","tag":"b","text":"send [EMAIL_3]","role":"note"}}],"text":'
+  || to_json(replace(replace(replace(text, otp, '[OTP_1]'), '98765-4' || right(phone, 4), '[PHONE_1]'), 'user' || request_id || '@MAIL.example.com', '[EMAIL_2]'))
+  || '}},"placeholders":["[PASSWORD_1]","[OTP_1]","[EMAIL_1]","[EMAIL_2]","[PHONE_1]","[EMAIL_3]"' || CASE WHEN guidance IS NULL THEN '' ELSE ',"[EMAIL_4]"' END || ']'
+  || CASE WHEN n_turns % 2 = 0 THEN ',"visual":{{"engine":"lines","observations":[{{"type":"text","text":"Total for [EMAIL_2]","bbox":{{"x":1,"y":2,"width":30,"height":4}},"confidence":1,"target":null}}],"conflicts":["price"]}}' ELSE '' END
+  || ',"history":[' || array_to_string(list_transform(range(3, 13), lambda i: '{{"action":"type","target":"el_a","value":"step ' || i || ' [PASSWORD_1]"'
+       || CASE WHEN i % 2 = 0 THEN '' ELSE ',"effect":"dom_changed","note":"saw [OTP_1]"' END || '}}'), ',') || ']'
+  || CASE WHEN guidance IS NULL THEN '' ELSE ',"guidance":"' || repeat('g', 380) || ' ask [EMAIL_4]"' END || '}}' AS body, CASE WHEN guidance IS NULL THEN 6 ELSE 7 END AS n_placeholders,
+  'allowed' AS verdict, CAST(NULL AS VARCHAR) AS reason FROM ({G.as_cte(G.REQUESTS)})"""
+
+
+def _requests(spark, sf):
+    base = G.derive(spark, sf, G.REQUESTS, "conversations")
+    text = lambda ahead, c: F.concat(F.lit(ahead), F.col(c))
+    mail = lambda name: F.concat(F.lit(name), F.col("request_id").cast("string"), F.lit("@mail.example.com"))
+    element = lambda i, tag, t, role, label, context, options: F.struct(
+        F.lit(i).alias("id"), F.lit(tag).alias("tag"), t.alias("text"), F.lit(role).alias("role"), F.lit(label).alias("label"), context.alias("context"), options.alias("options"))
+    absent, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    elements = F.array(
+        element("el_a", "input", F.col("phone"), "textbox", "Phone", text("near ", "secret"), F.array(F.concat(F.lit("ship to "), mail("user")), F.lit("none"))),
+        element("el_b", "b", F.lit("Order ID: 9876512345"), "note", "Order reference", absent, none),
+        # Its label holds a value itself, so the bare text is redacted.
+        element("el_c", "b", F.concat(F.lit("send "), mail("own")), "note", "write to first@mail.example.com", absent, none))
+    box = F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(30).alias("width"), F.lit(4).alias("height"))
+    seen = F.struct(F.lit("text").alias("type"), F.concat(F.lit("Total for "), mail("user")).alias("text"), box.alias("bbox"), F.lit(1).alias("confidence"), absent.alias("target"))
+    visual = F.when(F.col("n_turns") % 2 == 0, F.struct(F.lit("lines").alias("engine"), F.array(seen).alias("observations"), F.array(F.lit("price")).alias("conflicts")))
+    past = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(
+        F.lit("type").alias("action"), F.lit("el_a").alias("target"), F.concat(F.lit("step "), i.cast("string"), F.lit(" "), F.col("secret")).alias("value"),
+        F.when(i % 2 == 1, F.lit("dom_changed")).alias("effect"), F.when(i % 2 == 1, text("saw ", "otp")).alias("note")))
+    value = lambda kind, c: F.array(F.struct(F.lit(kind).alias("type"), F.col(c).alias("value")))
+    return base.select("request_id", "task", "url", "title", "text", "guidance", elements.alias("elements"), visual.alias("visual"), past.alias("history"),
+                       value("PASSWORD", "secret").alias("fields"), value("OTP", "otp").alias("lines"))
+
+
+@query("r07_whole_request", _REQUEST_BODY)
+def r07b(spark, sf):
+    done = Q.sanitize(_requests(spark, sf))
+    return done.select("request_id", "body", F.size("placeholders").alias("n_placeholders"), "verdict", "reason")
+
+
 @query("r11_resolve_placeholder", "SELECT doc_id, text AS restored FROM documents")
 def r11(spark, sf):
     return R.rehydrate_rows(R.redact_rows(_docs(spark, sf))).select("doc_id", "restored")
