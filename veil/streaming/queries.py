@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veil.plans import derived as G
 from veil.plans.registry import query
@@ -93,16 +93,48 @@ def w05(spark, sf):
     return drain(GA.gate_stream(spark.sql(f"{recipe} FROM veil_documents_stream")).select("doc_id", "gate"))
 
 
+def in_waves(rows: DataFrame, ts: str, by: Column, waves: int, end: DataFrame, late: Column | None = None) -> tuple[DataFrame, str]:
+    """A stream that gets ``rows`` out of order, and the watermark under which none is late but those marked.
+
+    Every row is held up by a share (``by``, from 0 up to but not including 1) of a ``waves``-th of the time that the rows span; then they come
+    in as many waves, each in files of its own. Rows marked ``late`` come with the last wave, as does ``end``, which moves the watermark past
+    the input.
+    """
+    spark = rows.sparkSession
+    span = rows.agg(F.min(F.unix_micros(ts)).alias("lo"), F.max(F.unix_micros(ts)).alias("hi")).first()
+    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0)) // waves))
+    arrival = F.unix_micros(ts) + (by * width).cast("long")
+    wave_of = F.least(F.floor((arrival - lo) / width), F.lit(waves))
+    dealt = rows.withColumn("__wave", wave_of if late is None else F.when(late, waves).otherwise(wave_of))
+    place = f"{shared_dir(spark)}/waves-{uuid.uuid4().hex}"
+    files = 1
+    for wave in range(waves + 1):
+        part = dealt.where(F.col("__wave") == wave).drop("__wave")
+        (part.unionByName(end) if wave == waves else part).write.mode("append").parquet(place)
+        files = max(files, part.rdd.getNumPartitions())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(place)
+    # Two waves overlap at most: a row lies behind the newest one of an earlier batch by less than two widths.
+    return stream, f"{2 * width // 1000 + 1} milliseconds"
+
+
+def _events_and_end(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    known = {"user_id": F.lit(-1), "event_id": F.lit(-1), "event_type": F.lit("click"), "ts": F.lit("2200-01-01")}
+    return events, spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+
+
 _SIG = "action || '|' || coalesce(target, '∅') || '|' || coalesce(value, '∅')"
 
 
-@query("w06_loop_stream", f"""WITH s AS (SELECT event_id, task_id, ts, effect, {_SIG} AS sig FROM ({G.as_cte(G.ACTIONS)})), l AS (SELECT *, lag(sig) OVER w AS prev, list(sig) OVER (PARTITION BY task_id ORDER BY event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS seen,
-    list(effect) OVER (PARTITION BY task_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS eff FROM s WINDOW w AS (PARTITION BY task_id ORDER BY event_id))
+@query("w06_loop_stream", f"""WITH s AS (SELECT event_id, task_id, ts, effect, {_SIG} AS sig FROM ({G.as_cte(G.ACTIONS)})), l AS (SELECT *, lag(sig) OVER w AS prev, list(sig) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS seen,
+    list(effect) OVER (PARTITION BY task_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS eff FROM s WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id))
   SELECT event_id AS seq, coalesce(prev = sig, false) AS repeated, len(list_filter(seen, lambda v: v = sig)) >= 3 AS cycling, len(eff) = 3 AND list_unique(eff) = 1 AND eff[1] = 'no_change' AS stuck FROM l""")
 def w06(spark, sf):
-    _stream(spark, sf, "events").createOrReplaceTempView("veil_events_stream")
+    events, end = _events_and_end(spark, sf)
+    stream, watermark = in_waves(events, "ts", F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000, 4, end)
+    stream.createOrReplaceTempView("veil_events_stream")
     actions = spark.sql(G.ACTIONS.replace("{events}", "veil_events_stream"))
-    return drain(ST.loops_stream(actions, "task_id", "event_id")).select("seq", "repeated", "cycling", "stuck")
+    return drain(ST.loops_stream(actions, "task_id", "ts", "event_id", watermark)).select("seq", "repeated", "cycling", "stuck")
 
 
 @query("w07_late_and_duplicate", "SELECT event_id FROM events")
@@ -111,4 +143,25 @@ def w07(spark, sf):
     return drain(S.dedupe_stream(twice, ["event_id"], "ts", "10 minutes").select("event_id"))
 
 
+_RUN = "epoch_us(ts) // 86400000000 - CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END"
+
+
+@query("w07_run_generations", f"""WITH span AS (SELECT epoch_us(min(ts)) AS lo, -(-(epoch_us(max(ts)) - epoch_us(min(ts))) // 8) AS width FROM events),
+  r AS (SELECT user_id, event_id, {_RUN} AS run, epoch_us(ts) // 1000 AS ms, event_id % 50 = 7 AND epoch_us(ts) < lo + width AS late FROM events, span),
+  n AS (SELECT *, max(run) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest FROM r WHERE NOT late)
+  SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, run, CASE WHEN run = newest THEN 'kept' ELSE 'superseded' END AS status FROM n
+  UNION ALL SELECT CAST(user_id AS VARCHAR), event_id, run, 'late' FROM r WHERE late""")
+def w07b(spark, sf):
+    """Every fiftieth record of the first eighth comes last and is late; every ninth of the others comes twice."""
+    events, end = _events_and_end(spark, sf)
+    span = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    width = max(1, -(-((span["hi"] or 0) - (span["lo"] or 0)) // 8))
+    late = (F.col("event_id") % 50 == 7) & (F.unix_micros("ts") < (span["lo"] or 0) + width)
+    copies = events.withColumn("copy", F.explode(F.when(~late & (F.col("event_id") % 9 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    by = F.pmod(F.xxhash64("event_id", "copy"), F.lit(1000)) / 1000
+    stream, watermark = in_waves(copies, "ts", by, 8, end.withColumn("copy", F.lit(0)), late)
+    run = F.floor(F.unix_micros("ts") / 86_400_000_000) - F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    return drain(ST.runs_stream(stream.withColumn("run", run), "user_id", "run", "ts", "event_id", watermark))
+
+
 __all__ = ["drain"]

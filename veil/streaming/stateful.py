@@ -111,35 +111,147 @@ def redact_stream_stateless(df: DataFrame, scope: Column, text: str, secret: str
 
 
 class LastActions(StatefulProcessor):
-    """The last eight signatures and the last effects of a task."""
+    """The last eight signatures and effects of a task, in event time.
+
+    Records wait in a list until the watermark has passed them: only then is their order final, whatever batch they came in. A timer at the
+    earliest waiting record releases them. The list holds what arrives within the watermark's delay; a task without a record for ``idle_ms``
+    after its last one forgets its window.
+    """
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", "sig string, effect string")
+        self.waiting = handle.getListState("waiting", "at long, seq long, sig string, effect string")
+        self.last = handle.getValueState("last", "at long")
+
+    def _timer(self, waiting: list[tuple], last: int | None) -> None:
+        """One timer: the earliest record that waits or, if none does, the end of the idle time."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(int(min(w[0] for w in waiting)))
+        elif self.idle_ms is not None and last is not None:
+            self.handle.registerTimer(int(last + self.idle_ms))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(r.at), int(r.seq), r.sig, r.effect) for b in rows for r in b.itertuples(index=False)]
+        self.waiting.appendList(new)
+        self._timer([tuple(w) for w in self.waiting.get()], None)
+        yield pd.DataFrame([], columns=["task_id", "seq", "repeated", "cycling", "stuck"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
         window = [(s, e) for s, e in self.recent.get()] if self.recent.exists() else []
-        batch = pd.concat(list(rows)).sort_values("seq")
-        out = []
-        for r in batch.itertuples(index=False):
-            repeated = bool(window) and window[-1][0] == r.sig
-            window = (window + [(r.sig, r.effect)])[-8:]
-            cycling = sum(1 for s, _e in window if s == r.sig) >= 3
-            stuck = len(window) >= 3 and all(e == "no_change" for _s, e in window[-3:])
-            out.append((key[0], r.seq, repeated, cycling, stuck))
-        self.recent.put(window)
+        last, out = (self.last.get()[0] if self.last.exists() else None), []
+        for at, seq, sig, effect in (w for w in waiting if w[0] <= passed):
+            if self.idle_ms is not None and last is not None and at > last + self.idle_ms:
+                window = []
+            repeated = bool(window) and window[-1][0] == sig
+            window = (window + [(sig, effect)])[-rules.CYCLE_WINDOW:]
+            cycling = sum(1 for s, _e in window if s == sig) >= rules.CYCLE_COUNT
+            still = window[-rules.NO_EFFECT_STREAK:]
+            stuck = len(still) == rules.NO_EFFECT_STREAK and all(e == "no_change" for _s, e in still)
+            out.append((key[0], seq, repeated, cycling, stuck))
+            last = at
+        waiting = [w for w in waiting if w[0] > passed]
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        if not waiting and self.idle_ms is not None and last is not None and last + self.idle_ms <= passed:
+            self.recent.clear()
+            self.last.clear()
+            last = None
+        elif out:
+            self.recent.put(window)
+            self.last.update((last,))
+        self._timer(waiting, last)
         yield pd.DataFrame(out, columns=["task_id", "seq", "repeated", "cycling", "stuck"])
 
     def close(self) -> None:
         pass
 
 
-def loops_stream(actions: DataFrame, task: str, seq: str) -> DataFrame:
-    """Live repeat, cycle and no-effect flags per action; ``actions(task, seq, action, target, value, effect)``."""
+def loops_stream(actions: DataFrame, task: str, ts: str, seq: str, watermark: str, idle_ms: int | None = None) -> DataFrame:
+    """Live repeat, cycle and no-effect flags per action, in the order (ts, seq) whatever order records arrive in.
+
+    ``actions(task, ts, seq, action, target, value, effect)``. A flag is given once the watermark has passed its record; records later than
+    ``watermark`` are dropped by the stream, as are those without a time or a number.
+    """
     from veil.operators.trajectory import signature
-    rows = actions.select(F.col(task).cast("string").alias("task_id"), F.col(seq).cast("long").alias("seq"),
-                          signature(F.col("action"), F.col("target"), F.col("value")).alias("sig"), "effect")
+    rows = actions.withWatermark(ts, watermark).where(F.col(ts).isNotNull() & F.col(seq).isNotNull()).select(
+        F.col(task).cast("string").alias("task_id"), F.col(ts), F.unix_millis(ts).alias("at"), F.col(seq).cast("long").alias("seq"),
+        signature(F.col("action"), F.col("target"), F.col("value")).alias("sig"), "effect")
+    return rows.groupBy("task_id").transformWithStateInPandas(
+        LastActions(idle_ms), "task_id string, seq long, repeated boolean, cycling boolean, stuck boolean", "Append", "EventTime")
+
+
+class Generations(StatefulProcessor):
+    """The newest run of a task, in event time: records of older runs after it started are superseded, copies count once.
+
+    Records wait until the watermark has passed them; those that come behind it are given out at once as late and change nothing. The state is
+    one number and what arrives within the watermark's delay.
+    """
+
+    NAMES = ["task_id", "seq", "run", "status"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "run long")
+        self.waiting = handle.getListState("waiting", "at long, run long, seq long")
+
+    def _timer(self, waiting: list[tuple]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(int(min(w[0] for w in waiting)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = [(int(r.at), int(r.run), int(r.seq)) for b in rows for r in b.itertuples(index=False)]
+        late = [(key[0], seq, run, "late") for at, run, seq in new if at <= passed]
+        kept = [w for w in new if w[0] > passed]
+        if kept:
+            self.waiting.appendList(kept)
+            self._timer([tuple(w) for w in self.waiting.get()])
+        yield pd.DataFrame(late, columns=self.NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = {tuple(w) for w in self.waiting.get()} if self.waiting.exists() else set()
+        newest, out = (self.newest.get()[0] if self.newest.exists() else None), []
+        # At one time the newer run counts as started.
+        for at, run, seq in sorted((w for w in held if w[0] <= passed), key=lambda w: (w[0], -w[1], w[2])):
+            newest = run if newest is None else max(newest, run)
+            out.append((key[0], seq, run, "kept" if run == newest else "superseded"))
+        waiting = [w for w in held if w[0] > passed]
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        if newest is not None:
+            self.newest.update((newest,))
+        self._timer(waiting)
+        yield pd.DataFrame(out, columns=self.NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def runs_stream(records: DataFrame, task: str, run: str, ts: str, seq: str, watermark: str) -> DataFrame:
+    """(task_id, seq, run, status) of records of runs: kept, superseded by a newer run of the task, or late (behind the watermark).
+
+    The event time is handed on as a plain number, so the stream does not drop what is late but gives it out. Records without a time, run or
+    number have no row.
+    """
+    rows = records.withWatermark(ts, watermark).where(F.col(ts).isNotNull() & F.col(run).isNotNull() & F.col(seq).isNotNull()).select(
+        F.col(task).cast("string").alias("task_id"), F.unix_millis(ts).alias("at"), F.col(run).cast("long").alias("run"), F.col(seq).cast("long").alias("seq"))
     return rows.groupBy("task_id").transformWithStateInPandas(
-        LastActions(), "task_id string, seq long, repeated boolean, cycling boolean, stuck boolean", "Append", "None")
+        Generations(), "task_id string, seq long, run long, status string", "Append", "EventTime")
 
 
 class Settle(StatefulProcessor):
