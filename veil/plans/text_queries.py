@@ -220,6 +220,21 @@ def r06(spark, sf):
     return R.redact_with_context(rows, "text", "context").select("field_id", "redacted")
 
 
+_VALUES = "SELECT field_id, CASE WHEN field_label <> '' THEN field_label ELSE nearby END AS context, value AS text FROM ({fields})"
+_VALUES_SQL = _VALUES.format(fields=FIELDS)
+_IN_CONTEXT = f"SELECT field_id AS k, CASE WHEN context = '' OR text = '' THEN text ELSE context || ': ' || text END AS t FROM ({_VALUES_SQL})"
+
+
+@query("r06_field_values_in_context", f"""WITH both_ AS (WITH {C.redacted(_IN_CONTEXT)} SELECT k, redacted FROM final), bare AS (WITH {C.redacted(f'SELECT field_id AS k, text AS t FROM ({_VALUES_SQL})')} SELECT k, redacted FROM final)
+  SELECT v.field_id, CASE WHEN context = '' OR text = '' OR NOT starts_with(both_.redacted, context || ': ') THEN bare.redacted ELSE substr(both_.redacted, length(context) + 3) END AS redacted
+  FROM ({_VALUES_SQL}) v JOIN both_ ON both_.k = v.field_id JOIN bare ON bare.k = v.field_id""")
+def r06_values(spark, sf):
+    """Every field's own value behind its label."""
+    context = F.when(F.col("field_label") != "", F.col("field_label")).otherwise(F.col("nearby"))
+    rows = _fields(spark, sf).select("field_id", context.alias("context"), F.col("value").alias("text"))
+    return R.redact_with_context(rows, "text", "context").select("field_id", "redacted")
+
+
 _TURNS = """SELECT conv_id, turn, text || ' mail c' || CAST(conv_id AS STRING) || '@mail.example.com or t' || CAST(turn AS STRING) || '@mail.example.com' AS text FROM {conversations}"""
 
 
@@ -327,6 +342,34 @@ def l04b(spark, sf):
     return R.redact_rows(_docs(spark, sf)).select("doc_id", check_patterns(F.col("redacted")).alias("type"))
 
 
+#: A body around each document's text as JSON has it; the checks read the whole body.
+BODY = """'{"task":"read","page":{"url":"https://example.com/' || CAST(doc_id AS VARCHAR) || '","title":"' || lang || '","elements":[],"text":' || CAST(to_json(coalesce(text, '')) AS VARCHAR)
+  || '},"placeholders":[]}'"""
+
+
+def document_bodies(docs: DataFrame) -> DataFrame:
+    """(doc_id, body): requests that carry whole documents as their page text."""
+    element = "array<struct<id:string,tag:string,text:string,role:string>>"
+    page = F.struct(F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("title"),
+                    F.array().cast(element).alias("elements"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", V.to_payload(F.lit("read"), page, F.array().cast("array<string>")).alias("body"))
+
+
+_IMAGE = """CASE WHEN regexp_matches(t, '(?i)data:\\s*image/|base64,|image/(png|jpe?g|webp)|\\bPNG\\b.{0,4}IHDR') THEN 'image data detected in payload'
+  WHEN regexp_matches(t, '[A-Za-z0-9+/]{400,}') THEN 'encoded binary data detected in payload' WHEN length(text) > 32000 THEN 'oversized field detected in payload' END"""
+
+
+@query("l05_verify_documents", f"""WITH src AS (SELECT doc_id AS k, text, {BODY} AS t FROM documents), {C.leaks('f', 'src')},
+  kinds AS (SELECT k, min(CASE type WHEN 'EMAIL' THEN '1EMAIL' WHEN 'CARD' THEN '2CARD' ELSE '3PHONE' END) AS kind FROM f GROUP BY k),
+  r AS (SELECT src.k AS doc_id, {_IMAGE} AS image, substr(kind, 2) AS kind FROM src LEFT JOIN kinds ON kinds.k = src.k)
+  SELECT doc_id, CASE WHEN image IS NULL AND kind IS NULL THEN 'allowed' ELSE 'blocked' END AS verdict, coalesce(image, kind || ' pattern detected') AS reason,
+    CASE WHEN image IS NOT NULL THEN 2 ELSE 4 END AS n_checks FROM r""")
+def l05_documents(spark, sf):
+    """Bodies that carry whole documents, as they are."""
+    rows = V.verify(document_bodies(G.spread(G.table(spark, sf, "documents"))), "body")
+    return rows.select("doc_id", "verdict", "reason", F.size("checks").alias("n_checks"))
+
+
 _VERDICT = f"""CASE WHEN doc_id % 12 = 11 THEN 'OTP leakage detected' WHEN doc_id % 12 IN (1, 2, 3, 9) THEN {_STRUCTURE} WHEN doc_id % 12 = 8 THEN 'image data detected in payload'
   WHEN doc_id % 12 = 4 THEN 'EMAIL pattern detected' WHEN doc_id % 12 = 5 THEN 'CARD pattern detected' WHEN doc_id % 12 = 6 THEN 'PHONE pattern detected' END"""
 

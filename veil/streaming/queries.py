@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veil.plans import derived as G
+from veil.plans import check_sql as C, derived as G
 from veil.plans.registry import query
-from veil.plans.text_queries import _VERDICT
+from veil.plans.text_queries import BODY, _VERDICT, document_bodies
 from veil.session import shared_dir
 from veil.streaming import gate as GA, rules_in_time as S, stateful as ST
 
@@ -123,6 +123,25 @@ def _events_and_end(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     return events, spark.range(1).select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
 
 
+@query("s12_gate_sinks", f"""WITH src AS (SELECT doc_id AS k, {BODY} AS t FROM documents), {C.leaks('f', 'src')},
+  bad AS (SELECT DISTINCT k FROM f UNION SELECT doc_id FROM documents WHERE length(text) > 32000
+    UNION SELECT k FROM src WHERE regexp_matches(t, '(?i)data:\\s*image/|base64,|image/(png|jpe?g|webp)|\\bPNG\\b.{{0,4}}IHDR|[A-Za-z0-9+/]{{400,}}'))
+  SELECT 'quarantine' AS route, k AS doc_id, CAST(NULL AS BIGINT) AS body_chars FROM bad
+  UNION ALL SELECT 'allowed', k, length(t) FROM src WHERE k NOT IN (SELECT k FROM bad)""")
+def s12_sinks(spark, sf):
+    """Half of the documents come before the stream is stopped, the others after its restart; both places are read back by the manifest."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    bodies = document_bodies(spark.read.parquet(f"{sf}/documents.parquet"))
+    place = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        bodies.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(bodies.schema).parquet(f"{place}/in")
+        GA.start_gate(stream, ["doc_id"], f"{place}/allowed", f"{place}/held", f"{place}/manifest", f"{place}/state").awaitTermination()
+    read = lambda name: GA.committed(spark, f"{place}/{name}", f"{place}/manifest")
+    return read("allowed").select(F.lit("allowed").alias("route"), "doc_id", F.length("body").cast("long").alias("body_chars")).unionByName(
+        read("held").select(F.lit("quarantine").alias("route"), "doc_id", F.lit(None).cast("long").alias("body_chars")))
+
+
 _SIG = "action || '|' || coalesce(target, '∅') || '|' || coalesce(value, '∅')"
 
 
