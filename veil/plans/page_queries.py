@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veil.functions import geometry as GE, text as X
 from veil.operators import boxes as B, elements as E, fields as FL, fusion as FU, metrics as M, trajectory as T
+from veil import rules
 from veil.plans import derived as G
 from veil.plans.registry import query
 from veil.plans.text_queries import FIELDS, _CLASSES
@@ -36,21 +37,42 @@ _LINKS = ("SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, left(trim(regexp_replac
           "FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1) AS m FROM pages))")
 
 
-@query("s01_page_snapshot", f"SELECT page_id, url, {_TITLE} AS title, len(regexp_extract_all(html, '<a href=')) AS n_elements FROM pages")
+def _text_sql(html: str) -> str:
+    """SQL for the text of a piece of these pages: blocks on lines of their own, references resolved, blanks folded."""
+    bare = (f"regexp_replace(regexp_replace(regexp_replace({html}, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', '', 'g'), "
+            "'</?(p|h1|h2|div|br|ul|li|nav|article|footer|body|html)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')")
+    plain = f"replace(replace({_UNESCAPE.format(bare)}, '&copy;', '©'), '&middot;', '·')"
+    return f"trim(regexp_replace(regexp_replace({plain}, '[ \\t\\r]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), chr(10) || ' ')"
+
+
+def _without(text: str, part: str) -> str:
+    """SQL for a text without the first place of a part."""
+    return f"CASE WHEN {part} = '' OR strpos({text}, {part}) = 0 THEN {text} ELSE left({text}, strpos({text}, {part}) - 1) || substr({text}, strpos({text}, {part}) + length({part})) END"
+
+
+_PAGE_TEXTS = f"""SELECT page_id, left(array_to_string(list_filter([main, trim(rest, chr(10) || ' '), nav, foot], lambda x: x <> ''), chr(10)), {rules.MAX_PAGE_TEXT}) AS text FROM (
+  SELECT *, {_without('c', 'foot')} AS rest FROM (SELECT *, {_without('b', 'nav')} AS c FROM (SELECT *, {_without('body', 'main')} AS b FROM (
+  SELECT page_id, body, nav, foot, CASE WHEN length(article) >= {rules.MIN_MAIN_TEXT} THEN article ELSE '' END AS main FROM (
+  SELECT page_id, {_text_sql("regexp_extract(html, '(?s)<body>(.*)', 1)")} AS body, {_text_sql("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article,
+    {_text_sql("regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)")} AS nav, {_text_sql("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS foot FROM pages)))))"""
+
+
+@query("s01_page_snapshot", f"""SELECT p.page_id, url, {_TITLE} AS title, len(regexp_extract_all(html, '<a href=')) AS n_elements, t.text, coalesce(labels, '') AS labels
+  FROM pages p JOIN ({_PAGE_TEXTS}) t ON t.page_id = p.page_id LEFT JOIN (SELECT page_id, string_agg(label, '|' ORDER BY pos) AS labels FROM ({_LINKS}) GROUP BY page_id) l ON l.page_id = p.page_id""")
 def s01(spark, sf):
+    """Title, text and elements of every page, as a snapshot delivers them together."""
     parsed = H.parse_pages(spark.read.parquet(f"{sf}/pages.parquet").withColumn("source_url", F.col("url")), ["page_id", "url"])
     shown = F.filter("nodes", lambda n: H.is_interactive(n) & ~n["hidden"])
-    return parsed.select("page_id", "url", "title", F.size(shown).cast("long").alias("n_elements"))
+    pages = parsed.select("page_id", "url", "title", F.size(shown).cast("long").alias("n_elements"), H.page_text(parsed, ["article"]).alias("text"))
+    own = H.page_elements(parsed, ["page_id"]).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda e: e["label"]), "|").alias("labels"))
+    return pages.join(own, "page_id", "left").withColumn("labels", F.coalesce("labels", F.lit("")))
 
 
-@query("s02_page_text_main_first", "SELECT page_id, t AS main FROM (SELECT page_id, trim(regexp_replace(regexp_replace(" + _UNESCAPE.format(
-    "regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<!--.*?-->|<script>.*?</script>', '', 'g'), '</?(p|h1|h2|div|br|ul|li)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')")
-    + ", '[ \\t\\r]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), chr(10) || ' ') AS t FROM pages) WHERE length(t) >= 200")
+@query("s02_page_text_main_first", _PAGE_TEXTS)
 def s02(spark, sf):
+    """Whole texts of all pages: the article first where it is long enough, then the rest of the body, then navigation and footer."""
     parsed = _parsed(spark, sf)
-    article = F.get(F.filter("nodes", lambda n: n["tag"] == "article"), 0)["text"]
-    rows = parsed.select("page_id", H.page_text(parsed, ["article"]).alias("t"), F.length(article).alias("n"))
-    return rows.filter("n >= 200").select("page_id", F.left("t", F.col("n")).alias("main"))
+    return parsed.select("page_id", H.page_text(parsed, ["article"]).alias("text"))
 
 
 @query("s03_interactive_elements", f"SELECT page_id, pos, 'a' AS tag, 'link' AS role, label FROM ({_LINKS})")
