@@ -45,11 +45,12 @@ def none(spark):
 
 
 def _cut(rows, limit=50):
-    """Later copies of runs by comparing every minimal run of every text."""
+    """Later copies of runs by comparing every minimal run of every text, followed line by line as far as it equals its first occurrence."""
     order = sorted({(r[0], xxhash_of(r[1]), r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     first, gone = {}, defaultdict(set)
-    for doc, mark, text in order:
-        lines = [(n, x.strip(" ")) for n, x in enumerate(text.split("\n")) if x.strip(" ")]
+    kept = {(doc, mark): [(n, x.strip(" ")) for n, x in enumerate(text.split("\n")) if x.strip(" ")] for doc, mark, text in order}
+    for doc, mark, _text in order:
+        lines = kept[doc, mark]
         for i in range(len(lines)):
             words, j = 0, i
             while j < len(lines) and words < limit:
@@ -59,6 +60,9 @@ def _cut(rows, limit=50):
                 key = tuple(x for _, x in lines[i:j])
                 head = first.setdefault(key, (doc, mark, i))
                 if head[:2] != (doc, mark) or i >= head[2] + j - i:
+                    other, at = kept[head[:2]], head[2] + j - i
+                    while j < len(lines) and at < len(other) and lines[j][1] == other[at][1]:
+                        j, at = j + 1, at + 1
                     gone[doc, mark] |= set(range(lines[i][0], lines[j - 1][0] + 1))
     return sorted(((r[0], None if r[1] is None else "\n".join(x for n, x in enumerate(r[1].split("\n")) if n not in gone[r[0], xxhash_of(r[1])])) for r in rows), key=str)
 
@@ -76,6 +80,20 @@ def test_line_dedup(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_repeated_runs_go_whole(spark):
+    """Tails of fewer words than the limit, long tails behind another first occurrence, blank lines between, runs that repeat in one text."""
+    rng = np.random.default_rng(9)
+    line = lambda n: _words(rng, n)
+    a, b, c, d, e = line(60), line(40), line(25), line(25), line(3)
+    shorts = [line(2) for _ in range(120)]
+    texts = [f"{a}\n{b}\nx", f"y\n{a}\n\n{b}\nz", f"{c}\n{d}\n{e}\nw", f"{c}\n{d}\n{e}", "\n".join(shorts[70:100]), "\n".join([a, *shorts]), "\n".join(["q", a, *shorts, "end"]),
+             "\n".join([c, d, e, c, d, e, c, d]), "\n".join([e] * 90)]
+    rows = [(i, t, "en", "s", len(t), "m", i, "t", 1, 2, "v") for i, t in enumerate(texts)]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == _cut(rows)
+    assert dict(got)[1] == "y\nz" and dict(got)[3] == "" and dict(got)[6] == "q\nend"
+
+
 def _print(text, k):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
