@@ -336,3 +336,24 @@ def test_near_copies_among_many_alike(spark):
     got = simhash.without_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     want = _components_by_brute_force(texts)
     assert {r.doc_id for r in got.collect()} == want and len(want) == 900
+
+
+def test_counts_bound_what_is_shared():
+    rng = np.random.default_rng(13)
+    for n_x, n_y in ((1, 1), (5, 90), (400, 430), (70_000, 300), (3_000, 2_900)):
+        pool = rng.integers(-(1 << 63), (1 << 63) - 1, n_x + n_y, dtype=np.int64)
+        x, y = np.unique(pool[:n_x]), np.unique(pool[max(0, n_x - min(n_x, n_y) // 2):][:n_y])
+        most = simhash._most_shared(simhash._counts(x), len(x), simhash._counts(y), len(y))
+        assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
+    same = np.arange(1000, dtype=np.int64) << 32  # all in one value: counts beyond a byte
+    assert simhash._most_shared(simhash._counts(same), 1000, simhash._counts(same), 1000) == 1000
+
+
+def test_near_copies_with_ids_of_text_and_repeated_rows(spark):
+    rng = np.random.default_rng(14)
+    base = _words(rng, 120)
+    rows = [("b", base, 1), ("b", base, 2), ("a", base.upper(), 3), (None, base + " tail", 4), (None, base + " tail", 5), ("c", None, 6), (None, " ", 7), ("d", _words(rng, 90), 8)]
+    got = simhash.without_near_copies(spark.createDataFrame(rows * 2, "doc_id string, text string, th int")).collect()
+    assert sorted((r.doc_id or "", r.th) for r in got) == [("a", 3), ("c", 6), ("d", 8)]
+    alone = simhash.without_near_copies(spark.createDataFrame([(None, base, 1)] * 3, "doc_id long, text string, th int")).collect()
+    assert [r.doc_id for r in alone] == [None]

@@ -15,9 +15,10 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veil.llm.common import components, query, stored, table
 
@@ -25,7 +26,7 @@ SEED = 42
 WORDS_AT_ONCE = 1 << 16
 #: The order of shingles is learned from about SAMPLED texts: those with OFTEN or more of a shingle make it common, up to COMMON shingles.
 SAMPLED, OFTEN, COMMON = 4_000, 3, 50_000
-#: Slots of the filter that keeps texts without a candidate from being taken apart again.
+#: Bits of the maps that keep texts without a candidate in their place.
 SLOTS = 1 << 22
 #: Rounds of linear comparisons ahead of the complete one.
 ROUNDS = 2
@@ -105,119 +106,162 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
 # --- near-duplicates by similarity: too far apart for fingerprints, so shingles meet instead -----------------------------------------
 
 
-def _mark(raw: bytes | None) -> int:
-    return _signed(xxhash.xxh64_intdigest(b" ".join((raw or b"").lower().split()), 1))
+def _words(raw: bytes | None) -> list[bytes]:
+    return (raw or b"").lower().split()
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, mark): th is the hash of the text, mark that of its lower-cased words."""
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [_mark(t.as_py()) for t in batch.column("raw")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(marks, pa.int64())], names=["doc_id", "th", "mark"])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw"))
-    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, mark long")
+def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, ascending."""
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else ([b" ".join(words)] if words else [])
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")).view("<i8")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """(mark, raw) of every row with words."""
+def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles seen ``OFTEN`` times or more in about ``SAMPLED`` texts, rarest first, at most ``COMMON``; ties by hash."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_mark(t.as_py()) for t in batch.column("raw")], pa.int64()), batch.column("raw")], names=["mark", "raw"])
-
-    return docs.where("text IS NOT NULL").select(F.encode("text", "utf-8").alias("raw")).mapInArrow(of, "mark long, raw binary")
+            found = [_shingles(_words(raw.as_py()), shingle) for raw in batch.column("raw")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())], names=["key"])
 
+    step = max(1, docs.where("text IS NOT NULL").count() // SAMPLED)
+    some = docs.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select(F.encode("text", "utf-8").alias("raw")).distinct()
+    counts = some.mapInArrow(of, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    top = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()
+    return np.array([r.key for r in reversed(top)], np.int64)
 
-def _shingles(raw: bytes | None, shingle: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, ascending."""
-    words = (raw or b"").lower().split()
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else ([b" ".join(words)] if words else [])
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")).view("<i8")
 
+def _counts(found: np.ndarray) -> bytes:
+    """How many shingle hashes fall to each value of their last bits, two to four of them to a value."""
+    n = _buckets(len(found))
+    counts = np.bincount(found & (n - 1), minlength=n)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(mark, shingles): hashes of the distinct shingles of each text, one row for each mark."""
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_shingles(raw.as_py(), shingle) for raw in batch.column("raw")]
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "shingles"])
 
-    return docs.select("mark", "raw").mapInArrow(of, "mark long, shingles array<long>")
+def _buckets(n: int) -> int:
+    return 1 << max(4, (n // 4).bit_length())
 
 
-def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles seen ``OFTEN`` times or more in about ``SAMPLED`` texts, rarest first, at most ``COMMON``; ties by hash."""
-    step = max(1, texts.count() // SAMPLED)
-    some = texts.where(F.pmod(F.xxhash64("raw"), F.lit(step)) == 0).select(F.lit(0).cast("long").alias("mark"), "raw").distinct()
-    counts = _shingle_sets(some, shingle).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    top = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()
-    return np.array([r.key for r in reversed(top)], np.int64)
+def _most_shared(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """What two sets of shingles share at most, by their counts: never less than what they do share."""
+    one, two = (np.frombuffer(c, "u1" if len(c) == _buckets(n) else "<u4").astype(np.int64) for c, n in ((x, n_x), (y, n_y)))
+    low = min(len(one), len(two))
+    return int(np.minimum(one.reshape(-1, low).sum(0), two.reshape(-1, low).sum(0)).sum())
 
 
-def _prefixes(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(key, mark, n): the first shingles of each text in one order of all shingles, as many as must meet those of any text that
-    is similar enough; n is the size of the text's set.
+def _described(docs: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(doc_id, th, mark, n, rare, often, counts) of every row: th is the hash of the text, mark that of its lower-cased words.
 
-    The order lists shingles by hash, then the ``common`` ones. Any order is complete: two sets that share s of n have one of the first
-    n - s + 1 in common. It only decides how many candidates there are.
+    n is the size of the text's set of shingles; rare and often are the first of them in one order of all shingles, as many as must meet those
+    of any text that is similar enough. The order lists shingles by hash (rare), then the ``common`` ones (often). Any order is complete: two
+    sets that share s of n have one of the first n - s + 1 in common. It only decides how many candidates there are. Texts without words, and
+    copies of a mark that the same task has seen, have nulls from n on.
     """
     by_hash = np.argsort(common, kind="stable")
     known = common[by_hash]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            keys, marks, sizes = [], [], []
-            for raw, mark in zip(batch.column("raw"), batch.column("mark").to_numpy()):
-                found = _shingles(raw.as_py(), shingle)
-                n = len(found)
-                if not n:
+            marks, sizes, rare, often, counts = [], [], [], [], []
+            for raw in batch.column("raw"):
+                words = _words(raw.as_py())
+                mark = _signed(xxhash.xxh64_intdigest(b" ".join(words), 1))
+                marks.append(mark)
+                if not words or mark in seen:
+                    for column in (sizes, rare, often, counts):
+                        column.append(None)
                     continue
+                seen.add(mark)
+                found = _shingles(words, shingle)
+                n = len(found)
+                first, last = found, found[:0]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     is_common = known[at] == found
-                    found = np.concatenate([found[~is_common], common[np.sort(by_hash[at[is_common]])]])
-                first = found[:n - math.ceil(similarity * n - 1e-9) + 1]
-                keys.append(first)
-                marks.append(np.full(len(first), mark))
-                sizes.append(np.full(len(first), n, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, marks, sizes)], names=["key", "mark", "n"])
+                    first, last = found[~is_common], common[np.sort(by_hash[at[is_common]])]
+                size = n - math.ceil(similarity * n - 1e-9) + 1
+                sizes.append(n)
+                rare.append(first[:size])
+                often.append(last[:max(0, size - len(first))])
+                counts.append(_counts(found))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("th"), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32()),
+                 pa.array(rare, longs), pa.array(often, longs), pa.array(counts, pa.binary())],
+                names=["doc_id", "th", "mark", "n", "rare", "often", "counts"])
 
-    return texts.select("mark", "raw").mapInArrow(of, "key long, mark long, n int")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw"))
+    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, mark long, n int, rare array<long>, often array<long>, counts binary")
 
 
-def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of ``texts`` (mark, raw) those in ``pairs`` and few others: a fixed number of slots goes to all tasks, however many pairs there are."""
-    slot = F.pmod("mark", F.lit(SLOTS))
-    used = pairs.select(F.explode(F.array("x", "y")).alias("mark")).select(slot.cast("int").alias("slot")).distinct().toArrow()
-    bits = np.zeros(SLOTS, bool)
-    bits[used.column("slot").to_numpy()] = True
-    packed = np.packbits(bits)
+def _met(rows: DataFrame) -> DataFrame:
+    """(key, mark, n): the first shingles that two marks or more have, each once a mark.
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("mark").to_numpy() % SLOTS
-            yield batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+    A rare shingle is in few texts of the sample, so none has a large share of all rows: one shuffle and a look at the neighbours decide. The
+    common ones all stay; their repeats go in an aggregate that combines before it shuffles, by shingle and mark.
+    """
+    rare, often = (rows.where("n IS NOT NULL").select(F.explode(c).alias("key"), "mark", "n") for c in ("rare", "often"))
+    by_key = Window.partitionBy("key").orderBy("mark")
+    beside = rare.withColumns({"next": F.lead("mark").over(by_key), "low": F.first("mark").over(by_key)})
+    last = F.col("next").isNull()
+    met = beside.where((~last & (F.col("next") != F.col("mark"))) | (last & (F.col("low") != F.col("mark"))))
+    return met.select("key", "mark", "n").unionByName(often.distinct())
 
-    return texts.mapInArrow(of, texts.schema)
 
+def _among(hashes: DataFrame):
+    """A test of a column that holds for all ``hashes`` (h) and few others: a bitmap of ``SLOTS`` bits goes to all tasks, however many there are."""
+    words = hashes.select(F.shiftright(F.pmod("h", F.lit(SLOTS)), 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(h, 64) AS int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(SLOTS >> 6, np.int64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
 
-def _alike(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (x, y) of marks whose shingle sets have the Jaccard similarity, as links (a, b)."""
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() & (SLOTS - 1)
+        return pd.Series((bits[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return test
+
+
+def _alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) of marks whose shingle sets have the Jaccard similarity, as links (a, b).
+
+    Counts of a few bytes a text first tell the pairs that cannot have it; only texts of the others travel, one row of each mark.
+    """
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, n_x, y, n_y in zip(*(batch.column(c).to_pylist() for c in ("counts_x", "n_x", "counts_y", "n_y"))):
+                most = _most_shared(x, n_x, y, n_y)
+                keep.append(most >= similarity * (n_x + n_y - most) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for one, two in zip(batch.column("raw_x"), batch.column("raw_y")):
-                x, y = _shingles(one.as_py(), shingle), _shingles(two.as_py(), shingle)
+                x, y = _shingles(_words(one.as_py()), shingle), _shingles(_words(two.as_py()), shingle)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def sides(table: DataFrame, *columns: str) -> list[DataFrame]:
+        return [table.select(F.col("mark").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in columns]) for n in "xy"]
+
+    both = F.explode(F.array("x", "y"))
     pairs = stored(pairs, "pairs")
-    raws = _wanted(texts, pairs).dropDuplicates(["mark"])  # texts compress, hashes of shingles don't
-    one, two = (raws.select(F.col("mark").alias(n), F.col("raw").alias(f"raw_{n}")) for n in "xy")
-    return stored(pairs.join(one, "x").join(two, "y").select("x", "y", "raw_x", "raw_y").mapInArrow(of, "a long, b long"), "alike")
+    sets = rows.where("n IS NOT NULL")
+    one, two = sides(sets.where(_among(pairs.select(both.alias("h")))("mark")).select("mark", "n", "counts").dropDuplicates(["mark"]), "n", "counts")
+    pairs = stored(pairs.join(one, "x").join(two, "y").select("x", "n_x", "counts_x", "y", "n_y", "counts_y").mapInArrow(possible, "x long, y long"), "possible")
+
+    marks = pairs.select(both.alias("mark")).distinct()
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("of")
+    owners = stored(sets.join(marks, "mark", "left_semi").groupBy("mark").agg(owner).select("mark", F.col("of.doc_id").alias("owner"), "of.th"), "owners")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("__th"), F.encode("text", "utf-8").alias("raw"))
+    texts = texts.where(_among(owners.select(F.xxhash64("owner", "th").alias("h")))(F.xxhash64("doc_id", "__th")))
+    texts = texts.join(owners, texts["doc_id"].eqNullSafe(owners["owner"]) & (texts["__th"] == owners["th"])).select("mark", "raw").dropDuplicates(["mark"])
+    one, two = sides(texts, "raw")
+    return stored(pairs.join(one, "x").join(two, "y").select("x", "y", "raw_x", "raw_y").mapInArrow(similar, "a long, b long"), "alike")
 
 
 def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -238,16 +282,14 @@ def _rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
     return stored(rooted.join(open_keys, "key"), "open")
 
 
-def similar_components(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root): connected components of the marks in ``texts`` (mark, raw) over all pairs of the Jaccard similarity or more.
+def similar_components(docs: DataFrame, described: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): connected components of the marks in ``described`` over all pairs of the Jaccard similarity or more.
 
     Complete by prefix filter: similar texts share a shingle among their first ones. Rounds first compare the texts of a shingle with one
     of them only, so a group of copies becomes one component in linear work; then every pair that shares a first shingle, fits by sizes and by
     the number of them and is not in one component yet is verified, however many a text has. A pair within a component adds nothing to it.
     """
-    grams = stored(_prefixes(texts, shingle, similarity, _common_shingles(texts, shingle)), "prefixes")
-    met = grams.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("key")
-    rows = stored(grams.join(met, "key").distinct(), "shared")
+    rows = stored(_met(described), "shared")
     # A text without edits of its own has the fewest first shingles that nobody shares, so it is the best centre.
     alone = rows.groupBy("mark").agg((F.max("n") - F.ceil(F.max("n") * F.lit(similarity) - 1e-9) + 1 - F.count("*")).alias("alone"))
     rows = stored(rows.join(alone, "mark"), "scored")
@@ -258,14 +300,14 @@ def similar_components(texts: DataFrame, shingle: int, similarity: float) -> Dat
         heads = rest.groupBy("key").agg(F.min(F.struct(centre.alias("by"), "mark", "n")).alias("head")).select("key", "head.mark", "head.n")
         heads = heads.withColumnsRenamed({"mark": "y", "n": "n_y"})
         pairs = rest.withColumnsRenamed({"mark": "x", "n": "n_x"}).join(heads, "key").where("x <> y").select("x", "y", "n_x", "n_y")
-        found.append(_alike(texts, _enough(pairs, similarity), shingle, similarity))
+        found.append(_alike(docs, described, _enough(pairs, similarity), shingle, similarity))
         tree = components(reduce(DataFrame.unionByName, found))
     rest = _rooted(rows, tree)
     one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("mark", "n", "root")]) for n in "xy")
     fits = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
     pairs = one.join(two, "key").where((F.col("mark_x") < F.col("mark_y")) & (F.col("root_x") != F.col("root_y")) & fits)
     pairs = pairs.withColumnsRenamed({"mark_x": "x", "mark_y": "y"}).select("x", "y", "n_x", "n_y")
-    found.append(_alike(texts, _enough(pairs, similarity), shingle, similarity))
+    found.append(_alike(docs, described, _enough(pairs, similarity), shingle, similarity))
     return components(reduce(DataFrame.unionByName, found))
 
 
@@ -273,15 +315,23 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0
     """``docs`` with one row of each group of near copies: the one with the smallest doc_id (null last; ties by text hash).
 
     Texts of equal lower-cased words are copies. Other texts are linked if the Jaccard similarity of their shingle sets is ``similarity``
-    or more; no such pair of groups is missed. Null and blank texts are copies of each other. All columns are kept.
+    or more; no such pair of groups is missed. Null and blank texts are copies of each other; of rows that repeat id and text one stays. All
+    columns are kept. Rows that cannot be copies by a bitmap of those that are do not travel.
     """
-    rows = stored(_described(docs), "described")
-    tree = similar_components(_marked(docs), shingle, similarity)
+    rows = stored(_described(docs, shingle, similarity, _common_shingles(docs, shingle)), "described")
+    tree = similar_components(docs, rows, shingle, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    grouped_rows = rows.join(tree, rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
-    first = grouped_rows.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first")["none"].alias("__none"), F.coalesce(F.col("first")["doc_id"], F.lit(0)).alias("__doc"), F.col("first")["th"].alias("__th"))
-    marked = docs.withColumns({"__none": F.col("doc_id").isNull(), "__doc": F.coalesce("doc_id", F.lit(0)), "__th": F.xxhash64("text")})
-    return marked.join(first, ["__none", "__doc", "__th"], "left_semi").dropDuplicates(["__none", "__doc", "__th"]).drop("__none", "__doc", "__th")
+    rooted = rows.join(tree, rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
+    each = rooted.groupBy("doc_id", "th").agg(F.count("*").alias("copies"), F.first("root").alias("root"))
+    first = each.groupBy("root").agg(F.min(order).alias("first"))
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    doubt = each.join(first, "root").withColumn("goes", goes).where("goes OR copies > 1")
+    doubt = stored(doubt.select(F.col("doc_id").alias("owner"), "th", "goes"), "doubt")
+    marked = docs.withColumn("__th", F.xxhash64("text"))
+    marked = marked.withColumn("__doubt", _among(doubt.select(F.xxhash64("owner", "th").alias("h")))(F.xxhash64("doc_id", "__th")))
+    unsure, gone = marked.where("__doubt"), doubt.where("goes")
+    stays = unsure.join(gone, unsure["doc_id"].eqNullSafe(gone["owner"]) & (unsure["__th"] == gone["th"]), "left_anti").dropDuplicates(["doc_id", "__th"])
+    return marked.where("NOT __doubt").unionByName(stays).drop("__th", "__doubt")
 
 
 @query("op7_simhash_near_dedup")
