@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -179,7 +180,7 @@ def test_packing(docs, none):
     tokenizer = Tokenizer.from_str(js)
     odd = ["it's <|endoftext|> ok", "é é J̌ ΑΣ İstanbul ﬁ ½ ²x", "don't\n\n I'LL 12345 a\tb c", ""]
     for text in odd + [r[1] or "" for r in _rows()[:12]]:
-        assert packing.Ids(js, 1)([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert packing.Ids(js, 1)(pa.array([text]))[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
     rows = packing.packed(docs, js, window=64).collect()
     pieces, used = defaultdict(list), defaultdict(list)
     for r in rows:

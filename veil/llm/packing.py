@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,6 +27,8 @@ from veil.llm.common import query, stored, table
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 CACHE = 5 << 17
+#: Bytes of text encoded together.
+AT_ONCE = 4 << 20
 GROUP = 4096
 
 
@@ -40,7 +43,7 @@ class Ids:
     ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
 
     def __init__(self, tokenizer: str, end_id: int):
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4").tobytes(), {}
+        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4"), {}
         self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -55,26 +58,33 @@ class Ids:
             store[name] = cls(tokenizer, end_id)
         return store[name]
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: empty) with the end id. Words are numbered in Arrow; only the distinct ones meet the dictionary."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
         known = self.known
         if len(known) > CACHE:  # words in use move to the new generation, the others go with the old one
             self.old, known = known, {}
             self.known = known
-        codes = [list(map(known.get, words)) for words in split]
-        short = [n for n, found in enumerate(codes) if None in found]
-        if short:
-            new = {w for n in short for w, code in zip(split[n], codes[n]) if code is None}
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = list(map(known.get, distinct))
+        new = {w for w, code in zip(distinct, codes) if code is None}
+        if new:
             if self.old:
                 known.update({w: self.old[w] for w in new if w in self.old})
-                new -= known.keys() & new
-            self.learn(new)
-            for n in short:
-                codes[n] = map(known.__getitem__, split[n])
-        return [np.frombuffer(b"".join(found) + self.end_id, "<u4") for found in codes]
+            self.learn(new - known.keys())
+            codes = list(map(known.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
+        at, number = np.cumsum(size) - size, words.indices.to_numpy()
+        size = size[number]
+        stops = np.concatenate([[0], np.cumsum(size)])
+        ids = ids[np.repeat(at[number] - stops[:-1], size) + np.arange(stops[-1])]
+        ends = stops[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [np.append(ids[a:b], self.end_id) for a, b in zip(ends, ends[1:])]
 
     def learn(self, words: set[str]) -> None:
-        known, plain, whole, parts = self.known, [], [], {}
+        known, plain, simple, whole, parts = self.known, [], [], [], {}
         for word in words:
             low = word.lower()
             if not word.isprintable() or "'" in word or "<" in word or "\u03a3" in word:
@@ -82,12 +92,18 @@ class Ids:
                 continue
             if word.isascii():
                 if low.isalpha():
-                    split = (low,)
-                elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+                    simple.append(word)
+                    if low not in known:
+                        if low in self.old:
+                            known[low] = self.old[low]
+                        else:
+                            parts[low] = None
+                    continue
+                if low[:-1].isalpha() and low[-1] in ".,;:!?":
                     split = (low[:-1], low[-1])
                 else:
                     split = self.ASCII_PARTS.findall(low)
-            elif not (self.simple(word) and self.simple(low)):
+            elif not (self.simple(word) and (low == word or self.simple(low))):
                 whole.append(word)
                 continue
             else:
@@ -108,6 +124,8 @@ class Ids:
             else:
                 self.encode(list(parts))
         self.encode(whole)
+        for word in simple:
+            known[word] = known[word.lower()]
         for word, split in plain:
             known[word] = known[split[0]] if len(split) == 1 else b"".join([known[p] for p in split])
 
@@ -134,8 +152,10 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) -> Dat
         encode = Ids.kept(tokenizer, end_id)
         for batch in batches:
             owner, rows = [], []
-            for at in range(0, batch.num_rows, 64):
-                for n, ids in enumerate(encode([t or "" for t in batch.column("text")[at:at + 64].to_pylist()]), at):
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            cuts = np.flatnonzero(np.diff((np.cumsum(size, dtype=np.int64) - size) // AT_ONCE, prepend=-1)).tolist()
+            for at, end in zip(cuts, [*cuts[1:], batch.num_rows]):
+                for n, ids in enumerate(encode(batch.column("text")[at:end]), at):
                     for start in range(0, len(ids), window):
                         part = ids[start:start + window]
                         owner.append(n)
