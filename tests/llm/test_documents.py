@@ -358,3 +358,9 @@ def test_near_copies_with_ids_of_text_and_repeated_rows(spark):
     assert sorted((r.doc_id or "", r.th) for r in got) == [("a", 3), ("c", 6), ("d", 8)]
     alone = simhash.without_near_copies(spark.createDataFrame([(None, base, 1)] * 3, "doc_id long, text string, th int")).collect()
     assert [r.doc_id for r in alone] == [None]
+
+
+def test_letters_of_all_planes():
+    letter = language.letters_table()
+    assert not letter[-1] and not any(chr(c).isalpha() for c in range(len(letter), 0x110000))
+    assert not list(language.gram_hashes("\ue000 \U000f0000\U0010fffd 12 \U000e0101", letter)) and list(language.gram_hashes("\U00031350\U00020000", letter))

@@ -33,8 +33,8 @@ class Model:
 
 
 def letters_table() -> np.ndarray:
-    """True where a code point is a letter, for the planes that hold letters of living scripts."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x32000)), bool, 0x32000)
+    """True where a code point is a letter. The last entry, which stands for all code points past the table, is none."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x34000)), bool, 0x34000)
 
 
 def gram_hashes(text: str, letter: np.ndarray) -> Iterator[np.ndarray]:
