@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from veil.functions import geometry as GE, text as X
-from veil.operators import boxes as B, elements as E
+from veil.operators import boxes as B, elements as E, metrics as M
 from veil.sources import html as H
 
 HTML = """<html><head><title>T &amp; x</title></head><body><nav><a href="/a">Home</a></nav><main>%s
@@ -63,3 +65,56 @@ def test_grid_pairs_equal_brute_force(spark):
         return min(a[3] + a[5], b[3] + b[5]) > max(a[3], b[3]) and min(a[4] + a[6], b[4] + b[6]) > max(a[4], b[4])
 
     assert got == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and meets(a, b)}
+
+
+def test_signature_is_of_keys_in_order_and_range_names_the_edit(spark):
+    rng = random.Random(3)
+    pages, edits = {}, {}
+    for p in range(40):
+        keys = [rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 30]))]
+        other = list(keys)
+        at = rng.randrange(len(keys))
+        other[at:at + rng.randrange(3)] = [rng.choice("abc") for _ in range(rng.randrange(3))]
+        pages[p], edits[p] = keys, other
+    edits[1], pages[2], edits[3] = [], [], list(pages[3])
+    frames = [spark.createDataFrame([(p, i * 3, k) for p, ks in side.items() for i, k in enumerate(ks)], "page int, pos long, label string") for side in (pages, edits)]
+    got = {r.page: (r.change, r.first, r.before_end, r.after_end) for r in E.changed_range(*frames, ["page"], key=F.col("label"), widths=(8, 2)).collect()}
+    want = {}
+    for p in pages:
+        a, b = pages[p], edits[p]
+        if not a and not b:
+            continue
+        first = next((i for i in range(max(len(a), len(b))) if a[i:i + 1] != b[i:i + 1]), None)
+        back = next((i for i in range(max(len(a), len(b))) if a[::-1][i:i + 1] != b[::-1][i:i + 1]), None)
+        if first is None:
+            want[p] = ("same", None, None, None)
+            continue
+        back = min(back, len(a) - first, len(b) - first)
+        want[p] = ("added" if not a else "removed" if not b else "changed", first, len(a) - back, len(b) - back)
+    assert got == want
+    hashes = [{r.page: r.hash for r in E.page_signature(f, ["page"], key=F.col("label")).collect()} for f in frames]
+    for p in pages:
+        if pages[p] and edits[p]:
+            assert (hashes[0][p] == hashes[1][p]) == (pages[p] == edits[p])
+    assert E.changed_range(frames[0].limit(0), frames[1].limit(0), ["page"], key=F.col("label")).count() == 0
+
+
+def test_similar_names_equal_brute_force(spark):
+    rng = random.Random(4)
+    names = {"", "add to c", "add to cart", "add to cart 12", "add to", "ab", "ab cd"}
+    names |= {" ".join(rng.choice(["add", "to", "cart", "blue", "shirt", "large", "x"]) for _ in range(rng.randrange(1, 7)))[: rng.choice([7, 8, 12, 99])] for _ in range(150)}
+    rows = [(i % 2, n) for n in names for i in range(3)]
+    frame = spark.createDataFrame(rows, "page int, name string")
+    got = {(r.page, r.name, r.name_2) for r in E.similar_names(frame, frame, ["page"]).collect()}
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    same = {(r.a, r.b) for r in pairs.filter(X.same_name(F.col("a"), F.col("b"))).collect()}
+    assert got == {(p, a, b) for p in (0, 1) for a, b in same}
+
+
+def test_words_lie_within_corpus_words(spark):
+    rng = random.Random(5)
+    corpus = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))) for _ in range(40)] + ["", "12345"]
+    lines = [(i, " ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(3)))) for i in range(300)]
+    lines += [(1000 + i, w[j:j + n]) for i, (w, j, n) in enumerate((w, j, n) for w in corpus for j in (0, 3) for n in (9, 12, 30))]
+    got = {r.id: r.correct for r in M.word_precision(spark.createDataFrame(lines, "id int, text string"), spark.createDataFrame([(w,) for w in corpus], "word string"), ["id"]).collect()}
+    assert got == {i: all(len(w) < 3 or any(w in c for c in corpus) for w in t.split() if any(x.isalpha() for x in w)) for i, t in lines}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veil import rules
 from veil.functions.detect import find_spans
 from veil.functions.text import let, one_space, same_name, slugify, strip_volatile
-from veil.plans.ordered import running_totals, seq_bucket, top_per_key
+from veil.plans.ordered import numbered, running_totals, seq_bucket, top_per_key
+from veil.session import settled
 from veil.sources.html import attr, card_context, is_editable
 
 
@@ -92,21 +93,85 @@ def top_elements(elements: DataFrame, page: list[str], k: int = rules.MAX_ELEMEN
     return top_per_key(elements, page, [rank, F.col(pos)], k)
 
 
+#: Signatures are sums of control hash times base to the power of the control's place, modulo a prime, in two lanes.
+SIGNATURE_PRIME, SIGNATURE_BASES = 2147483647, (1000003, 7368787)
+
+
+def _power(base: int, exponent: Column) -> Column:
+    """base ** exponent modulo the prime by squaring, for exponents under 2^31."""
+    value, square = F.lit(1).cast("long"), base
+    for bit in range(31):
+        value = value * F.when(F.shiftright(exponent, bit).bitwiseAND(1) == 1, square).otherwise(1) % SIGNATURE_PRIME
+        square = square * square % SIGNATURE_PRIME
+    return value
+
+
+def control_key() -> Column:
+    return F.concat_ws("|", "tag", "element_id", F.left(F.trim("label"), F.lit(40)))
+
+
+def order_hash(key: Column, place: Column) -> Column:
+    """Hash of keys at places (from 0) as an aggregate. Sums in any order and of any parts give the same value, so tasks combine their
+    own rows before the shuffle and no page is ever put in order in one row."""
+    digest = F.md5(F.coalesce(key, F.lit("")).cast("binary"))
+    lanes = [F.sum(F.conv(F.substring(digest, 1 + 7 * i, 7), 16, 10).cast("long") * _power(base, place.cast("long")) % SIGNATURE_PRIME) % SIGNATURE_PRIME
+             for i, base in enumerate(SIGNATURE_BASES)]
+    return lanes[0] * F.lit(1 << 31) + lanes[1]
+
+
 def page_signature(elements: DataFrame, page: list[str], pos: str = "pos", key: Column | None = None) -> DataFrame:
     """Count of controls and an order-sensitive hash of the first 300; a changed value means a changed page."""
-    key = key if key is not None else F.concat_ws("|", "tag", "element_id", F.left(F.trim("label"), F.lit(40)))
+    key = control_key() if key is None else key
     counts = elements.groupBy(*page).agg(F.count("*").alias("n_controls"))
-    head = top_per_key(elements, page, [F.col(pos)], rules.SIGNATURE_CONTROLS).select(*page, F.struct(F.col(pos), key.alias("key")).alias("k"))
-    hashed = head.groupBy(*page).agg(F.xxhash64(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("k")), lambda k: k["key"]))).alias("hash"))
-    return counts.join(hashed, page)
+    rank = F.row_number().over(W.partitionBy(*page).orderBy(pos))
+    head = elements.select(*page, key.alias("__key"), rank.alias("__rank")).filter(F.col("__rank") <= rules.SIGNATURE_CONTROLS)
+    return counts.join(head.groupBy(*page).agg(order_hash(F.col("__key"), F.col("__rank") - 1).alias("hash")), page)
+
+
+def changed_range(before: DataFrame, after: DataFrame, page: list[str], pos: str = "pos", key: Column | None = None,
+                  widths: tuple[int, ...] = (4096, 64)) -> DataFrame:
+    """Per page of either snapshot ``change`` (same, changed, added, removed) and the smallest range of controls that an edit must have
+    replaced: places ``first`` to ``before_end`` became ``first`` to ``after_end`` (from 0, ends exclusive; null where nothing changed).
+
+    Both snapshots are cut into nodes of ``widths`` controls, numbered from the front and from the back. A node is one hash; only the first
+    node that differs is opened, and its controls alone meet in the end, so a long page with one edit costs a few rows after the first
+    aggregate. A page without controls is on neither side. Controls are ordered by ``pos``, which must be unique in its page.
+    """
+    key = control_key() if key is None else key
+
+    def side(elements: DataFrame) -> DataFrame:
+        rows = numbered(elements.select(*page, pos, key.alias("__key")), page, seq_bucket(F.col(pos)), [F.col(pos)], "__at")
+        rows = rows.join(elements.groupBy(*page).agg(F.count("*").alias("__n")), page)
+        ways = F.array(F.struct(F.lit(0).alias("way"), (F.col("__at") - 1).alias("i")), F.struct(F.lit(1).alias("way"), (F.col("__n") - F.col("__at")).alias("i")))
+        return settled(rows.select(*page, "__n", "__key", F.explode(ways).alias("w")).select(*page, "__n", "__key", "w.way", "w.i"))
+
+    sides = [side(before), side(after)]
+    opened, above = None, 0
+    for width in (*widths, 1):
+        levels = []
+        for rows, name in zip(sides, ("__x", "__y")):
+            if opened is not None:
+                rows = rows.join(opened, [*page, "way"]).filter(F.floor(F.col("i") / above) == F.col("__node"))
+            levels.append(rows.groupBy(*page, "way", F.floor(F.col("i") / width).alias("node")).agg(order_hash(F.col("__key"), F.col("i")).alias(name)))
+        differ = levels[0].join(levels[1], [*page, "way", "node"], "full").filter(~F.col("__x").eqNullSafe(F.col("__y")))
+        opened, above = settled(differ.groupBy(*page, "way").agg(F.min("node").alias("__node"))), width
+    sizes = [rows.filter("way = 0 AND i = 0").select(*page, F.col("__n").alias(name)) for rows, name in zip(sides, ("__a", "__b"))]
+    equal = opened.groupBy(*page).agg(*[F.max(F.when(F.col("way") == w, F.col("__node"))).alias(n) for w, n in ((0, "first"), (1, "__back"))])
+    done = sizes[0].join(sizes[1], page, "full").join(equal, page, "left")
+    back = F.least("__back", F.col("__a") - F.col("first"), F.col("__b") - F.col("first"))
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("first").isNull(), "same").otherwise("changed")
+    return done.select(*page, change.alias("change"), "first", F.when(both, F.col("__a") - back).otherwise(F.coalesce("__a", F.lit(0))).alias("before_end"),
+                       F.when(both, F.col("__b") - back).otherwise(F.coalesce("__b", F.lit(0))).alias("after_end"))
 
 
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str = "name") -> DataFrame:
     """(on, name, name_2): distinct names of two tables that denote one control, joined on what similar names must share.
 
-    Equal names meet on the name; a long prefix meets on its first 8 characters; Jaccard >= 0.6 implies that a pair shares
-    one of the rarest ``n - ceil(0.6 n) + 1`` tokens of each side (prefix filter), so common words never pair everything and
-    copies of a name are compared once.
+    A name meets those that begin with it whole: it offers itself, and the others their own beginnings of the lengths that occur among
+    names with the same first 8 characters, so names that merely begin alike never meet. Jaccard >= 0.6 implies that a pair shares one of
+    the rarest ``n - ceil(0.6 n) + 1`` tokens of each side (prefix filter), that their token counts are alike, and that enough tokens follow
+    the first shared one on both sides (positional filter); pairs that fail are dropped in the join. Copies of a name are compared once.
     """
     a = left.select(*on, F.col(name).alias("__name")).distinct()
     b = right.select(*on, F.col(name).alias("__name")).distinct()
@@ -115,18 +180,26 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str =
         return F.array_distinct(F.filter(F.split("__name", " "), lambda t: t != ""))
 
     counts = a.unionByName(b).select(*on, F.explode(words()).alias("__t")).groupBy(*on, "__t").agg(F.count("*").alias("__f"))
+    lead, least = F.left("__name", F.lit(rules.SIMILAR_PREFIX_MIN)), rules.SIMILAR_PREFIX_MIN
+    lengths = a.unionByName(b).filter(F.length("__name") >= least).groupBy(*on, lead.alias("__lead")).agg(F.collect_set(F.length("__name")).alias("__lens"))
 
-    def keys(names: DataFrame) -> DataFrame:
+    def keys(names: DataFrame, own: str, other: str) -> DataFrame:
         tokens = names.select(*on, "__name", F.size(words()).alias("__n"), F.explode(words()).alias("__t")).join(counts, [*on, "__t"])
         ranked = tokens.groupBy(*on, "__name", "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "__t"))).alias("__ts"))
         keep = F.col("__n") - F.ceil(F.col("__n") * F.lit(rules.SIMILARITY_MIN) - F.lit(1e-9)) + 1
-        rare = ranked.select(*on, "__name", F.explode(F.slice("__ts", F.lit(1), keep.cast("int"))).alias("t")).select(
-            *on, "__name", F.concat(F.lit("t:"), F.col("t.__t")).alias("__k"))
-        long = F.length("__name") >= rules.SIMILAR_PREFIX_MIN
-        lead = F.when(long, F.concat(F.lit("p:"), F.left("__name", F.lit(rules.SIMILAR_PREFIX_MIN)))).otherwise(F.concat(F.lit("e:"), F.col("__name")))
-        return rare.unionByName(names.select(*on, "__name", lead.alias("__k")))
-
-    pairs = keys(a).join(keys(b).withColumnRenamed("__name", "__name_2"), [*on, "__k"]).select(*on, "__name", "__name_2").distinct()
+        rare = ranked.select(*on, "__name", "__n", F.posexplode(F.slice("__ts", F.lit(1), keep.cast("int"))).alias("__i", "t")).select(
+            *on, "__name", F.concat(F.lit("t:"), F.col("t.__t")).alias("__k"), "__n", "__i")
+        whole = names.select(*on, "__name", F.concat(F.lit(f"{own}:"), F.col("__name")).alias("__k"))
+        fits = F.filter("__lens", lambda n: n <= F.length("__name"))
+        begun = names.filter(F.length("__name") >= least).withColumn("__lead", lead).join(lengths, [*on, "__lead"]).select(
+            *on, "__name", F.explode(F.transform(fits, lambda n: F.concat(F.lit(f"{other}:"), F.substring(F.col("__name"), F.lit(1), n)))).alias("__k"))
+        short = names.filter(F.length("__name") < least).select(*on, "__name", F.concat(F.lit(f"{other}:"), F.col("__name")).alias("__k"))
+        return rare.unionByName(whole.unionByName(begun).unionByName(short), allowMissingColumns=True)
+
+    other = keys(b, "b", "a").withColumnsRenamed({"__name": "__name_2", "__n": "__m", "__i": "__j"})
+    share = F.ceil((F.col("__n") + F.col("__m")) * F.lit(rules.SIMILARITY_MIN / (1 + rules.SIMILARITY_MIN)) - F.lit(1e-6))
+    can = F.least(F.col("__n") - F.col("__i"), F.col("__m") - F.col("__j")) >= share
+    pairs = keys(a, "a", "b").join(other, [*on, "__k"]).filter(F.col("__n").isNull() | can).select(*on, "__name", "__name_2").distinct()
     return pairs.filter(same_name(F.col("__name"), F.col("__name_2"))).select(*on, F.col("__name").alias(name), F.col("__name_2").alias(f"{name}_2"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veil import rules
 from veil.functions.text import compact, digits_of, normalize
@@ -25,19 +25,26 @@ def line_precision(lines: DataFrame, corpus: DataFrame, case: list[str], by: lis
         "precision", ratio(F.col("correct"), F.col("total")))
 
 
-def word_precision(lines: DataFrame, words: DataFrame, line_keys: list[str]) -> DataFrame:
+def word_precision(lines: DataFrame, words: DataFrame, line_keys: list[str], reach: int = 8) -> DataFrame:
     """Per line whether each of its words lies within a word of the corpus, for a corpus shared by all cases.
 
-    A word holds no blank, so it occurs in the corpus text exactly if it is part of one of its words: an equi-join of distinct words with the
-    distinct parts (three characters or more) of distinct corpus words.
+    A word holds no blank, so it occurs in the corpus text exactly if an ending of one of its words begins with it. Endings are as many as
+    the corpus has letters. Words of up to ``reach`` characters meet the distinct beginnings (``reach`` at most an ending) by an equi-join.
+    A longer word is put among the sorted endings that share its first ``reach`` characters: the next one in order begins with it, or none does.
     """
     own = F.filter(F.array_distinct(F.split(normalize(F.col("text")), " ")), lambda w: (F.length(w) >= 3) & w.rlike("[a-z]"))
     each_word = lines.select(*line_keys, F.explode_outer(own).alias("word"))
     size = F.length("word")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.transform(
-        F.sequence(F.lit(3), size - i + 1), lambda n: F.substring(F.col("word"), i, n))))
-    vocabulary = words.select("word").filter(size >= 3).distinct().select(F.explode(parts).alias("word")).distinct().withColumn("__known", F.lit(True))
-    return each_word.join(vocabulary, "word", "left").groupBy(*line_keys).agg(
+    endings = words.select("word").filter(size >= 3).distinct().select(F.explode(F.transform(
+        F.sequence(F.lit(1), size - 2), lambda i: F.substring(F.col("word"), i, size))).alias("word")).distinct()
+    starts = endings.select(F.explode(F.transform(F.sequence(F.lit(3), F.least(size, F.lit(reach))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("word")).distinct()
+    long = each_word.filter(size > reach).select("word").distinct().withColumn("__end", F.lit(None).cast("string"))
+    table = long.unionByName(endings.filter(size > reach).select("word", F.col("word").alias("__end")))
+    # Downwards, endings before equal words: the last ending so far is the next one above the word.
+    above = Window.partitionBy(F.left("word", F.lit(reach))).orderBy(F.desc("word"), F.desc_nulls_last("__end"))
+    near = table.withColumn("__next", F.last("__end", ignorenulls=True).over(above.rowsBetween(Window.unboundedPreceding, 0)))
+    known = starts.unionByName(near.filter(F.col("__end").isNull() & F.col("__next").startswith(F.col("word"))).select("word"))
+    return each_word.join(known.withColumn("__known", F.lit(True)), "word", "left").groupBy(*line_keys).agg(
         (F.count_if(F.col("word").isNotNull() & F.col("__known").isNull()) == 0).alias("correct"))
 
 

@@ -211,10 +211,46 @@ def e07(spark, sf):
     return rows.select("page", "element_id", "outcome", "resolved_id")
 
 
-@query("e08_control_signature", f"SELECT page_id, count(*) AS n_controls, true AS hashed FROM ({_LINKS}) GROUP BY 1")
+_CONTROLS = f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS i, 'a|' || left(trim(label), 40) AS k FROM ({_LINKS})"
+_EDITED = (f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS i, 'a|' || left(trim(CASE WHEN page_id % 3 = 0 AND pos % 7 = 3 THEN '* ' || label ELSE label END), 40) AS k "
+           f"FROM ({_LINKS}) WHERE NOT (page_id % 3 = 1 AND pos = 2)")
+_LANES = " * 2147483648 + ".join(f"sum(('0x' || substr(md5(k), {1 + 7 * n}, 7))::BIGINT * w{n} % {E.SIGNATURE_PRIME})::BIGINT % {E.SIGNATURE_PRIME}" for n in (0, 1))
+
+
+def _control():
+    return F.concat_ws("|", "tag", F.left(F.trim("label"), F.lit(40)))
+
+
+def _snapshots(spark, sf):
+    """The elements of the given pages, and the same after edits: labels changed, one element gone, or nothing."""
+    rows = _elements(spark, sf).select("page_id", "pos", "tag", "label")
+    edited = rows.filter(~((F.col("page_id") % 3 == 1) & (F.col("pos") == 2))).withColumn(
+        "label", F.when((F.col("page_id") % 3 == 0) & (F.col("pos") % 7 == 3), F.concat(F.lit("* "), "label")).otherwise(F.col("label")))
+    return rows, edited
+
+
+@query("e08_control_signature", f"""WITH RECURSIVE w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS w0, CAST(1 AS BIGINT) AS w1 UNION ALL
+    SELECT i + 1, w0 * {E.SIGNATURE_BASES[0]} % {E.SIGNATURE_PRIME}, w1 * {E.SIGNATURE_BASES[1]} % {E.SIGNATURE_PRIME} FROM w WHERE i < {rules.SIGNATURE_CONTROLS - 1}),
+  b AS (SELECT page_id, {_LANES} AS hash FROM ({_CONTROLS}) JOIN w USING (i) GROUP BY 1), a AS (SELECT page_id, {_LANES} AS hash FROM ({_EDITED}) JOIN w USING (i) GROUP BY 1),
+  n AS (SELECT page_id, count(*) AS n_controls FROM ({_LINKS}) GROUP BY 1)
+  SELECT page_id, n_controls, b.hash, coalesce(b.hash <> a.hash, true) AS changed FROM n JOIN b USING (page_id) LEFT JOIN a USING (page_id)""")
 def e08(spark, sf):
-    rows = _elements(spark, sf).withColumn("element_id", F.coalesce("base", F.lit("")))
-    return E.page_signature(rows, ["page_id"]).select("page_id", "n_controls", F.col("hash").isNotNull().alias("hashed"))
+    before, after = _snapshots(spark, sf)
+    later = E.page_signature(after, ["page_id"], key=_control()).select("page_id", F.col("hash").alias("later"))
+    return E.page_signature(before, ["page_id"], key=_control()).join(later, "page_id", "left").select(
+        "page_id", "n_controls", "hash", F.coalesce(F.col("hash") != F.col("later"), F.lit(True)).alias("changed"))
+
+
+@query("e08_changed_range", f"""WITH b AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM ({_CONTROLS})), a AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM ({_EDITED})),
+  f AS (SELECT coalesce(b.page_id, a.page_id) AS page_id, min(coalesce(b.i, a.i)) AS first FROM b FULL JOIN a ON a.page_id = b.page_id AND a.i = b.i WHERE a.k IS DISTINCT FROM b.k GROUP BY 1),
+  r AS (SELECT coalesce(b.page_id, a.page_id) AS page_id, min(coalesce(b.n - 1 - b.i, a.n - 1 - a.i)) AS back FROM b FULL JOIN a ON a.page_id = b.page_id AND a.n - a.i = b.n - b.i WHERE a.k IS DISTINCT FROM b.k GROUP BY 1),
+  s AS (SELECT x.page_id, nb, na FROM (SELECT page_id, max(n) AS nb FROM b GROUP BY 1) x LEFT JOIN (SELECT page_id, max(n) AS na FROM a GROUP BY 1) y USING (page_id))
+  SELECT page_id, CASE WHEN na IS NULL THEN 'removed' WHEN first IS NULL THEN 'same' ELSE 'changed' END AS change, first,
+    CASE WHEN na IS NULL THEN nb WHEN first IS NULL THEN NULL ELSE nb - least(back, nb - first, na - first) END AS before_end,
+    CASE WHEN na IS NULL THEN 0 WHEN first IS NULL THEN NULL ELSE na - least(back, nb - first, na - first) END AS after_end
+  FROM s LEFT JOIN f USING (page_id) LEFT JOIN r USING (page_id)""")
+def e08_range(spark, sf):
+    return E.changed_range(*_snapshots(spark, sf), ["page_id"], key=_control())
 
 
 _HOST = "regexp_replace(lower(regexp_extract({}, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '')"
