@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -279,6 +280,22 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_random_tokens_of_every_encoding(spark):
+    """Detection share of random tokens beside written ones, of which no more are found than the false-discovery limit admits."""
+    rng = np.random.default_rng(21)
+    words = "the quick brown international information between government university development understanding experience something".split()
+    rows = [("written", 0, "".join(rng.choice(words, 4))) for _ in range(60)]
+    rows += [("written", 0, "".join(w.title() for w in rng.choice(words, 4))) for _ in range(60)]
+    rows += [("written", 0, sep.join(rng.choice(words, 5))) for _ in range(60) for sep in "-_/"]
+    rows += [("regular", 0, t) for t in ("0" * 24, "12345678901234567890", "abcdefghijklmnopqrstuvwxyz", "20240101000020240102", "ABABABABABABABABABABABAB")]
+    for name, _, alphabet in secrets.ENCODINGS:
+        rows += [(name, n, "".join(rng.choice(list(alphabet), n))) for n in (20, 32, 64) for _ in range(100)]
+    frame = spark.createDataFrame(rows, "planted string, n int, value string")
+    found = {(r.planted, r.n): r.c for r in secrets.discoveries(frame).groupBy("planted", "n").agg(F.count("*").alias("c")).collect()}
+    assert found.get(("written", 0), 0) <= 0.01 * sum(found.values()) and not found.get(("regular", 0))
+    assert all(found.get((name, n), 0) >= {20: 60, 32: 75, 64: 95}[n] for name, _, _ in secrets.ENCODINGS for n in (20, 32, 64))
+
+
 def test_secret_digest(spark, sf):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
     for r in entry.queries()["op8_secret_scan"](spark, sf).collect():

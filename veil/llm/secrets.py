@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long tokens; DataFrame operations only.
 
-A token of 20 or more characters is tested against the alphabet of its inferred encoding. Three figures say whether it looks drawn at
-random or written: chi-squared over the alphabet (written text repeats characters), runs of letter case and digits (written text seldom
-switches), and serial correlation of neighbouring characters (counting and keyboard rows). The first two give a chance that written text
-would look as random; a false-discovery limit per encoding and length class then decides, so that short tokens need stronger evidence.
+A token of 20 or more characters is tested against the alphabet of its inferred encoding. Chi-squared over the alphabet (written text
+repeats characters) and, where the alphabet has several kinds of characters, the runs of its kinds (written text seldom switches) give a
+chance that written text would look as random. Runs about the alphabet's median and serial correlation of neighbouring characters must
+together be as those of random draws, which counting and keyboard rows are not. A false-discovery limit per encoding and length class then
+decides: the number of written tokens of a class is estimated from its chances above one half, so short tokens of small alphabets, whose
+chances are never tiny, are found where few written ones of their kind occur, and need stronger evidence where many do.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ ENCODINGS = (
 #: Of two characters of written text: the chance to be equal (at least twice that of the alphabet), and to differ in case or kind.
 EQUAL, SWITCH = 0.065, 0.15
 BINS = 300
+#: Bins below this one hold chances above one half.
+HALF_BIN = 3
+#: Encodings whose alphabet has one kind of characters, so that there is no switch to count.
+ONE_KIND = ("decimal", "lower")
 SPANS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
@@ -73,7 +79,8 @@ def upper_tail(z: Column) -> Column:
 
 
 def tested(cands: DataFrame) -> DataFrame:
-    """Adds encoding, p and serial to rows with a token ``value``. p: chance that written text looks as random; serial: z of neighbours."""
+    """Adds encoding, p, serial and runs to rows with a token ``value``. p: chance that written text looks as random; serial and runs: z of
+    the correlation of neighbours and of the changes between the halves of the alphabet, about 0 for random tokens."""
     value = F.col("value")
     encoding = F.coalesce(*[F.when(value.rlike(p), F.lit(n)) for n, p, _ in ENCODINGS])
     alphabet = F.coalesce(*[F.when(F.col("encoding") == n, F.lit(a)) for n, _, a in ENCODINGS])
@@ -96,23 +103,28 @@ def tested(cands: DataFrame) -> DataFrame:
     along = F.aggregate(pairs(F.col("at")), F.lit(0.0), lambda acc, p: acc + (p["x"] - F.col("mean")) * (p["y"] - F.col("mean")))
     rows = sealed(rows.withColumn("kinds", kinds).withColumn("mean", mean), ["kinds", "mean"])
     serial = F.when(spread > 0, (along / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-    return rows.withColumn("p", upper_tail((z_chi + z_runs) / math.sqrt(2))).withColumn("serial", serial).drop("alphabet", "chars", "at", "kinds", "mean")
+    half = F.size(F.filter(pairs(F.col("at")), lambda p: (p["x"] > k / 2) != (p["y"] > k / 2))).cast("double")
+    runs = (half - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    z = F.when(F.col("encoding").isin(*ONE_KIND), z_chi).otherwise((z_chi + z_runs) / math.sqrt(2))
+    return rows.withColumns({"p": upper_tail(z), "serial": serial, "runs": runs}).drop("alphabet", "chars", "at", "kinds", "mean")
 
 
-def discoveries(cands: DataFrame, limit: float = 0.01, alone: float = 1e-4, serial: float = 3.5) -> DataFrame:
+def discoveries(cands: DataFrame, limit: float = 0.01, alone: float = 0.1, order: float = 13.8) -> DataFrame:
     """Rows that are random under a false-discovery limit per encoding and length class (powers of the square root of two).
 
-    No token passes above ``alone``, however few there are in its class, nor with a serial z beyond ``serial``.
+    The written tokens of a class are estimated as twice those with a chance above one half, and one half more, all its tokens at most. No token
+    passes above ``alone``, nor where the squares of its serial and runs z add up to more than ``order`` (a thousandth of random tokens).
     Chances are counted in bins of a tenth of a power of ten, each taken at its larger end, so the limit holds and the counts stay small.
     """
     rows = tested(cands).withColumn("size", F.floor(2 * F.log2(F.length("value").cast("double")))).withColumn(
         "bin", F.least(F.floor(-10 * F.log10(F.greatest("p", F.lit(1e-40)))), F.lit(BINS)))
     counts = rows.groupBy("encoding", "size", "bin").agg(F.count("*").alias("n"))
     same = Window.partitionBy("encoding", "size")
-    counts = counts.withColumn("upto", F.sum("n").over(same.orderBy(F.desc("bin")))).withColumn("all", F.sum("n").over(same))
-    passed = counts.where(F.col("bin") > -10 * math.log10(alone)).where(F.pow(F.lit(10.0), -F.col("bin") / 10) * F.col("all") <= limit * F.col("upto"))
+    written = F.least(2 * F.sum(F.when(F.col("bin") < HALF_BIN, F.col("n")).otherwise(0)).over(same) + 1, F.sum("n").over(same))
+    counts = counts.withColumn("upto", F.sum("n").over(same.orderBy(F.desc("bin")))).withColumn("written", written)
+    passed = counts.where(F.col("bin") >= -10 * math.log10(alone)).where(F.pow(F.lit(10.0), -F.col("bin") / 10) * F.col("written") <= limit * F.col("upto"))
     least = passed.groupBy("encoding", "size").agg(F.min("bin").alias("least"))
-    return rows.join(least, ["encoding", "size"]).where((F.col("bin") >= F.col("least")) & (F.abs("serial") <= serial))
+    return rows.join(least, ["encoding", "size"]).where((F.col("bin") >= F.col("least")) & (F.pow("serial", F.lit(2)) + F.pow("runs", F.lit(2)) <= order))
 
 
 def listed(spans: Column) -> Column:
