@@ -2,8 +2,8 @@
 
 A token of 20 or more characters is tested against the alphabet of its inferred encoding. Chi-squared over the alphabet (written text
 repeats characters) and, where the alphabet has several kinds of characters, the runs of its kinds (written text seldom switches) give a
-chance that written text would look as random. Runs about the alphabet's median and serial correlation of neighbouring characters must
-together be as those of random draws, which counting and keyboard rows are not. A false-discovery limit per encoding and length class then
+chance that written text would look as random. Runs about the alphabet's median and serial correlation of neighbouring characters (around
+the alphabet as a circle, so that counting past its end is seen) must together be as those of random draws, which counting is not. A false-discovery limit per encoding and length class then
 decides: the number of written tokens of a class is estimated from its chances above one half, so short tokens of small alphabets, whose
 chances are never tiny, are found where few written ones of their kind occur, and need stronger evidence where many do.
 """
@@ -98,15 +98,12 @@ def tested(cands: DataFrame) -> DataFrame:
     m = F.greatest(F.size("kinds") - 1, F.lit(1)).cast("double")
     switches = F.size(F.filter(pairs(F.col("kinds")), lambda p: p["x"] != p["y"])).cast("double")
     z_runs = (switches - m * SWITCH - 0.5) / F.sqrt(m * SWITCH * (1 - SWITCH))
-    mean = F.aggregate("at", F.lit(0.0), lambda acc, x: acc + x) / n
-    spread = F.aggregate("at", F.lit(0.0), lambda acc, x: acc + (x - F.col("mean")) * (x - F.col("mean")))
-    along = F.aggregate(pairs(F.col("at")), F.lit(0.0), lambda acc, p: acc + (p["x"] - F.col("mean")) * (p["y"] - F.col("mean")))
-    rows = sealed(rows.withColumn("kinds", kinds).withColumn("mean", mean), ["kinds", "mean"])
-    serial = F.when(spread > 0, (along / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+    rows = sealed(rows.withColumn("kinds", kinds), ["kinds"])
+    serial = F.aggregate(pairs(F.col("at")), F.lit(0.0), lambda acc, p: acc + F.cos((p["x"] - p["y"]) * 2 * math.pi / k)) / F.sqrt((n - 1) / 2)
     half = F.size(F.filter(pairs(F.col("at")), lambda p: (p["x"] > k / 2) != (p["y"] > k / 2))).cast("double")
     runs = (half - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     z = F.when(F.col("encoding").isin(*ONE_KIND), z_chi).otherwise((z_chi + z_runs) / math.sqrt(2))
-    return rows.withColumns({"p": upper_tail(z), "serial": serial, "runs": runs}).drop("alphabet", "chars", "at", "kinds", "mean")
+    return rows.withColumns({"p": upper_tail(z), "serial": serial, "runs": runs}).drop("alphabet", "chars", "at", "kinds")
 
 
 def discoveries(cands: DataFrame, limit: float = 0.01, alone: float = 0.1, order: float = 13.8) -> DataFrame:
