@@ -251,9 +251,14 @@ def test_factorization_machine_learns_a_pair():
         a, b = rng.integers(0, 2, 2)
         rows.append(np.array(sorted({100 + int(a), 200 + int(b), int(rng.integers(1000, 1040))})))
         labels.append(float(a == b))
-    model = toxicity.train(rows, np.array(labels), least=0.0)
+    model = toxicity.train(rows, np.array(labels))
     right = [(toxicity.raw_score(model, r) > 0) == (y > 0.5) for r, y in zip(rows, labels)]
     assert np.mean(right) > 0.95  # no sum of single weights exceeds one half by much
+    assert not np.flatnonzero(model.factor.any(axis=1) & (np.arange(toxicity.SLOTS) >= 1000)).size  # the rest are noise
+    blocks = np.concatenate([np.stack([a, b]) for _, a, b in toxicity.pair_buckets(np.arange(2000))], axis=1)
+    assert blocks.shape[1] == 2000 * 1999 // 2 and (blocks[0] < blocks[1]).all()
+    odd = toxicity.train([np.zeros(0, np.int64)] * 3, np.ones(3))
+    assert not odd.weight.any() and not odd.factor.any()
 
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -20,6 +20,7 @@ from veil.llm.common import held_out, query, stored, table
 
 SLOTS = 1 << 18
 FACTORS = 4
+PAIR_BITS = 22
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -48,24 +49,65 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def telling(rows: list[np.ndarray], labels: np.ndarray, min_docs: int, least: float) -> np.ndarray:
-    """Slots in ``min_docs`` rows or more whose chi-squared with the label is at least ``least``: the rest is noise that one could learn by heart."""
+def telling(rows: list[np.ndarray], labels: np.ndarray, min_docs: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slots in ``min_docs`` rows or more, and those of them whose chi-squared with the label is at least ``least``: a single weight of
+    any other slot would be noise learned by heart."""
     every = np.concatenate([*rows, np.zeros(0, np.int64)])
     n, positive = max(1, len(rows)), float(labels.sum())
     seen = np.bincount(every, minlength=SLOTS).astype(float)
     hit = np.bincount(every, np.repeat(labels, [len(r) for r in rows]), SLOTS) if len(rows) else np.zeros(SLOTS)
     expected = seen * positive / n
     spread = expected * (1 - seen / n) * (1 - positive / n)
-    return (seen >= min_docs) & ((hit - expected) ** 2 >= least * np.maximum(spread, 1e-9)) & (spread > 0)
+    often = (seen >= min_docs) & (spread > 0)
+    return often, often & ((hit - expected) ** 2 >= least * np.maximum(spread, 1e-9))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.2, shrink: float = 1e-3, min_docs: int = 4,
-          least: float = 10.8, batch: int = 64) -> Model:
-    """Adaptive gradient descent on the logistic loss over the telling slots; all others stay zero."""
+def pair_buckets(slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of a row's slots in blocks of about a million: their buckets, and the two slots of each."""
+    height = max(1, (1 << 20) // max(1, len(slots)))
+    for at in range(0, len(slots), height):
+        first, second = np.nonzero(np.arange(at, min(at + height, len(slots)))[:, None] < np.arange(len(slots))[None, :])
+        a, b = slots[at + first], slots[second]
+        mixed = ((a << 18) | b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        yield (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64), a, b
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, often: np.ndarray, model: Model, least: float) -> np.ndarray:
+    """Slots of pairs that say more of the label than the model without them knows: a score test of each pair on the model's errors.
+
+    Pairs are counted by hash in a table of fixed size; a pair that passes because another shares its bucket only lets two slots more learn.
+    """
+    error, spread = np.zeros(1 << PAIR_BITS), np.ones(1 << PAIR_BITS)
+    chosen = [r[often[r]] for r in rows]
+    for kept, row, label in zip(chosen, rows, labels):
+        p = float(sigmoid(raw_score(model, row)))
+        for buckets, _, _ in pair_buckets(kept):
+            np.add.at(error, buckets, label - p)
+            np.add.at(spread, buckets, p * (1 - p))
+    passed, slots = error * error >= least * spread, np.zeros(SLOTS, bool)
+    if passed.any():
+        for kept in chosen:
+            for buckets, a, b in pair_buckets(kept):
+                hit = passed[buckets]
+                slots[a[hit]] = slots[b[hit]] = True
+    return slots
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, least: float = 10.8, pair_least: float = 40.0, min_docs: int = 4, **descent) -> Model:
+    """A first model over the slots that tell the label alone; then factors also for slots that tell it only in pairs, if there are any."""
+    often, alone = telling(rows, labels, min_docs, least)
+    model = descend(rows, labels, alone, alone, **descent)
+    extra = paired(rows, labels, often, model, pair_least) & ~alone
+    return descend(rows, labels, alone, alone | extra, **descent) if extra.any() else model
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, weighted: np.ndarray, factored: np.ndarray, epochs: int = 20, rate: float = 0.2,
+            shrink: float = 1e-3, batch: int = 64) -> Model:
+    """Adaptive gradient descent on the logistic loss; slots not ``weighted`` or not ``factored`` keep a zero weight or zero factors."""
     rng = np.random.default_rng(7)
     weight, factor = np.zeros(SLOTS), rng.normal(0, 0.01, (SLOTS, FACTORS))
-    kept = telling(rows, labels, min_docs, least)
-    factor[~kept] = 0
+    kept = weighted | factored
+    factor[~factored] = 0
     rows = [r[kept[r]] for r in rows]
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
     bias, seen_w, seen_v, seen_b = float(np.log(share / (1 - share))), np.full(SLOTS, 1e-6), np.full((SLOTS, FACTORS), 1e-6), 1e-6
@@ -85,11 +127,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: fl
             error = sigmoid(z) - labels[chosen]
             g = np.bincount(inverse, error[owner], len(slots)) + shrink * weight[slots]
             seen_w[slots] += g * g
-            weight[slots] -= rate * g / np.sqrt(seen_w[slots])
+            weight[slots] -= weighted[slots] * rate * g / np.sqrt(seen_w[slots])
             pair = error[owner][:, None] * (total[owner] - v)
             g = np.stack([np.bincount(inverse, pair[:, f], len(slots)) for f in range(FACTORS)], axis=1) + 10 * shrink * factor[slots]
             seen_v[slots] += g * g
-            factor[slots] -= 0.2 * rate * g / np.sqrt(seen_v[slots])
+            factor[slots] -= factored[slots][:, None] * 0.2 * rate * g / np.sqrt(seen_v[slots])
             seen_b += error.sum() ** 2
             bias -= rate * error.sum() / np.sqrt(seen_b)
     return Model(float(bias), weight.astype(np.float32), factor.astype(np.float32))
@@ -98,21 +140,22 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: fl
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     """Learn from documents with a label in the column ``toxic``; text is the only input.
 
-    About ``sample`` labelled rows at most are used, chosen by a hash of the doc_id; that bound, and not the corpus, sets the work of the
-    driver. Null texts, null labels and ids without a partner are left out; of several labels of one id the largest counts; without rows
+    About ``sample`` labelled ids at most are used, chosen by a hash of the doc_id, and twice as many rows at most where ids repeat; that
+    bound, and not the corpus, sets the work of the driver. Null texts, null labels and ids without a partner are left out; of several labels of one id the largest counts; without rows
     every score is 0.5.
     """
     one = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("double").alias("label"))
     share = min(1.0, sample / max(1, one.count()))
     one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(one, "doc_id").select("text", "label")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(one, "doc_id")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms(t.as_py()).astype(np.int32).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], names=["label", "slots"])
 
-    found = stored(rows.mapInArrow(slots, "label double, slots binary"), "terms").toPandas().sort_values(["label", "slots"], kind="stable")
+    kept = stored(rows.mapInArrow(slots, "label double, slots binary"), "terms")
+    found = kept.orderBy(F.xxhash64("slots"), "label").limit(2 * sample).toPandas().sort_values(["label", "slots"], kind="stable")
     return train([np.frombuffer(b, np.int32).astype(np.int64) for b in found["slots"]], found["label"].to_numpy(np.float64))
 
 
