@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from veil.llm.common import query, stored, table
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHE = 5 << 17
+CACHE = 1 << 18
 #: Bytes of text encoded together.
 AT_ONCE = 4 << 20
 GROUP = 4096
