@@ -28,7 +28,7 @@ from veil.llm.common import query, stored, table
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 CACHE = 1 << 18
 #: Bytes of text encoded together.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 GROUP = 4096
 
 
