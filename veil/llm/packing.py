@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from veil.llm.common import query, stored, table
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
-CACHE = 1 << 18
+CACHE = 5 << 17
 #: Bytes of text encoded together.
 AT_ONCE = 1 << 20
 GROUP = 4096
