@@ -3,8 +3,10 @@ everything else (labels, roles, contexts, ids, page text order) is DataFrame cod
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,6 +27,7 @@ _SILENT = {"script", "style", "noscript", "template"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "footer", "form",
           "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table",
           "td", "th", "tr", "ul", "option", "select", "textarea", "button"}
+_REFERENCE = re.compile(r"&(?!#(?:[0-9]+|[xX][0-9A-Fa-f]+);)([A-Za-z][A-Za-z0-9]*;)?")
 _SELF_CLOSING = {"p", "li", "option", "tr", "td", "th", "dt", "dd"}
 
 
@@ -76,6 +79,11 @@ def _squeeze(pieces) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _open_kept(html: str) -> str:
+    """The page with every reference that its semicolon does not close escaped, so that it is read as it is written."""
+    return _REFERENCE.sub(lambda m: m.group() if m.group(1) in html5 else "&amp;" + (m.group(1) or ""), html)
+
+
 def _flatten(html: str) -> tuple[str, list]:
     page = _Flat()
     page.feed(html or "")
@@ -94,15 +102,18 @@ def _flatten(html: str) -> tuple[str, list]:
     return title, rows
 
 
-def parse_pages(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
-    """Adds ``title`` and ``nodes`` (document order, with subtree ranges) to the key columns."""
+def parse_pages(pages: DataFrame, keys: list[str], html: str = "html", open_references: bool = True) -> DataFrame:
+    """Adds ``title`` and ``nodes`` (document order, with subtree ranges) to the key columns.
+
+    A reference without its semicolon (``&amp`` of a text cut short) is resolved as browsers do, or kept as written without ``open_references``.
+    """
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys) + f", title string, nodes array<{NODE}>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[keys].copy()
-            parsed = [_flatten(h) for h in batch[html]]
+            parsed = [_flatten(h if open_references else _open_kept(h or "")) for h in batch[html]]
             out["title"] = [t for t, _ in parsed]
             out["nodes"] = [n for _, n in parsed]
             yield out
