@@ -44,3 +44,12 @@ def test_newer_runs_cancel_older_ones_and_late_records_are_given_out(spark):
         newest[task] = max(newest.get(task, run), run)
         want.append((i, run, "kept" if run == newest[task] else "superseded"))
     assert got == sorted(want) and {"late", "superseded", "kept"} == {w[2] for w in want}
+
+
+def test_a_batch_is_a_wave(spark):
+    _rows, df = made(spark, 5)
+    stream, _watermark = in_waves(df.repartition(3), "ts", F.lit(0.5), 4, spark.sql(END).repartition(8))
+    got = drain(stream.select("id", F.col("_metadata.file_path").alias("file"))).collect()
+    folder = got[0].file.rsplit("/", 1)[0]
+    # Five waves of three files each, the end of the input in one of them.
+    assert len(got) == 121 and len(spark.read.parquet(folder).inputFiles()) == 15
