@@ -22,8 +22,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return simhash.without_near_copies(docs, shingle=5, similarity=0.8)
+    """One document of each group whose SimHash fingerprints are linked: three-word shingles, two bits, met over the pivot tables."""
+    return simhash.one_per_print_group(docs, shingle=3, max_bits=2)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,10 @@ def test_pipeline(spark, sf):
         assert kept.columns == columns, name
     assert 0 < kept.count() < docs.count()
     assert set(r.doc_id for r in entry.queries()["pipeline"](spark, sf).select("doc_id").distinct().collect()) == set(r.doc_id for r in kept.collect())
+
+
+def test_near_copies_of_the_pipeline_come_from_the_fingerprints(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    want = entry.queries()["op7_simhash_near_dedup"](spark, sf).where("doc_id = component_id")
+    assert kept == sorted(r.doc_id for r in want.collect()) and len(kept) < docs.count()

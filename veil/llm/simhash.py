@@ -51,13 +51,18 @@ def fingerprint_of(raw: bytes | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; null and blank texts have fingerprint 0."""
+    return _prints(docs, shingle).drop("th")
+
+
+def _prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, fp) for every row; th is the hash of the text."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint_of(t.as_py(), shingle) for t in batch.column("raw")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints, pa.int64())], names=["doc_id", "th", "fp"])
 
-    rows = docs.select("doc_id", F.encode("text", "utf-8").alias("raw"))
-    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.encode("text", "utf-8").alias("raw"))
+    return rows.mapInArrow(of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -319,7 +324,19 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0
     columns are kept. Rows that cannot be copies by a bitmap of those that are do not travel.
     """
     rows = stored(_described(docs, shingle, similarity, _common_shingles(docs, shingle)), "described")
-    tree = similar_components(docs, rows, shingle, similarity)
+    return _first_of_each(docs, rows, similar_components(docs, rows, shingle, similarity))
+
+
+def one_per_print_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each component over links of ``max_bits`` bits between fingerprints, as ``grouped`` finds them: the one with
+    the smallest doc_id (null last; ties by text hash). Null and blank texts have one fingerprint; of rows that repeat id and text one
+    stays. All columns are kept."""
+    rows = stored(_prints(docs, shingle).withColumnRenamed("fp", "mark"), "prints")
+    return _first_of_each(docs, rows, components(links(rows.select(F.col("mark").alias("fp")), max_bits)))
+
+
+def _first_of_each(docs: DataFrame, rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each component ``tree`` (node, root) of the marks of ``rows`` (doc_id, th, mark)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     rooted = rows.join(tree, rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
     each = rooted.groupBy("doc_id", "th").agg(F.count("*").alias("copies"), F.first("root").alias("root"))
