@@ -118,3 +118,25 @@ def test_words_lie_within_corpus_words(spark):
     lines += [(1000 + i, w[j:j + n]) for i, (w, j, n) in enumerate((w, j, n) for w in corpus for j in (0, 3) for n in (9, 12, 30))]
     got = {r.id: r.correct for r in M.word_precision(spark.createDataFrame(lines, "id int, text string"), spark.createDataFrame([(w,) for w in corpus], "word string"), ["id"]).collect()}
     assert got == {i: all(len(w) < 3 or any(w in c for c in corpus) for w in t.split() if any(x.isalpha() for x in w)) for i, t in lines}
+
+
+def test_similar_names_are_complete_for_short_and_long_names(spark):
+    rng, words = random.Random(8), [f"w{i}" for i in range(12)]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 10))) for _ in range(500)})
+    left, right = names[::2], names[1::2] + names[:20]
+
+    def same(a, b):
+        x, y = set(a.split()), set(b.split())
+        return a == b or min(len(a), len(b)) >= 8 and (a.startswith(b) or b.startswith(a)) or len(x & y) / len(x | y) >= 0.6
+
+    want = {(p, a, b) for p in (1, 2) for a in left for b in right if same(a, b)}
+    one, two = (spark.createDataFrame([(p, n) for p in (1, 2) for n in side], "page int, name string") for side in (left, right))
+    assert {tuple(r) for r in E.similar_names(one, two, ["page"]).collect()} == want and len(want) > 500
+
+
+def test_frequent_words_alone_bring_no_short_names_together(spark):
+    # 600 names of five tokens, each of a few words: 17 or more of a name's own number of copies used to meet at one word.
+    rows = [(f"a{i % 8} n{i // 8 % 8} t{i % 6} brand {i % 50}",) for i in range(600)]
+    keys = spark.createDataFrame(rows, "name string").select(F.explode(E._together(
+        F.lit(5), F.array(*[F.split("name", " ")[i] for i in (4, 0, 1, 2, 3)]), F.array(F.lit(4), F.lit(5)))).alias("k"))
+    assert keys.groupBy("k").count().agg(F.max("count")).first()[0] <= 25

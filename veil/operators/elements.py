@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from veil import rules
@@ -165,13 +168,34 @@ def changed_range(before: DataFrame, after: DataFrame, page: list[str], pos: str
                        F.when(both, F.col("__b") - back).otherwise(F.coalesce("__b", F.lit(0))).alias("after_end"))
 
 
+#: Names of up to FEW tokens meet at TOGETHER tokens at once.
+FEW, TOGETHER = 6, 3
+
+
+def _together(n: Column, tokens: Column, sizes: Column) -> Column:
+    """Keys of a name of ``n`` <= FEW tokens (rarest first) for partners of each of ``sizes``: sizes of the pair and tokens that both must have."""
+    ways = []
+    for own in range(1, FEW + 1):
+        for mate in range(1, FEW + 1):
+            share = math.ceil((own + mate) * rules.SIMILARITY_MIN / (1 + rules.SIMILARITY_MIN) - 1e-6)
+            if share > min(own, mate):
+                continue
+            k = min(share, TOGETHER)
+            picks = F.array(*[F.concat_ws(" ", F.lit(f"{min(own, mate)}-{max(own, mate)}:"), *[F.get(tokens, i) for i in pick])
+                              for pick in combinations(range(own - share + k), k)])
+            ways.append(F.when((n == own) & F.array_contains(sizes, mate), picks).otherwise(F.array().cast("array<string>")))
+    return F.flatten(F.array(*ways))
+
+
 def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str = "name") -> DataFrame:
     """(on, name, name_2): distinct names of two tables that denote one control, joined on what similar names must share.
 
     A name meets those that begin with it whole: it offers itself, and the others their own beginnings of the lengths that occur among
-    names with the same first 8 characters, so names that merely begin alike never meet. Jaccard >= 0.6 implies that a pair shares one of
-    the rarest ``n - ceil(0.6 n) + 1`` tokens of each side (prefix filter), that their token counts are alike, and that enough tokens follow
-    the first shared one on both sides (positional filter); pairs that fail are dropped in the join. Copies of a name are compared once.
+    names with the same first 8 characters, so names that merely begin alike never meet. Jaccard >= 0.6 of n and m tokens implies s =
+    ceil(0.375 (n + m)) shared ones, k <= s of them among the first n - s + k of each side in any one order of the tokens. Names of up to
+    ``FEW`` tokens meet at k = ``TOGETHER`` of them at once (all s, if fewer), a key for each pair of sizes that occurs, so frequent words
+    alone bring none together; longer ones meet at one of their rarest tokens (prefix filter), with enough tokens after the first shared
+    one on both sides (positional filter). Copies of a name are compared once.
     """
     a = left.select(*on, F.col(name).alias("__name")).distinct()
     b = right.select(*on, F.col(name).alias("__name")).distinct()
@@ -180,6 +204,7 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str =
         return F.array_distinct(F.filter(F.split("__name", " "), lambda t: t != ""))
 
     counts = a.unionByName(b).select(*on, F.explode(words()).alias("__t")).groupBy(*on, "__t").agg(F.count("*").alias("__f"))
+    sizes = a.unionByName(b).select(F.size(words()).alias("n")).where(F.col("n").between(1, FEW)).agg(F.collect_set("n").alias("__sizes"))
     lead, least = F.left("__name", F.lit(rules.SIMILAR_PREFIX_MIN)), rules.SIMILAR_PREFIX_MIN
     lengths = a.unionByName(b).filter(F.length("__name") >= least).groupBy(*on, lead.alias("__lead")).agg(F.collect_set(F.length("__name")).alias("__lens"))
 
@@ -187,14 +212,20 @@ def similar_names(left: DataFrame, right: DataFrame, on: list[str], name: str =
         tokens = names.select(*on, "__name", F.size(words()).alias("__n"), F.explode(words()).alias("__t")).join(counts, [*on, "__t"])
         ranked = tokens.groupBy(*on, "__name", "__n").agg(F.array_sort(F.collect_list(F.struct("__f", "__t"))).alias("__ts"))
         keep = F.col("__n") - F.ceil(F.col("__n") * F.lit(rules.SIMILARITY_MIN) - F.lit(1e-9)) + 1
-        rare = ranked.select(*on, "__name", "__n", F.posexplode(F.slice("__ts", F.lit(1), keep.cast("int"))).alias("__i", "t")).select(
-            *on, "__name", F.concat(F.lit("t:"), F.col("t.__t")).alias("__k"), "__n", "__i")
+        # A short name's tokens look for long names only; a long name's look for either.
+        long = F.col("__n") > FEW
+        met = F.when(long, F.array(F.lit(f"t{own}:"), F.lit("tt:"))).otherwise(F.array(F.lit(f"t{other}:")))
+        rare = ranked.withColumn("__met", F.explode(met)).select(
+            *on, "__name", "__n", "__met", F.posexplode(F.slice("__ts", F.lit(1), keep.cast("int"))).alias("__i", "t")).select(
+            *on, "__name", F.concat("__met", "t.__t").alias("__k"), "__n", "__i")
+        few = ranked.filter(~long).crossJoin(F.broadcast(sizes)).select(*on, "__name", F.explode(_together(
+            F.col("__n"), F.transform("__ts", lambda t: t["__t"]), F.col("__sizes"))).alias("__k"))
         whole = names.select(*on, "__name", F.concat(F.lit(f"{own}:"), F.col("__name")).alias("__k"))
         fits = F.filter("__lens", lambda n: n <= F.length("__name"))
         begun = names.filter(F.length("__name") >= least).withColumn("__lead", lead).join(lengths, [*on, "__lead"]).select(
             *on, "__name", F.explode(F.transform(fits, lambda n: F.concat(F.lit(f"{other}:"), F.substring(F.col("__name"), F.lit(1), n)))).alias("__k"))
         short = names.filter(F.length("__name") < least).select(*on, "__name", F.concat(F.lit(f"{other}:"), F.col("__name")).alias("__k"))
-        return rare.unionByName(whole.unionByName(begun).unionByName(short), allowMissingColumns=True)
+        return rare.unionByName(few.unionByName(whole).unionByName(begun).unionByName(short), allowMissingColumns=True)
 
     other = keys(b, "b", "a").withColumnsRenamed({"__name": "__name_2", "__n": "__m", "__i": "__j"})
     share = F.ceil((F.col("__n") + F.col("__m")) * F.lit(rules.SIMILARITY_MIN / (1 + rules.SIMILARITY_MIN)) - F.lit(1e-6))
