@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NODE = (
     "struct<pos:int,last:int,path:array<int>,tag:string,attrs:map<string,string>,text:string,own:string,hidden:boolean>"
 )
+PARSED_AT_ONCE = 1 << 18
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "template"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "footer", "form",
@@ -112,11 +113,13 @@ def parse_pages(pages: DataFrame, keys: list[str], html: str = "html", open_refe
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[keys].copy()
-            parsed = [_flatten(h if open_references else _open_kept(h or "")) for h in batch[html]]
-            out["title"] = [t for t, _ in parsed]
-            out["nodes"] = [n for _, n in parsed]
-            yield out
+            # Nodes take many times a page's bytes, so only those of PARSED_AT_ONCE characters are held.
+            for _, some in batch.groupby(batch[html].str.len().fillna(0).cumsum() // PARSED_AT_ONCE, sort=False):
+                out = some[keys].copy()
+                parsed = [_flatten(h if open_references else _open_kept(h or "")) for h in some[html]]
+                out["title"] = [t for t, _ in parsed]
+                out["nodes"] = [n for _, n in parsed]
+                yield out
 
     return pages.select(*keys, html).mapInPandas(run, schema)
 
