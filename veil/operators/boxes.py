@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veil import rules
@@ -170,28 +172,35 @@ def visual_pii(lines: DataFrame, page: list[str], layout: DataFrame | None = Non
 
 def mask_regions(words: Column, line_box: Column, values: Column) -> Column:
     """One region per value of a line: the union of its words (each used once), else the whole line."""
-    def key(text: Column, numeric: Column) -> Column:
-        return F.when(numeric, F.regexp_replace(text, "[^0-9]", "")).otherwise(F.regexp_replace(F.lower(text), "[^a-z0-9@.]+", ""))
+    def digits(text: Column) -> Column:
+        return F.regexp_replace(text, "[^0-9]", "")
+
+    def plain(text: Column) -> Column:
+        return F.regexp_replace(F.lower(text), "[^a-z0-9@.]+", "")
 
-    placed = F.transform(words, lambda w, i: F.struct(i.alias("i"), w["text"].alias("text"), w["bbox"].alias("bbox")))
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("i"), digits(w["text"]).alias("digits"), plain(w["text"]).alias("plain"), w["bbox"].alias("bbox")))
+    # What a value is looked for by, once a value: its digits where it is a number, else its letters.
+    wanted = F.transform(F.transform(values, lambda v: F.struct(v.alias("v"), digits(v).alias("digits"))), lambda v: F.struct(
+        v["digits"].alias("digits"), plain(v["v"]).alias("plain"),
+        ((F.length(v["digits"]) >= 3) & (F.length(v["digits"]) == F.length(F.regexp_replace(v["v"], r"[\s-]", "")))).alias("numeric")))
     state = F.struct(F.array().cast("array<int>").alias("used"),
                      F.array().cast("array<struct<x:double,y:double,width:double,height:double>>").alias("out"))
 
-    def step(acc: Column, value: Column) -> Column:
-        digits = F.regexp_replace(value, "[^0-9]", "")
-        numeric = (F.length(digits) >= 3) & (F.length(digits) == F.length(F.regexp_replace(value, r"[\s-]", "")))
-        target = key(value, numeric)
+    def step(held: Column) -> Callable[[Column, Column], Column]:
+        def found(acc: Column, value: Column) -> Column:
+            def hit(w: Column) -> Column:
+                number = (F.length(w["digits"]) >= 3) & F.contains(value["digits"], w["digits"])
+                name = (w["plain"] != "") & (F.contains(value["plain"], w["plain"]) | F.contains(w["plain"], value["plain"]))
+                return ~F.array_contains(acc["used"], w["i"]) & F.when(value["numeric"], number).otherwise(name)
 
-        def hit(w: Column) -> Column:
-            k = key(w["text"], numeric)
-            return (k != "") & ~F.array_contains(acc["used"], w["i"]) & F.when(
-                numeric, (F.length(k) >= 3) & F.contains(target, k)).otherwise(F.contains(target, k) | F.contains(k, target))
+            return let(F.filter(held, hit), lambda mine: F.struct(
+                F.concat(acc["used"], F.transform(mine, lambda w: w["i"])).alias("used"),
+                F.array_append(acc["out"], F.coalesce(union_box(F.transform(mine, lambda w: w["bbox"])), line_box)).alias("out")))
 
-        mine = F.filter(placed, hit)
-        region = F.coalesce(union_box(F.transform(mine, lambda w: w["bbox"])), line_box)
-        return F.struct(F.concat(acc["used"], F.transform(mine, lambda w: w["i"])).alias("used"), F.array_append(acc["out"], region).alias("out"))
+        return found
 
-    return F.when(F.size(values) == 0, F.array(line_box)).otherwise(F.aggregate(values, state, step, lambda acc: acc["out"]))
+    regions = let(placed, lambda held: F.aggregate(wanted, state, step(held), lambda acc: acc["out"]))
+    return F.when(F.size(values) == 0, F.array(line_box)).otherwise(regions)
 
 
 def pad_regions(regions: Column, by: float = rules.MASK_PADDING) -> Column:
