@@ -22,8 +22,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints are linked: three-word shingles, two bits, met over the pivot tables."""
-    return simhash.one_per_print_group(docs, shingle=3, max_bits=2)
+    """One document of each group whose SimHash fingerprints are linked over the pivot tables (three-word shingles, two bits); then of what is
+    left, whose near copies lie further apart, one of each group of similarity 0.8 in five-word shingles."""
+    return simhash.without_near_copies(stored(simhash.one_per_print_group(docs, shingle=3, max_bits=2), "prints"), shingle=5, similarity=0.8)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
