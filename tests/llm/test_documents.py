@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from veil.llm import decontamination, language, line_dedup, packing, secrets, simhash, toxicity
+from veil.llm.common import small_batches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, fp int, th string, id int, rank int, value string"
 
@@ -207,6 +208,25 @@ def test_packing(docs, none):
     assert packing.packed(none, js).count() == 0
 
 
+def test_packing_holds_little(spark):
+    """Few words kept give the same ids, and rows come to Python in batches of bounded size; the session's limit comes back."""
+    js, rng = packing.tokenizer_json(), np.random.default_rng(5)
+    few, many = packing.Ids(js, 1, cache=50), packing.Ids(js, 1)
+    for text in [_words(rng, 40) for _ in range(20)]:
+        assert few(pa.array([text]))[0].tolist() == many(pa.array([text]))[0].tolist()
+    assert len(few.known) + len(few.old) < 400 < len(many.known)
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).select(F.expr("repeat('x', 1000)").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    before = spark.conf.get(name)
+    with small_batches(spark, 1 << 18):
+        got = rows.mapInArrow(sizes, "bytes long").collect()
+    assert len(got) > 10 and max(r.bytes for r in got) < 1 << 19 and spark.conf.get(name) == before
+
+
 def test_packing_windows_are_full():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2048, 3000)

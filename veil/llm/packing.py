@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from veil.llm.common import query, stored, table
+from veil.llm.common import query, small_batches, stored, table
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 CACHE = 5 << 17
 #: Bytes of text encoded together.
 AT_ONCE = 1 << 20
+#: Bytes of rows sent to a Python worker together.
+BATCH = 1 << 22
 GROUP = 4096
 
 
@@ -42,20 +44,20 @@ class Ids:
     PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
 
-    def __init__(self, tokenizer: str, end_id: int):
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4"), {}
+    def __init__(self, tokenizer: str, end_id: int, cache: int = CACHE):
+        self.tokenizer, self.end_id, self.known, self.cache = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4"), {}, cache
         self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
     @classmethod
-    def kept(cls, tokenizer: str, end_id: int) -> Ids:
+    def kept(cls, tokenizer: str, end_id: int, cache: int = CACHE) -> Ids:
         """The one of this Python worker, which serves many tasks; code that travels by value has no module of its own to keep it in."""
         store = sys.modules.setdefault("_kept_token_ids", types.ModuleType("_kept_token_ids")).__dict__
-        name = f"{xxhash.xxh64_hexdigest(tokenizer)}:{end_id}"
+        name = f"{xxhash.xxh64_hexdigest(tokenizer)}:{end_id}:{cache}"
         if name not in store:
-            store[name] = cls(tokenizer, end_id)
+            store[name] = cls(tokenizer, end_id, cache)
         return store[name]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
@@ -63,7 +65,7 @@ class Ids:
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
         words = split.flatten().dictionary_encode()
         known = self.known
-        if len(known) > CACHE:  # words in use move to the new generation, the others go with the old one
+        if len(known) > self.cache:  # words in use move to the new generation, the others go with the old one
             self.old, known = known, {}
             self.known = known
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -143,13 +145,14 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.tobytes())
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1, cache: int = CACHE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at full windows; a null text has the end id only.
 
-    ``tokenizer`` is a tokenizer's JSON; it must drop white space, so that words can be encoded apart.
+    ``tokenizer`` is a tokenizer's JSON; it must drop white space, so that words can be encoded apart. About twice ``cache`` encoded words are
+    kept in a Python worker; fewer cost time, the ids are the same.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Ids.kept(tokenizer, end_id)
+        encode = Ids.kept(tokenizer, end_id, cache)
         for batch in batches:
             owner, rows = [], []
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
@@ -218,14 +221,15 @@ def windows_of(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return sequence, offset
 
 
-def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, cache: int = CACHE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every row in exactly one sequence.
 
     Full windows are sequences of their own. Remainders are dealt evenly into groups of about ``GROUP`` pieces, so no task grows with the
     input; a group's two windows with the most padding are dealt again among 1/64 as many groups, until one group is left. Repeated rows and
     null ids are packed like others; an empty table gives no rows. A sequence id joins round, group and number; ids are not consecutive.
     """
-    rows = stored(pieces(docs, tokenizer, window, end_id), "pieces")
+    with small_batches(docs.sparkSession, BATCH):
+        rows = stored(pieces(docs, tokenizer, window, end_id, cache), "pieces")
     whole = rows.where(F.col("length") == window).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = rows.where(F.col("length") < window)
     groups = max(1, -(-rest.count() // GROUP))
