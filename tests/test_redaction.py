@@ -139,3 +139,17 @@ def test_long_texts_and_tables_of_numbers_meet_big_vaults(spark):
     assert out[0].endswith("[PASSWORD_1] end") and out[1].endswith(" [OTP_1]") and "[PASSWORD_2]" not in out[0]
     hits = K.known_value_hits(texts.selectExpr("seq AS k", "text AS body"), vault.selectExpr("'X' AS type", "value"), ["k"])
     assert sorted((r.k, r.value) for r in hits.collect()) == [(2, "secret-word")]
+
+
+def test_known_values_are_searched_in_runs_of_their_characters_only(spark):
+    """Beginnings in every place and case, beyond the basic plane and with signs of patterns, are found; many characters switch the runs off."""
+    values = ["abc]-^\\x.d", "ÄöÜ straße", "0123456789abcdef", "𝒳𝒴𝒵 tail", "a\nb c"]
+    texts = [f"{a}{v.upper() if i % 2 else v}{a}" for i, v in enumerate(values) for a in ("", " ", "0", "abc", "ß]", "y" * 63, "a" * 130)] + ["abc", ""]
+    many = [chr(0x4E00 + i) + "xy" for i in range(1100)]
+    for known in (values, values + many):
+        vault = spark.createDataFrame([("NAME", v) for v in known], "type string, value string")
+        rows = spark.createDataFrame(list(enumerate(texts + many[:3])), "id long, body string")
+        want = {(i, v) for i, t in enumerate(texts + many[:3]) for v in known if v.lower() in t.lower()}
+        assert {(r.id, r.value) for r in K.known_value_hits(rows, vault, ["id"]).collect()} == want
+    heads = spark.createDataFrame([(3, v[:3]) for v in many] + [(6, "cabcab")], "size int, head string")
+    assert K.alphabets(heads) == {6: r"[\x{61}\x{62}\x{63}]"}
