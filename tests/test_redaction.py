@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.payload import check_patterns
 from veil.operators import known as K, redact as R, verify as V
+from veil.session import settled, splits_for
 
 
 def _one(spark, text):
@@ -153,3 +154,13 @@ def test_known_values_are_searched_in_runs_of_their_characters_only(spark):
         assert {(r.id, r.value) for r in K.known_value_hits(rows, vault, ["id"]).collect()} == want
     heads = spark.createDataFrame([(3, v[:3]) for v in many] + [(6, "cabcab")], "size int, head string")
     assert K.alphabets(heads) == {6: r"[\x{61}\x{62}\x{63}]"}
+
+
+def test_rows_of_few_splits_are_dealt_out_before_detection(spark):
+    """Texts of few bytes come out of a join as one split; the steps after it run on all cores, with the same result."""
+    texts = settled(spark.createDataFrame([(1, i, f"to ann{i % 3}@x.com") for i in range(40)], "scope int, seq long, text string").coalesce(1))
+    vault = spark.createDataFrame([(1, f"ann{i}@x.com", f"[EMAIL_{i}]", -1) for i in range(3)], "scope int, value string, mark string, since int")
+    assert splits_for(texts) == max(2 * spark.sparkContext.defaultParallelism, 16)
+    out = R.replace_known(texts, vault, ["seq"], splits=splits_for(texts))
+    assert {(r.seq, r.replaced) for r in out.collect()} == {(i, f"to [EMAIL_{i % 3}]") for i in range(40)}
+    assert out.rdd.getNumPartitions() == splits_for(texts)
