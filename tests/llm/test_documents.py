@@ -227,6 +227,39 @@ def test_packing_holds_little(spark):
     assert len(got) > 10 and max(r.bytes for r in got) < 1 << 19 and spark.conf.get(name) == before
 
 
+def test_packing_keeps_parts_once(monkeypatch):
+    """Forms of a word that differ in case and signs are one entry; odd words and long texts cut at blanks give the tokenizer's ids."""
+    js, rng = packing.tokenizer_json(), np.random.default_rng(6)
+    tokenizer, encode = Tokenizer.from_str(js), packing.Ids(js, 1)
+    words = sorted(set(_words(rng, 200).split(" ")))
+    forms = [form for w in words for form in (w, w.title(), w.upper(), w + ",", w.title() + ".", f"({w})", w + ";")]
+    odd = ["É e\u0301 a\u0338 <b>it's</b> x<|endoftext|>y", "\u0391\u03a3 \u0130 \u212a \u023a\u1e9e \u1112\u1161\u11ab \uac01 \u0663\u2460", "a\u00a0b\u200bc\x1cd\re\tf", "''s '", "\U0001f44d\U0001f3fd \U0001d4b3"]
+    every = ["".join(f"a{c}{c}1{c}. {c} " for c in map(chr, range(a, a + 64)) if c.isprintable()) for a in range(0, 0x3400, 64)]
+    texts = [" ".join(forms), None, "", " \n", *odd, *every]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert [ids.tolist() for ids in encode(pa.array(texts[:1]))] == want[:1] and len(encode.known) <= len(words) + 20
+    assert [ids.tolist() for ids in encode(pa.array(texts))] == want
+    slices = packing.Ids.slices
+    assert all(b"".join(part for _, part in slices(b"ab c\n" * 9 + b"x" * 50 + b" y", n)) == b"ab c\n" * 9 + b"x" * 50 + b" y" for n in range(1, 60))
+    monkeypatch.setattr(packing.Ids, "slices", staticmethod(lambda text: slices(text, 30)))
+    assert [ids.tolist() for ids in packing.Ids(js, 1)(pa.array(texts))] == want
+    assert packing.Ids(js, 1)(pa.array([], pa.string())) == []
+
+
+def test_packing_fill_is_the_fullest():
+    """Of all choices beside the longest length left, the one with the least padding, for small windows."""
+    rng = np.random.default_rng(7)
+    for window in (8, 12, 20):
+        for _ in range(60):
+            lengths = rng.integers(1, window + 1, rng.integers(1, 8)).tolist()
+            counts = packing.fill(np.bincount(lengths, minlength=window + 1), window)
+            taken = [s for s, n in counts.items() for _ in range(n)]
+            longest, rest = max(lengths), sorted(lengths)[:-1]
+            sums = {longest + sum(s for i, s in enumerate(rest) if chosen >> i & 1) for chosen in range(1 << len(rest))}
+            assert all(lengths.count(s) >= n for s, n in counts.items()) and longest in counts
+            assert packing.padding(sum(taken), window) == min(packing.padding(u, window) for u in sums if u <= window)
+
+
 def test_packing_windows_are_full():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2048, 3000)

@@ -8,17 +8,15 @@ the least padding wins.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -37,19 +35,21 @@ GROUP = 4096
 class Ids:
     """Token ids of texts by a tokenizer that lower-cases, drops white space and ends the last token of each part with ``</w>``.
 
-    Words between blanks and line ends are encoded once and kept. New words are taken apart as the tokenizer would (letters, one digit, other
-    signs) and their parts encoded together; words where case, composition or a special form could matter are encoded whole.
+    Texts are taken apart as the tokenizer would (letters, one digit, other signs) in arrays of bytes, by the kinds of their characters. Each
+    distinct part is encoded once and kept. Words between blanks in which case, composition or a special form could matter are kept whole.
     """
 
-    PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-    ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+")
+    UNSEEN, BLANK, LETTER, DIGIT, SIGN, ODD = range(6)
 
     def __init__(self, tokenizer: str, end_id: int, cache: int = CACHE):
         self.tokenizer, self.end_id, self.known, self.cache = Tokenizer.from_str(tokenizer), np.array([end_id], "<u4"), {}, cache
-        self.old: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.kinds, self.lower = np.zeros(sys.maxunicode + 1, np.uint8), np.zeros(sys.maxunicode + 1, "<u4")
+        self.look_at(range(128))
+        self.ascii_kinds = self.kinds[:256].tobytes()
 
     @classmethod
     def kept(cls, tokenizer: str, end_id: int, cache: int = CACHE) -> Ids:
@@ -61,85 +61,119 @@ class Ids:
         return store[name]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text (null: empty) with the end id. Words are numbered in Arrow; only the distinct ones meet the dictionary."""
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " "), " ")
-        words = split.flatten().dictionary_encode()
-        known = self.known
-        if len(known) > self.cache:  # words in use move to the new generation, the others go with the old one
-            self.old, known = known, {}
-            self.known = known
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        codes = list(map(known.get, distinct))
-        new = {w for w, code in zip(distinct, codes) if code is None}
-        if new:
-            if self.old:
-                known.update({w: self.old[w] for w in new if w in self.old})
-            self.learn(new - known.keys())
-            codes = list(map(known.__getitem__, distinct))
+        """Ids of each text (null: empty) with the end id."""
+        texts = [text or b"" for text in texts.cast(pa.large_binary()).to_pylist()]
+        ids, starts, size = map(np.concatenate, zip(*(self.encoded(part, at) for at, part in self.slices(b"\n".join(texts)))))
+        stops = np.concatenate([[0], np.cumsum(size)])
+        ends = [0, *stops[np.searchsorted(starts, np.cumsum([len(text) + 1 for text in texts]))].tolist()]
+        return [np.append(ids[a:b], self.end_id) for a, b in zip(ends, ends[1:])]
+
+    @staticmethod
+    def slices(text: bytes, most: int = 2 * AT_ONCE) -> Iterator[tuple[int, bytes]]:
+        """(place, part) of a text, cut at blanks where there are any if it is long."""
+        at = 0
+        while len(text) - at > most:
+            end = max(text.rfind(blank, at + 1, at + most) for blank in (b" ", b"\n"))
+            if end < 0:
+                end = min((e for e in (text.find(blank, at + most) for blank in (b" ", b"\n")) if e > 0), default=len(text))
+            yield at, text[at:end]
+            at = end
+        yield at, text[at:]
+
+    def encoded(self, text: bytes, place: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a text, and of each part where it starts (the text itself at ``place``) and how many ids it has. Parts are numbered in Arrow;
+        only the distinct ones meet the dictionary."""
+        raw, lower = np.frombuffer(text, np.uint8), np.frombuffer(bytearray(text.lower()), np.uint8)
+        kinds = np.frombuffer(bytearray(text.translate(self.ascii_kinds)), np.uint8)
+        if not text.isascii():
+            high = raw > 127
+            points = np.frombuffer(raw[high].tobytes().decode().encode("utf-32-le"), "<u4")
+            kind = self.kinds[points]
+            if not kind.all():
+                self.look_at(np.unique(points[kind == self.UNSEEN]).tolist())
+                kind = self.kinds[points]
+            kinds[high] = np.repeat(kind, self.width(points))
+            lower[high] = np.frombuffer(self.lower[points].tobytes().decode("utf-32-le").encode(), np.uint8)
+        odd = kinds == self.ODD
+        if any_odd := bool(odd.any()):  # the words between blanks that hold one are taken whole
+            blanks = np.concatenate([[-1], np.flatnonzero(kinds == self.BLANK), [len(raw)]])
+            word = np.unique(np.searchsorted(blanks, np.flatnonzero(odd)))
+            change = np.zeros(len(raw) + 1, np.int8)
+            change[blanks[word - 1] + 1], change[blanks[word]] = 1, -1
+            odd = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+            kinds[odd], lower[odd] = self.ODD, raw[odd]
+        there = kinds != self.BLANK
+        first = kinds == self.DIGIT
+        first[1:] |= kinds[1:] != kinds[:-1]
+        first[:1] = True
+        first &= there & ((raw & 0xC0) != 0x80)
+        starts = np.flatnonzero(first)
+        body = lower[there]
+        offsets = np.append(np.flatnonzero(first[there]), len(body))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        number = parts.indices.to_numpy()
+        codes = self.codes(parts.dictionary.to_numpy(zero_copy_only=False).tolist(), np.unique(number[kinds[starts] == self.ODD]).tolist() if any_odd else [])
         ids = np.frombuffer(b"".join(codes), "<u4")
         size = np.fromiter(map(len, codes), np.int64, len(codes)) >> 2
-        at, number = np.cumsum(size) - size, words.indices.to_numpy()
+        at = np.cumsum(size) - size
         size = size[number]
-        stops = np.concatenate([[0], np.cumsum(size)])
-        ids = ids[np.repeat(at[number] - stops[:-1], size) + np.arange(stops[-1])]
-        ends = stops[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
-        return [np.append(ids[a:b], self.end_id) for a, b in zip(ends, ends[1:])]
+        ids = ids[np.repeat(at[number] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        return ids, starts + place, size
 
-    def learn(self, words: set[str]) -> None:
-        known, plain, simple, whole, parts = self.known, [], [], [], {}
-        for word in words:
-            low = word.lower()
-            if not word.isprintable() or "'" in word or "<" in word or "\u03a3" in word:
-                whole.append(word)
-                continue
-            if word.isascii():
-                if low.isalpha():
-                    simple.append(word)
-                    if low not in known:
-                        if low in self.old:
-                            known[low] = self.old[low]
-                        else:
-                            parts[low] = None
-                    continue
-                if low[:-1].isalpha() and low[-1] in ".,;:!?":
-                    split = (low[:-1], low[-1])
-                else:
-                    split = self.ASCII_PARTS.findall(low)
-            elif not (self.simple(word) and (low == word or self.simple(low))):
-                whole.append(word)
-                continue
+    @staticmethod
+    def width(points: np.ndarray) -> np.ndarray:
+        """Bytes of code points in UTF-8."""
+        return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+
+    def look_at(self, points: Iterable[int]) -> None:
+        """Kinds and lower-case forms of code points; one whose form has another length in UTF-8 is odd."""
+        for point in points:
+            char, low = chr(point), chr(point).lower()
+            self.lower[point] = point
+            if char in " \t\n\r":
+                self.kinds[point] = self.BLANK
+            elif char in "'<\u03a3" or not self.simple(char) or not self.simple(low) or len(low.encode()) != len(char.encode()):
+                self.kinds[point] = self.ODD
             else:
-                split = self.PARTS.findall(low)
-            plain.append((word, split))
-            for part in split:
-                if part not in known:
-                    if part in self.old:
-                        known[part] = self.old[part]
-                    else:
-                        parts[part] = None
+                self.lower[point] = ord(low)
+                self.kinds[point] = {"L": self.LETTER, "N": self.DIGIT}.get(unicodedata.category(char)[0], self.SIGN)
+
+    @staticmethod
+    def simple(char: str) -> bool:
+        """One character that is composed and does not combine with others."""
+        return (len(char) == 1 and char.isprintable() and unicodedata.is_normalized("NFC", char) and not unicodedata.category(char).startswith("M")
+                and not unicodedata.combining(char) and not "\u1160" <= char <= "\u11ff")
+
+    def codes(self, distinct: list[bytes], whole: list[int]) -> list[bytes]:
+        """Ids of each part as bytes; those numbered by ``whole`` are words."""
+        if len(self.known) > self.cache:  # parts in use move to the new generation, the others go with the old one
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        codes = list(map(known.get, distinct))
+        new = [i for i, code in enumerate(codes) if code is None]
+        if old:
+            for i in new:
+                codes[i] = old.get(distinct[i])
+            known.update({distinct[i]: codes[i] for i in new if codes[i] is not None})
+            new = [i for i in new if codes[i] is None]
+        words = set(whole).intersection(new)
+        self.learn([distinct[i] for i in new if i not in words], [distinct[i] for i in words])
+        for i in new:
+            codes[i] = known[distinct[i]]
+        return codes
+
+    def learn(self, parts: list[bytes], words: list[bytes]) -> None:
         if parts:
-            ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) == len(parts):
                 raw = ids.tobytes()
-                known.update(zip(parts, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+                self.known.update(zip(parts, [raw[a:b] for a, b in zip([0, *stops], stops)]))
             else:
-                self.encode(list(parts))
-        self.encode(whole)
-        for word in simple:
-            known[word] = known[word.lower()]
-        for word, split in plain:
-            known[word] = known[split[0]] if len(split) == 1 else b"".join([known[p] for p in split])
-
-    def encode(self, words: list[str]) -> None:
-        for word, code in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+                words = parts + words
+        for word, code in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
             self.known[word] = np.array(code.ids, "<u4").tobytes()
 
-    @staticmethod
-    def simple(word: str) -> bool:
-        """Composed throughout, and nothing in it combines."""
-        return unicodedata.is_normalized("NFC", word) and not any(map(unicodedata.combining, word))
-
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.tobytes())
@@ -178,13 +212,12 @@ def padding(used: int, window: int) -> int:
 
 def fill(left: np.ndarray, window: int) -> dict[int, int]:
     """Length -> count of the window that starts with the longest length left and has the least padding. ``left[s]``: how many of length s."""
-    lengths = np.flatnonzero(left)[::-1].tolist()
-    longest, full = lengths[0], (1 << window + 1) - 1
-    reach, target = 1 << longest, 1 << window
-    added: list[tuple[int, int]] = []  # (length, sums that its next copy made reachable)
-    for s in lengths:
-        free = int(left[s]) - (s == longest)
-        for _ in range(min(free, (window - longest) // s)):
+    longest = int(np.flatnonzero(left)[-1])
+    room = window - longest
+    reach, target, full = 1, 1 << room, (1 << room + 1) - 1
+    added: list[tuple[int, int]] = []  # (length, sums beside the longest that its next copy made reachable)
+    for s in np.flatnonzero(left[:room + 1])[::-1].tolist():
+        for _ in range(min(int(left[s]) - (s == longest), room // s)):
             new = (reach << s) & full & ~reach
             if not new:
                 break
@@ -194,8 +227,8 @@ def fill(left: np.ndarray, window: int) -> dict[int, int]:
                 break
         if reach & target:
             break
-    sums = [window] if reach & target else [u for u in range(longest, window + 1) if reach >> u & 1]
-    at = min(sums, key=lambda u: (padding(u, window), -u))
+    sums = [room] if reach & target else [u for u in range(room + 1) if reach >> u & 1]
+    at = min(sums, key=lambda u: (padding(longest + u, window), -u))
     counts = {longest: 1}
     for s, new in reversed(added):
         if new >> at & 1:
