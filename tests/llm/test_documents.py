@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import sys
+import types
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from veil.llm import decontamination, language, line_dedup, packing, secrets, simhash, toxicity
-from veil.llm.common import small_batches
+from veil.llm.common import small_batches, tidy
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, fp int, th string, id int, rank int, value string"
 
@@ -227,6 +231,52 @@ def test_packing_holds_little(spark):
     assert len(got) > 10 and max(r.bytes for r in got) < 1 << 19 and spark.conf.get(name) == before
 
 
+def test_workers_give_memory_back():
+    """What a task held goes back to the system at its end, also where something that stays lies above it."""
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Pss_Anon:")) / 1024
+
+    stays = []
+
+    def work(batches):
+        held = [bytes(1000) for _ in range(100_000)]
+        stays.append(bytes(1000))
+        yield anonymous() + 0 * len(held)
+
+    task = tidy(work)(iter([]))
+    assert next(task) - (list(task) or anonymous()) > 50
+
+
+def test_pipeline_keeps_workers_small(spark, docs):
+    """The pipeline's packing leaves no words in a Python worker, with the same pieces, and from its first stage on texts come in small batches."""
+    js, size = packing.tokenizer_json(), 77
+
+    def kept(batches):
+        names = list(vars(sys.modules.get("_kept_token_ids", types)))
+        yield from (pa.RecordBatch.from_pydict({"n": [sum(str(name).endswith(f":1:{size}") for name in names)]}) for _ in batches)
+
+    def workers_with_words():
+        return sum(r.n for r in spark.range(0, 32, 1, 32).mapInArrow(kept, "n long").collect())
+
+    own = packing.pieces(docs, js, 64, cache=size, keep=False).collect()
+    assert own and workers_with_words() == 0
+    assert sorted(map(str, own)) == sorted(map(str, packing.pieces(docs, js, 64, cache=size).collect())) and workers_with_words() > 0
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(name)
+    try:
+        corpus_pipeline.in_small_batches(spark)
+        rows = spark.range(0, 9000, 1, 1).select(together(F.expr("repeat('x', 10000)")).alias("n")).collect()
+    finally:
+        spark.conf.set(name, limit)
+    assert len(rows) == 9000 and max(r.n for r in rows) <= 2 * corpus_pipeline.BATCH // 10_000
+
+
 def test_packing_keeps_parts_once(monkeypatch):
     """Forms of a word that differ in case and signs are one entry; odd words and long texts cut at blanks give the tokenizer's ids."""
     js, rng = packing.tokenizer_json(), np.random.default_rng(6)

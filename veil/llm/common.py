@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veil.session import shared_dir
@@ -60,6 +62,26 @@ def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system. A Python worker lives on beside the others of its executor, and its allocators would keep what a
+    task's largest batch took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` for ``mapInArrow``; once a task's batches are done, or nobody reads on, the worker gives back what it no longer needs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b) of integers: (node, root), root the smallest node of the component.
 

@@ -15,7 +15,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veil.llm.common import query, stored, table
+from veil.llm.common import query, stored, table, tidy
 
 MATCH = "item_id long, edits int, start long, stop long"
 
@@ -183,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1,
 
 
 def _finder(shared, error_rate: float):
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         machine, peqs = automaton(items, error_rate), [masks(t) for _, t in items]

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veil.llm.common import held_out, query, stored, table
+from veil.llm.common import give_back, held_out, query, stored, table, tidy
 
 GRAM = 4
 SLOTS = 1 << 20
@@ -75,6 +75,7 @@ def fit(docs: DataFrame, per_lang: int = 5000, min_count: int = 3, min_share: fl
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, per_lang / sizes[lang])))])
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, held, waiting = letters_table(), {}, 0
 
@@ -104,6 +105,7 @@ def fit(docs: DataFrame, per_lang: int = 5000, min_count: int = 3, min_share: fl
     kept = rated.join(top, "gram").where((F.col("n") >= min_count) & (F.col("rate") >= min_share * F.col("top")))
     members = kept.select("gram", number[F.col("lang")].alias("number"))
 
+    @tidy
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.asarray(batch.column("gram")).view(np.uint32)
@@ -151,6 +153,7 @@ def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
         letter = letters_table()
         for texts in batches:
             yield pd.DataFrame([predict_one(t, shared.value, letter) for t in texts], columns=["lang", "score"])
+        give_back()
 
     return of(text)
 

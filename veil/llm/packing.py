@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from veil.llm.common import query, small_batches, stored, table
+from veil.llm.common import query, small_batches, stored, table, tidy
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 CACHE = 5 << 17
 #: Bytes of text encoded together.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Bytes of rows sent to a Python worker together.
 BATCH = 1 << 22
 GROUP = 4096
@@ -179,14 +179,16 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.tobytes())
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1, cache: int = CACHE) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 1, cache: int = CACHE, keep: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at full windows; a null text has the end id only.
 
     ``tokenizer`` is a tokenizer's JSON; it must drop white space, so that words can be encoded apart. About twice ``cache`` encoded words are
-    kept in a Python worker; fewer cost time, the ids are the same.
+    kept in a Python worker; fewer cost time, the ids are the same. Without ``keep`` they go with their task, so a worker that serves other
+    steps after it holds none.
     """
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Ids.kept(tokenizer, end_id, cache)
+        encode = (Ids.kept if keep else Ids)(tokenizer, end_id, cache)
         for batch in batches:
             owner, rows = [], []
             size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
@@ -254,7 +256,7 @@ def windows_of(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray
     return sequence, offset
 
 
-def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, cache: int = CACHE) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, cache: int = CACHE, keep: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every token of every row in exactly one sequence.
 
     Full windows are sequences of their own. Remainders are dealt evenly into groups of about ``GROUP`` pieces, so no task grows with the
@@ -262,7 +264,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     null ids are packed like others; an empty table gives no rows. A sequence id joins round, group and number; ids are not consecutive.
     """
     with small_batches(docs.sparkSession, BATCH):
-        rows = stored(pieces(docs, tokenizer, window, end_id, cache), "pieces")
+        rows = stored(pieces(docs, tokenizer, window, end_id, cache, keep), "pieces")
     whole = rows.where(F.col("length") == window).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = rows.where(F.col("length") < window)
     groups = max(1, -(-rest.count() // GROUP))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from veil.llm.common import components, query, stored, table
+from veil.llm.common import components, query, stored, table, tidy
 
 SEED = 42
 WORDS_AT_ONCE = 1 << 16
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, th, fp) for every row; th is the hash of the text."""
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint_of(t.as_py(), shingle) for t in batch.column("raw")]
@@ -123,6 +124,7 @@ def _shingles(words: list[bytes], shingle: int) -> np.ndarray:
 
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles seen ``OFTEN`` times or more in about ``SAMPLED`` texts, rarest first, at most ``COMMON``; ties by hash."""
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_shingles(_words(raw.as_py()), shingle) for raw in batch.column("raw")]
@@ -164,6 +166,7 @@ def _described(docs: DataFrame, shingle: int, similarity: float, common: np.ndar
     by_hash = np.argsort(common, kind="stable")
     known = common[by_hash]
 
+    @tidy
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -233,6 +236,7 @@ def _alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, sim
 
     Counts of a few bytes a text first tell the pairs that cannot have it; only texts of the others travel, one row of each mark.
     """
+    @tidy
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -241,6 +245,7 @@ def _alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, sim
                 keep.append(most >= similarity * (n_x + n_y - most) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    @tidy
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
