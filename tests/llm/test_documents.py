@@ -108,6 +108,18 @@ def _print(text, k):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_tables_are_not_broadcast(docs):
+    """A stored table counts by its files' bytes, a tenth or less of what it takes in the driver when it is broadcast."""
+    rows, lines = line_dedup.intervals(docs.select("doc_id", "text"), 50)
+    copies = rows.select("doc_id", "mark", "first", F.col("i").alias("next"), F.col("doc_id").alias("head_doc"), F.col("mark").alias("head_mark"), F.col("i").alias("head_next"))
+    for df in (rows, line_dedup.followed(copies, lines, 50), line_dedup.deduplicated(docs)):
+        assert "SortMergeJoin" in _plan(df) and "BroadcastHashJoin" not in _plan(df)
+
+
 def test_simhash(docs, none):
     rows = [r for r in _rows() if len(r[1] or "") < 50_000]
     got = {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.grouped(docs.where("length(text) < 50000 OR text IS NULL")).collect()}

@@ -49,6 +49,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def meeting(df: DataFrame) -> DataFrame:
+    """The same rows, to be joined by a shuffle of both sides. Spark takes the size of a stored table from its files, and a few MB of sorted, repeating
+    numbers there are ten times as much in a broadcast table, more once rows are multiplied: several such at once are more than a driver holds."""
+    return df.hint("merge")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Rows go to Python in batches of about ``size`` bytes while the block runs, so it must itself run the jobs it is meant for; the session's

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from veil.llm.common import query, stored, table
+from veil.llm.common import meeting, query, stored, table
 
 RANGES = 4096
 #: Lines by which a copy is followed at once.
@@ -69,21 +69,21 @@ def doubled(state: DataFrame, span: int) -> DataFrame:
     classes = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
     before = Window.partitionBy("rank").orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
     named = classes.select("rank", "next", (F.col("rank") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("to"))
-    return pairs.join(named, ["rank", "next"]).select(*ROW, "i", "len", "first", "last", F.col("to").alias("rank"))
+    return pairs.join(meeting(named), ["rank", "next"]).select(*ROW, "i", "len", "first", "last", F.col("to").alias("rank"))
 
 
 def _on_row(left: DataFrame, right: DataFrame, also: list[str], how: str = "inner") -> DataFrame:
     """Join on the document row, where a null doc_id equals itself."""
     right = right.select(*[F.col(c).alias(f"__{c}") if c in ROW + also else F.col(c) for c in right.columns])
     on = [left["doc_id"].eqNullSafe(right["__doc_id"]), *[left[c] == right[f"__{c}"] for c in ["mark", *also]]]
-    return left.join(right, reduce(lambda a, b: a & b, on), how).drop(*[f"__{c}" for c in ROW + also])
+    return left.join(meeting(right), reduce(lambda a, b: a & b, on), how).drop(*[f"__{c}" for c in ROW + also])
 
 
 def intervals(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """Suffixes in a longest-common-prefix interval that reaches the limit: (doc_id, mark, i, len, first, last, one, two), and the lines that
     occur again: (doc_id, mark, i, first, rank), equal lines having one rank."""
     lines = stored(line_ids(docs, min_words), "lines")
-    state = stored(lines.join(first_ranks(lines), "id").select(*ROW, "i", "len", "first", "last", "rank"), "ranks")
+    state = stored(lines.join(meeting(first_ranks(lines)), "id").select(*ROW, "i", "len", "first", "last", "rank"), "ranks")
     again = state.select(*ROW, "i", "first", "rank")
     found, span = [], 1
     while True:
@@ -124,7 +124,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     firsts = rows.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "i")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     head = F.col("head")
     same = head["doc_id"].eqNullSafe(F.col("doc_id")) & (head["mark"] == F.col("mark"))
-    later = stored(rows.join(firsts, key).where(~same | (F.col("i") >= head["i"] + F.col("len"))).select(*ROW, "i", "len", "first", "last", "head"), "later")
+    later = stored(rows.join(meeting(firsts), key).where(~same | (F.col("i") >= head["i"] + F.col("len"))).select(*ROW, "i", "len", "first", "last", "head"), "later")
 
     after = Window.partitionBy(*ROW).orderBy("i")
     on = F.lead(F.struct("i", "head")).over(after)
@@ -156,7 +156,7 @@ def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
     cuts = later_copies(docs, min_words).groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts"))
     cuts = cuts.withColumnsRenamed({c: f"__{c}" for c in ROW})
     rows = docs.withColumn("__text_mark", _mark())
-    joined = rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["__doc_id"]) & (rows["__text_mark"] == cuts["__mark"]), "left")
+    joined = rows.join(meeting(cuts), rows["doc_id"].eqNullSafe(cuts["__doc_id"]) & (rows["__text_mark"] == cuts["__mark"]), "left")
     edges = F.concat(F.array(F.lit(-1)), F.col("__cuts")["stop"]), F.concat(F.col("__cuts")["start"], F.array(F.lit(1 << 30)))
     lines = F.split("text", "\n", -1)
     kept = F.flatten(F.zip_with(*edges, lambda stop, start: F.slice(lines, stop + 2, start - stop - 1)))
