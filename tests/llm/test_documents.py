@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from veil.llm import decontamination, language, line_dedup, packing, secrets, simhash, toxicity
-from veil.llm.common import small_batches, tidy
+from veil.llm.common import components, small_batches, stored, tidy
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, mark string, fp int, th string, id int, rank int, value string"
 
@@ -112,11 +112,13 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_growing_tables_are_not_broadcast(docs):
+def test_growing_tables_are_not_broadcast(spark, docs):
     """A stored table counts by its files' bytes, a tenth or less of what it takes in the driver when it is broadcast."""
     rows, lines = line_dedup.intervals(docs.select("doc_id", "text"), 50)
     copies = rows.select("doc_id", "mark", "first", F.col("i").alias("next"), F.col("doc_id").alias("head_doc"), F.col("mark").alias("head_mark"), F.col("i").alias("head_next"))
-    for df in (rows, line_dedup.followed(copies, lines, 50), line_dedup.deduplicated(docs)):
+    tree = components(stored(spark.range(20).selectExpr("id AS a", "id + 1 AS b"), "links"))
+    for df in (rows, line_dedup.followed(copies, lines, 50), line_dedup.deduplicated(docs), simhash._first_of_each(
+            docs.select("doc_id", "text"), docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("id").cast("long").alias("mark")), tree)):
         assert "SortMergeJoin" in _plan(df) and "BroadcastHashJoin" not in _plan(df)
 
 

@@ -99,15 +99,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(meeting(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(meeting(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         rounds = stored(small, "edges")
         # A star forest has one parent per node and no parent that is a child; a last round then changes nothing.
-        changed = rounds.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(rounds, ["u", "v"], "left_anti").limit(1).count()
+        changed = rounds.join(meeting(edges), ["u", "v"], "left_anti").limit(1).count() + edges.join(meeting(rounds), ["u", "v"], "left_anti").limit(1).count()
         edges = rounds
         if not changed:
             break

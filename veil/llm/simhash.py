@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from veil.llm.common import components, query, stored, table, tidy
+from veil.llm.common import components, meeting, query, stored, table, tidy
 
 SEED = 42
 WORDS_AT_ONCE = 1 << 16
@@ -91,7 +91,7 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     cells = rows.select("fp", "wide", F.explode(keys).alias("key")).select("fp", "wide", "key.*")
     left, right = (cells.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}"), "which", "one", "two") for n in "ab")
     near = reduce(lambda x, y: x & y, [F.abs(F.col("wide_a")[i] - F.col("wide_b")[i]) <= max_bits for i in range(len(WIDE))])
-    met = left.hint("merge").join(right, ["which", "one", "two"]).where((F.col("a") < F.col("b")) & near & (distance(F.col("a"), F.col("b")) <= max_bits))
+    met = meeting(left).join(right, ["which", "one", "two"]).where((F.col("a") < F.col("b")) & near & (distance(F.col("a"), F.col("b")) <= max_bits))
     return met.select("a", "b").distinct()
 
 
@@ -103,10 +103,10 @@ def grouped(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     prints = stored(fingerprints(docs, shingle), "prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     tree = components(links(prints, max_bits))
-    roots = first.join(tree, first["fp"] == tree["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    roots = first.join(meeting(tree), first["fp"] == tree["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_print = roots.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = roots.select("fp", "root").join(meeting(named), "root").select("fp", "component_id")
+    return prints.join(meeting(of_print), "fp").select("doc_id", "fp", "component_id")
 
 
 # --- near-duplicates by similarity: too far apart for fingerprints, so shingles meet instead -----------------------------------------
@@ -262,16 +262,16 @@ def _alike(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, sim
     pairs = stored(pairs, "pairs")
     sets = rows.where("n IS NOT NULL")
     one, two = sides(sets.where(_among(pairs.select(both.alias("h")))("mark")).select("mark", "n", "counts").dropDuplicates(["mark"]), "n", "counts")
-    pairs = stored(pairs.join(one, "x").join(two, "y").select("x", "n_x", "counts_x", "y", "n_y", "counts_y").mapInArrow(possible, "x long, y long"), "possible")
+    pairs = stored(pairs.join(meeting(one), "x").join(meeting(two), "y").select("x", "n_x", "counts_x", "y", "n_y", "counts_y").mapInArrow(possible, "x long, y long"), "possible")
 
     marks = pairs.select(both.alias("mark")).distinct()
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("of")
-    owners = stored(sets.join(marks, "mark", "left_semi").groupBy("mark").agg(owner).select("mark", F.col("of.doc_id").alias("owner"), "of.th"), "owners")
+    owners = stored(sets.join(meeting(marks), "mark", "left_semi").groupBy("mark").agg(owner).select("mark", F.col("of.doc_id").alias("owner"), "of.th"), "owners")
     texts = docs.select("doc_id", F.xxhash64("text").alias("__th"), F.encode("text", "utf-8").alias("raw"))
     texts = texts.where(_among(owners.select(F.xxhash64("owner", "th").alias("h")))(F.xxhash64("doc_id", "__th")))
-    texts = texts.join(owners, texts["doc_id"].eqNullSafe(owners["owner"]) & (texts["__th"] == owners["th"])).select("mark", "raw").dropDuplicates(["mark"])
+    texts = texts.join(meeting(owners), texts["doc_id"].eqNullSafe(owners["owner"]) & (texts["__th"] == owners["th"])).select("mark", "raw").dropDuplicates(["mark"])
     one, two = sides(texts, "raw")
-    return stored(pairs.join(one, "x").join(two, "y").select("x", "y", "raw_x", "raw_y").mapInArrow(similar, "a long, b long"), "alike")
+    return stored(pairs.join(meeting(one), "x").join(meeting(two), "y").select("x", "y", "raw_x", "raw_y").mapInArrow(similar, "a long, b long"), "alike")
 
 
 def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -287,9 +287,9 @@ def _enough(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def _rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
     """``rows`` with the root of their mark, and only those whose key still has two roots."""
-    rooted = rows.join(tree, rows["mark"] == tree["node"], "left").select(*rows.columns, F.coalesce("root", "mark").alias("root"))
+    rooted = rows.join(meeting(tree), rows["mark"] == tree["node"], "left").select(*rows.columns, F.coalesce("root", "mark").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    return stored(rooted.join(open_keys, "key"), "open")
+    return stored(rooted.join(meeting(open_keys), "key"), "open")
 
 
 def similar_components(docs: DataFrame, described: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -302,20 +302,20 @@ def similar_components(docs: DataFrame, described: DataFrame, shingle: int, simi
     rows = stored(_met(described), "shared")
     # A text without edits of its own has the fewest first shingles that nobody shares, so it is the best centre.
     alone = rows.groupBy("mark").agg((F.max("n") - F.ceil(F.max("n") * F.lit(similarity) - 1e-9) + 1 - F.count("*")).alias("alone"))
-    rows = stored(rows.join(alone, "mark"), "scored")
+    rows = stored(rows.join(meeting(alone), "mark"), "scored")
     tree, found = None, []
     for turn in range(ROUNDS):
         rest = _rooted(rows, tree).drop("root") if tree is not None else rows
         centre = F.col("alone") if turn == 0 else F.xxhash64("mark", F.lit(turn))
         heads = rest.groupBy("key").agg(F.min(F.struct(centre.alias("by"), "mark", "n")).alias("head")).select("key", "head.mark", "head.n")
         heads = heads.withColumnsRenamed({"mark": "y", "n": "n_y"})
-        pairs = rest.withColumnsRenamed({"mark": "x", "n": "n_x"}).join(heads, "key").where("x <> y").select("x", "y", "n_x", "n_y")
+        pairs = rest.withColumnsRenamed({"mark": "x", "n": "n_x"}).join(meeting(heads), "key").where("x <> y").select("x", "y", "n_x", "n_y")
         found.append(_alike(docs, described, _enough(pairs, similarity), shingle, similarity))
         tree = components(reduce(DataFrame.unionByName, found))
     rest = _rooted(rows, tree)
     one, two = (rest.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("mark", "n", "root")]) for n in "xy")
     fits = F.least("n_x", "n_y") >= F.lit(similarity) * F.greatest("n_x", "n_y") - 1e-9
-    pairs = one.join(two, "key").where((F.col("mark_x") < F.col("mark_y")) & (F.col("root_x") != F.col("root_y")) & fits)
+    pairs = one.join(meeting(two), "key").where((F.col("mark_x") < F.col("mark_y")) & (F.col("root_x") != F.col("root_y")) & fits)
     pairs = pairs.withColumnsRenamed({"mark_x": "x", "mark_y": "y"}).select("x", "y", "n_x", "n_y")
     found.append(_alike(docs, described, _enough(pairs, similarity), shingle, similarity))
     return components(reduce(DataFrame.unionByName, found))
@@ -343,16 +343,16 @@ def one_per_print_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
 def _first_of_each(docs: DataFrame, rows: DataFrame, tree: DataFrame) -> DataFrame:
     """``docs`` with the first row of each component ``tree`` (node, root) of the marks of ``rows`` (doc_id, th, mark)."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    rooted = rows.join(tree, rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
+    rooted = rows.join(meeting(tree), rows["mark"] == tree["node"], "left").select("doc_id", "th", F.coalesce("root", "mark").alias("root"))
     each = rooted.groupBy("doc_id", "th").agg(F.count("*").alias("copies"), F.first("root").alias("root"))
     first = each.groupBy("root").agg(F.min(order).alias("first"))
     goes = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
-    doubt = each.join(first, "root").withColumn("goes", goes).where("goes OR copies > 1")
+    doubt = each.join(meeting(first), "root").withColumn("goes", goes).where("goes OR copies > 1")
     doubt = stored(doubt.select(F.col("doc_id").alias("owner"), "th", "goes"), "doubt")
     marked = docs.withColumn("__th", F.xxhash64("text"))
     marked = marked.withColumn("__doubt", _among(doubt.select(F.xxhash64("owner", "th").alias("h")))(F.xxhash64("doc_id", "__th")))
     unsure, gone = marked.where("__doubt"), doubt.where("goes")
-    stays = unsure.join(gone, unsure["doc_id"].eqNullSafe(gone["owner"]) & (unsure["__th"] == gone["th"]), "left_anti").dropDuplicates(["doc_id", "__th"])
+    stays = unsure.join(meeting(gone), unsure["doc_id"].eqNullSafe(gone["owner"]) & (unsure["__th"] == gone["th"]), "left_anti").dropDuplicates(["doc_id", "__th"])
     return marked.where("NOT __doubt").unionByName(stays).drop("__th", "__doubt")
 
 
