@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veil.streaming import stateful as ST
@@ -53,3 +55,35 @@ def test_a_batch_is_a_wave(spark):
     folder = got[0].file.rsplit("/", 1)[0]
     # Five waves of three files each, the end of the input in one of them.
     assert len(got) == 121 and len(spark.read.parquet(folder).inputFiles()) == 15
+
+
+class _State:
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("exists", "get"):
+                return self.value is not None if name == "exists" else self.value
+            self.value = None if name == "clear" else (self.value or []) + [args[0]] if name == "appendValue" else args[0]
+        return call
+
+
+def test_tasks_of_a_group_share_steps_to_the_state():
+    calls, timers = [], []
+    handle = SimpleNamespace(getValueState=lambda *_: _State(calls), getListState=lambda *_: _State(calls), registerTimer=timers.append)
+    loops = ST.LastActions(50)
+    loops.init(handle)
+    rows = [(f"t{i % 400}", 10 * (i // 400), i, "ab"[i // 400 % 5 == 4], "no_change" if i % 2 else None) for i in range(4000)]
+    got = {}
+    for wave in (rows[2000:], rows[:2000]):
+        loops.handleInputRows((0,), iter([pd.DataFrame(wave, columns=ST.ACTION_ROWS.names)]), None)
+    for passed in (44, 70, 500):
+        for out in loops.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda p=passed: p), None):
+            got.update({r.seq: (r.repeated, r.cycling, r.stuck) for r in out.itertuples()})
+    # Signatures by time: a a a a b, twice; the odd tasks never see an effect.
+    repeated = [False, True, True, True, False, False, True, True, True, False]
+    assert got == {i: (repeated[i // 400], i // 400 in (2, 3, 5, 6, 7, 8), i % 2 == 1 and i // 400 >= 2) for i in range(4000)}
+    assert len(calls) < 40 and len(timers) == 4
+    assert loops.recent.value is None and loops.waiting.value is None and loops.due.value is None
