@@ -1,6 +1,9 @@
+import re
+
 from pyspark.sql import functions as F
 
-from veil.functions import detect as D
+from veil import rules
+from veil.functions import detect as D, text as X
 from veil.operators import fields as FL
 
 TEXTS = [
@@ -49,3 +52,24 @@ def test_field_classification_needs_agreeing_evidence(spark):
     ]
     got = [(r.type, r.score) for r in FL.classify_fields(spark.createDataFrame(rows, cols)).collect()]
     assert got == [("PASSWORD", 3), ("CARD", 3), ("EMAIL", 2), (None, None), ("PHONE", 2), (None, None), ("EMAIL", 2), ("PHONE", 4)]
+
+
+def test_a_pattern_runs_once_a_text(spark):
+    text = F.col("text")
+    df = spark.createDataFrame([("otp: 1234",)], "text string")
+    for pattern, spans in ((rules.LABELLED, D.labelled_spans(text)), (rules.EMAIL, D.email_spans(text)), ("[0-9a-f]{16,}", X.match_spans(text, "[0-9a-f]{16,}", "x", F.lit(True)))):
+        assert df.select(spans.alias("s"))._jdf.queryExecution().analyzed().toString().count(X.jvm(pattern)) == 1
+
+
+def test_places_and_values_with_control_characters(spark):
+    texts = ["", "\x01", "\x02a@b.co\x01", "password: x\x01\x02y.z1; otp=4321\x01mail é𝒳\x01 u\x01v@w.com, E-mail : q\x02@w.com", "pin\x01\x01 passcode = \x01\x01\x01\x01.",
+             "Phone: +91 98765 43210. address: 7 Park\x01 Street 9;", "\x01" * 5 + "cvv: 123,cvc=4567;;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = rows.select("i", D.labelled_spans(F.col("text")).alias("pairs"), D.email_spans(F.col("text")).alias("mails")).collect()
+    blank = re.compile(r"[.,;:]+$")
+    for r in got:
+        assert [(s.start, s.value) for s in r.mails] == [(m.start(), m[0]) for m in re.finditer(rules.EMAIL, texts[r.i])]
+        every = [(m.start(2), blank.sub("", m[2])) for m in re.finditer(rules.LABELLED, texts[r.i], re.ASCII)]
+        assert [(s.start, s.value) for s in r.pairs] == [x for x in every if x in {(s.start, s.value) for s in r.pairs}]
+        assert all(texts[r.i][s.start:s.start + len(s.value)] == s.value for s in r.pairs)
+    assert [[s.type for s in r.pairs] for r in sorted(got)] == [[], [], [], ["PASSWORD", "EMAIL"], ["PASSWORD"], ["PHONE"], ["CVV", "CVV"]]
